@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.llm import leaks, pieces, quality, tokens
+from sheaf.llm import encodings, leaks, pieces, quality, tokens
 from sheaf.session import table
 
 
@@ -16,6 +16,14 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.split(table(spark, folder, "ingest_results"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return encodings.repairs(table(spark, folder, "ingest_results")).select("result_id", "line_no", "outcome")
+
+
+def p5_restored(spark: SparkSession, folder: str) -> DataFrame:
+    return encodings.restored(table(spark, folder, "ingest_results"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_texts(table(spark, folder, "documents"))
 
@@ -36,7 +44,7 @@ def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return quality.statistics(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pieces, p7_ids, p8_found, p8_clean, p9_found, p9_statistics)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_pieces, p5_found, p5_restored, p7_ids, p8_found, p8_clean, p9_found, p9_statistics)}
 SQL = {
     "p4_found": r"""
         SELECT result_id,
