@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.llm import encodings, leaks, pieces, quality, tokens
+from sheaf.llm import encodings, leaks, pieces, quality, scans, tokens
 from sheaf.session import table
 
 
@@ -24,6 +24,14 @@ def p5_restored(spark: SparkSession, folder: str) -> DataFrame:
     return encodings.restored(table(spark, folder, "ingest_results"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.noisy_lines(table(spark, folder, "ingest_results"))
+
+
+def p6_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.paragraphs(table(spark, folder, "ingest_results"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_texts(table(spark, folder, "documents"))
 
@@ -44,7 +52,7 @@ def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return quality.statistics(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pieces, p5_found, p5_restored, p7_ids, p8_found, p8_clean, p9_found, p9_statistics)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_pieces, p5_found, p5_restored, p6_found, p6_paragraphs, p7_ids, p8_found, p8_clean, p9_found, p9_statistics)}
 SQL = {
     "p4_found": r"""
         SELECT result_id,
