@@ -15,6 +15,7 @@ FIRST_NAMES = ["Joshua", "David", "Victor", "Alan", "Michael", "John", "Robert",
 SERIES_HEADERS = ["NBER WORKING PAPER SERIES", "Working Paper No", "NATIONAL BUREAU"]
 NOT_TITLES = ["NBER WORKING PAPER SERIES", "JEL No", "Labor Studies", "ABSTRACT", "Department of", "National Bureau", "This paper", "We study", "We examine"]
 APPENDED = [" NBER Working Paper", " Working Paper No", " NBER "]
+AUTHOR_MARKS = [*(f" {n} " for n in FIRST_NAMES), " by ", " By "]
 LINES = 15
 AUTHOR_LINES = 4
 
@@ -22,7 +23,12 @@ _STATE = "struct<done:boolean,title:string,authors:string,year:string>"
 
 
 def _first_lines(content: Column, n: int) -> Column:
-    return F.slice(F.split(strip(content), "\n"), 1, n)
+    return F.transform(F.slice(F.split(strip(content), "\n"), 1, n), lambda x: strip(x))
+
+
+def _with(value: Column, use) -> Column:
+    """use(value) with the value computed once: a function's body is evaluated for each element otherwise."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _contains_any(line: Column, phrases: list[str]) -> Column:
@@ -41,15 +47,16 @@ def _before(line: Column, phrase: str) -> Column:
 def leading_metadata(content: Column | str) -> Column:
     """struct<title, authors, year> by two layouts: one line of title, authors and series; or a heading
     with an author line below."""
-    content = as_column(content)
-    lines = _first_lines(content, LINES)
-    below = _first_lines(content, LINES + AUTHOR_LINES)
-    clean = F.transform(lines, lambda x: strip(x))
-    clean_below = F.transform(below, lambda x: strip(x))
-    any_year = F.try_element_at(F.filter(F.transform(lines, year_in), lambda y: y.isNotNull()), F.lit(1))
+    known = _first_lines(as_column(content), LINES + AUTHOR_LINES)
+    year = lambda lines: F.try_element_at(F.filter(F.transform(F.slice(lines, 1, LINES), year_in), lambda y: y.isNotNull()), F.lit(1))
+    return _with(F.struct(known.alias("lines")), lambda x: _with(F.struct(x["lines"].alias("lines"), year(x["lines"]).alias("year")), _folded))
+
+
+def _folded(known: Column) -> Column:
+    below, any_year = known["lines"], known["year"]
 
     def step(state: Column, i: Column) -> Column:
-        line = F.element_at(clean, i)
+        line = F.element_at(below, i)
         joined = (F.length(line) > 80) & F.upper(line).contains("NBER") & ~line.startswith("#")
         before = _before(line, "NBER")
         cut = F
@@ -62,7 +69,7 @@ def leading_metadata(content: Column | str) -> Column:
         heading = strip(F.substring(line, 4, 1_000_000_000))
         titled = line.startswith("## ") & ~_contains_any(heading, SERIES_HEADERS) & (F.length(heading) > 20)
         named = lambda x: F.exists(F.array(*map(F.lit, FIRST_NAMES)), lambda n: x.contains(n))
-        author_lines = F.filter(F.slice(clean_below, i + 1, F.lit(AUTHOR_LINES)), lambda x: (x != "") & ~x.startswith("#") & named(x) & (F.length(x) < 100))
+        author_lines = F.filter(F.slice(below, i + 1, F.lit(AUTHOR_LINES)), lambda x: (x != "") & ~x.startswith("#") & named(x) & (F.length(x) < 100))
         made = lambda done, title, authors, year: F.struct(done.alias("done"), title.alias("title"), authors.alias("authors"), year.alias("year")).cast(_STATE)
         found_1 = made(F.lit(True), title_1, authors_1, year_1)
         found_2 = made(F.lit(True), heading, F.try_element_at(author_lines, F.lit(1)), F.coalesce(any_year, state["year"]))
@@ -70,14 +77,14 @@ def leading_metadata(content: Column | str) -> Column:
         return F.when(state["done"], state).when(joined & (cut > 0), found_1).when(titled, found_2).when(joined, kept).otherwise(state)
 
     nothing = F.struct(F.lit(False).alias("done"), F.lit(None).alias("title"), F.lit(None).alias("authors"), F.lit(None).alias("year")).cast(_STATE)
-    end = F.aggregate(F.sequence(F.lit(1), F.size(clean)), nothing, step)
-    return F.struct(end["title"].alias("title"), end["authors"].alias("authors"), end["year"].alias("year"))
+    end = F.aggregate(F.sequence(F.lit(1), F.least(F.size(below), F.lit(LINES))), nothing, step)
+    return _with(end, lambda e: F.struct(e["title"].alias("title"), e["authors"].alias("authors"), e["year"].alias("year")))
 
 
 def _without_authors(text: Column) -> Column:
     """A title cut at the first indicator of authors in it, by the indicators' order."""
     out = F
-    for mark in [*(f" {n} " for n in FIRST_NAMES), " by ", " By "]:
+    for mark in AUTHOR_MARKS:
         out = out.when(text.contains(mark), strip(F.substring_index(text, mark, 1)))
     return out.otherwise(text)
 
@@ -85,20 +92,14 @@ def _without_authors(text: Column) -> Column:
 def leading_title(content: Column | str) -> Column:
     """The first line that passes for a title, cut before authors and series; null if none does."""
 
-    def title_of(raw: Column) -> Column:
-        line = strip(raw)
+    def title_of(line: Column) -> Column:
         skipped = _contains_any(line, NOT_TITLES)
-        appended = []
-        for phrase in APPENDED:
-            prefix = _without_authors(_before(line, phrase))
-            appended.append(F.when(F.lower(line).contains(phrase.lower()) & (F.length(prefix) > 30), prefix))
+        long = lambda prefix, n: _with(prefix, lambda x: F.when(F.length(x) > n, x))
+        appended = [F.when(F.lower(line).contains(p.lower()), long(_with(_before(line, p), _without_authors), 30)) for p in APPENDED]
         heading = strip(F.substring(line, 4, 1_000_000_000))
         is_heading = line.startswith("## ") & (F.length(heading) > 20)
         plain = (F.length(line) > 40) & ~line.startswith("#")
-        split = []
-        for mark in [*(f" {n} " for n in FIRST_NAMES), " by ", " By "]:
-            prefix = strip(F.substring_index(line, mark, 1))
-            split.append(F.when(line.contains(mark) & (F.length(prefix) > 20), prefix))
+        split = [F.when(line.contains(m), long(strip(F.substring_index(line, m, 1)), 20)) for m in AUTHOR_MARKS]
         whole = F.when(F.length(line) < 150, line)
         return (
             F.when(line == "", F.lit(None).cast("string"))

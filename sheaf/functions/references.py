@@ -28,7 +28,7 @@ def doi_of(reference: Column | str) -> Column:
 def pages_of(reference: Column | str) -> Column:
     """The last range of pages."""
     text = F.regexp_replace(as_column(reference), r"(?i)doi.*$", "")
-    return null_if_empty(F.element_at(F.concat(F.array(F.lit("")), F.regexp_extract_all(text, F.lit(r"(?<![\d.])(\d+[-–]\d+)(?![\d])"), 1)), -1))
+    return null_if_empty(F.element_at(F.concat(F.array(F.lit("")), F.regexp_extract_all(text, F.lit(r"(?:^|[^\d.])(\d+[-–]\d+)(?:\D|$)"), 1)), -1))
 
 
 def title_of(reference: Column | str) -> Column:
