@@ -13,6 +13,7 @@ Other columns of the input are ignored, whatever their names.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from collections.abc import Iterator
@@ -27,6 +28,8 @@ from sheaf.session import batched, settle
 CELL = "array<struct<name:string,type:string,value:string,raw:string>>"
 #: Salts per file for the join of cells with the few names that change: a file may hold a third of all lines.
 SALTS = 16
+#: Names of fields that each worker may hold while it reads values.
+NAMES = 100_000
 #: Rounds of flooding; the fixpoint is reached far earlier on schemas of dozens of fields.
 ROUNDS = 50
 
@@ -74,17 +77,25 @@ def _not_json(token: str) -> None:
     raise ValueError(token)
 
 
-def parse_fields(record: str | None) -> list[tuple] | None:
-    """Fields of one JSON object as (name, type, spelling-free value, text of its leaves); None if it isn't one."""
+def fields_of(record: str | None) -> dict | None:
+    """The fields of a JSON object; None if a record isn't one.
+
+    Python's parser is used as Spark's accepts text after the object and drops whether a number had a
+    decimal point.
+    """
     if record is None:
         return None
     try:
         fields = json.loads(record, parse_constant=_not_json)
     except (ValueError, RecursionError):
         return None
-    if not isinstance(fields, dict):
-        return None
-    return [(k, _json_type(v), spelling_free(v), v if isinstance(v, str) else " ".join(_leaves(v)) or None) for k, v in fields.items()]
+    return fields if isinstance(fields, dict) else None
+
+
+def parse_fields(record: str | None) -> list[tuple] | None:
+    """Fields of one JSON object as (name, type, spelling-free value, text of its leaves); None if it isn't one."""
+    fields = fields_of(record)
+    return None if fields is None else [(k, _json_type(v), spelling_free(v), v if isinstance(v, str) else " ".join(_leaves(v)) or None) for k, v in fields.items()]
 
 
 @batched(CELL)
@@ -93,11 +104,7 @@ def _cells(records: pd.Series) -> pd.Series:
 
 
 def records(lines: DataFrame, *keep: str) -> DataFrame:
-    """(series_id, file_no, paper_id, cells, ...) of the lines that are JSON objects.
-
-    Python's parser is used as Spark's accepts text after the object and drops whether a number had a
-    decimal point. Arrow batches; one pass over the lines.
-    """
+    """(series_id, file_no, paper_id, cells, ...) of the lines that are JSON objects."""
     read = lines.where("record is not null").select("series_id", "file_no", *keep, "record").withColumn("cells", _cells("record"))
     return read.where("cells is not null").select("series_id", "file_no", F.expr("get(filter(cells, c -> c.name = 'paper_id'), 0).raw").alias("paper_id"), "cells", *keep)
 
@@ -107,6 +114,7 @@ def _name_words(name: str) -> set[str]:
     return set(re.split(r"[\W_]+", spaced.lower())) - {""}
 
 
+@functools.lru_cache(maxsize=65_536)
 def name_similarity(a: str, b: str) -> float:
     """Dice coefficient of the words of two names, and of their letter pairs, whichever is larger."""
     words_a, words_b = _name_words(a), _name_words(b)
@@ -172,9 +180,43 @@ def _flooded(before: pd.Series, after: pd.Series, evidence: pd.Series) -> pd.Ser
     return pd.Series([one(*x) for x in zip(before, after, evidence)])
 
 
-def _profiles(cells: DataFrame) -> DataFrame:
+def _types(lines: DataFrame) -> DataFrame:
+    """(series_id, file_no, name, type) that occur; repeats within a batch don't leave Python."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            seen = set()
+            for series, number, record in zip(batch["series_id"], batch["file_no"], batch["record"]):
+                for name, value in (fields_of(record) or {}).items():
+                    seen.add((series, number, name, _json_type(value)))
+            yield pd.DataFrame(list(seen), columns=["series_id", "file_no", "name", "type"])
+
+    named = lines.where("record is not null and series_id is not null and file_no is not null").select("series_id", "file_no", "record")
+    return named.mapInPandas(read, "series_id bigint, file_no int, name string, type string")
+
+
+def _values(lines: DataFrame, names: frozenset[str] | None) -> DataFrame:
+    """(series_id, file_no, line_no, paper_id, name, value) of the fields with these names (None: all)."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for series, number, line, record in zip(batch["series_id"], batch["file_no"], batch["line_no"], batch["record"]):
+                fields = fields_of(record)
+                if fields is None or (paper := spelling_free(fields.get("paper_id"))) is None:
+                    continue
+                for name in fields.keys() if names is None else fields.keys() & names:
+                    if (value := spelling_free(fields[name])) is not None:
+                        rows.append((series, number, line, paper, name, value))
+            yield pd.DataFrame(rows, columns=["series_id", "file_no", "line_no", "paper_id", "name", "value"])
+
+    named = lines.where("record is not null and series_id is not null and file_no is not null").select("series_id", "file_no", F.coalesce("line_no", F.lit(0)).alias("line_no"), "record")
+    return named.mapInPandas(read, "series_id bigint, file_no int, line_no int, paper_id string, name string, value string")
+
+
+def _profiles(types: DataFrame) -> DataFrame:
     """Per file: its fields with the types of their non-null values. Aggregated before the shuffle."""
-    by_name = cells.groupBy("series_id", "file_no", "name").agg(F.array_sort(F.collect_set("type")).alias("types"))
+    by_name = types.groupBy("series_id", "file_no", "name").agg(F.array_sort(F.collect_set("type")).alias("types"))
     return by_name.groupBy("series_id", "file_no").agg(F.array_sort(F.collect_list(F.struct("name", "types"))).alias("fields"))
 
 
@@ -184,10 +226,11 @@ def _names(fields: str) -> Column:
 
 def _steps(lines: DataFrame) -> DataFrame:
     """A row for each file with file_no above 1 whose predecessor exists: the fields before and after."""
-    cells = records(lines).select("series_id", "file_no", F.explode("cells").alias("c")).select("series_id", "file_no", "c.name", "c.type")
     files = lines.select("series_id", "file_no").where("series_id is not null and file_no is not null").dropDuplicates()
     empty = F.array().cast("array<struct<name:string,types:array<string>>>")
-    schemas = files.join(_profiles(cells), ["series_id", "file_no"], "left").withColumn("fields", F.coalesce("fields", empty))
+    schemas = files.join(_profiles(_types(lines)), ["series_id", "file_no"], "left").withColumn("fields", F.coalesce("fields", empty))
+    # Read once, though each file is looked at as the earlier and as the later one.
+    schemas = settle(schemas)
     later = schemas.where("file_no > 1").withColumnRenamed("fields", "after")
     earlier = schemas.select("series_id", (F.col("file_no") + 1).alias("file_no"), F.col("fields").alias("before"))
     return later.join(earlier, ["series_id", "file_no"]).withColumns({
@@ -206,16 +249,14 @@ def transitions(lines: DataFrame) -> DataFrame:
     The lines are parsed twice: for the fields of each file (a result of the schemas' size, settled),
     then for the values under names that change, which are few.
     """
-    steps = settle(_steps(lines))
+    steps = _steps(lines)
     open_steps = steps.where("size(gone) > 0 and size(come) > 0")
     role = lambda names, at, is_new: open_steps.select("series_id", at.alias("file_no"), F.explode(names).alias("name"), F.col("file_no").alias("step"), F.lit(is_new).alias("is_new"))
     wanted = role("gone", F.col("file_no") - 1, False).unionByName(role("come", F.col("file_no"), True))
     salted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    values = (
-        records(lines, "line_no").where("paper_id is not null").select("series_id", "file_no", "paper_id", "line_no", F.explode("cells").alias("c"))
-        .select("series_id", "file_no", "paper_id", "line_no", "c.name", "c.value").where("value is not null")
-        .withColumn("salt", F.pmod(F.hash("paper_id"), F.lit(SALTS)))
-    )
+    # Names are as many as schemas have, whatever the lines; beyond NAMES all fields are read instead.
+    names = [r[0] for r in wanted.select("name").distinct().limit(NAMES + 1).collect()]
+    values = _values(lines, frozenset(names) if len(names) <= NAMES else None).withColumn("salt", F.pmod(F.hash("paper_id"), F.lit(SALTS)))
     last = values.join(salted, ["series_id", "file_no", "name", "salt"]).groupBy("series_id", "step", "paper_id", "is_new", "name").agg(F.max_by("value", "line_no").alias("value"))
     # A paper has at most one value per name and role: the lists are as long as the schemas.
     side = lambda is_new: F.filter("all", lambda x: x["is_new"] == F.lit(is_new))
@@ -225,7 +266,9 @@ def transitions(lines: DataFrame) -> DataFrame:
         F.count("*").alias("both"), F.sum((F.col("o.value") == F.col("n.value")).cast("long")).alias("same")
     )
     evidence = counted.groupBy("series_id", F.col("step").alias("file_no")).agg(F.collect_list(F.struct("old", "new", "both", "same")).alias("evidence"))
-    joined = steps.join(evidence, ["series_id", "file_no"], "left")
+    # Schemas are small but matching them isn't cheap: a set number of partitions isn't coalesced by size.
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = steps.join(evidence, ["series_id", "file_no"], "left").repartition(tasks, "series_id", "file_no")
     none = F.array().cast("array<struct<old:string,new:string,score:double>>")
     matched = joined.withColumn("matches", F.when(F.size("evidence") > 0, _flooded("before", "after", "evidence")).otherwise(none))
     # The exact check: most of the papers with both values hold the same one.

@@ -164,6 +164,7 @@ def amounts(matrix: DataFrame, schema: DataFrame) -> DataFrame:
     from zero. Terms of training time are added up.
     """
     spark = matrix.sparkSession
+    matrix, schema = matrix.select("row_id", "review", "notes", *TARGETS), schema.select("review", "key", "description")
     columns = ["row_id", "field", "term", "number", "times", "unit", "single"]
     rates = [_rates(matrix, schema, f, t).select(columns) for f, t in (("effect_size", "effect size"), ("performance_improvement", "improvement"))]
     cells = rates[0].unionByName(rates[1]).unionByName(_times(matrix).select(columns))
