@@ -22,7 +22,7 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
-    """CSV with a header, quotes doubled and empty text for null, CRLF line ends."""
+    """CSV with a header, quotes doubled and empty text for null, CRLF line ends (within cells too)."""
     text = df.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns))
     (text.coalesce(1) if one_file else text).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").option("lineSep", "\r\n").csv(path)
 
