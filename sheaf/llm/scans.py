@@ -68,7 +68,7 @@ _ROMAN = re.compile(r"(?i)m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i
 _DRESSED = re.compile(r"(?i)(?:[-–—~*•.]\s*(N)\s*[-–—~*•.]|\[\s*(N)\s*\]|\(\s*(N)\s*\)|(?:page|pag\.?|seite|p\.|pg\.?|стр\.?|página)\s*(N)(?:\s*(?:of|/|de|von)\s*\d+)?|(N)\s*(?:/|of)\s*\d+|\|\s*(N)\s*\|?)".replace("N", r"[\dol|!ib]{1,6}|[ivxlcdm]{1,8}"))
 _NUMBERED = re.compile(r"(?i)(?:^([\dol|!]{1,5}|[ivxlc]{1,8})(?:\s{2,}|\s+\|\s+)\S.*|.*\S(?:\s{2,}|\s+\|\s+)([\dol|!]{1,5}|[ivxlc]{1,8})$)")
 _AUTHORS = re.compile(r"(?i).{2,60}\bet\s+a[l1|!i]\.?$")
-_VOLUME = re.compile(r"(?i).{4,80},?\s(?:vo[l1|!i]|no|nr|bd|t)\.\s*[\dol|!b]+(?:[,(\s].{0,20})?$")
+_VOLUME = re.compile(r"(?i).{4,80},?\s(?:vo[l1|!i]|bd|t)\.\s*[\dol|!b]+(?:[,(\s].{0,20})?$")
 _ENDED = re.compile(r"[.!?…:;]['\"”’»)\]]*$")
 _FOLDED = str.maketrans("cftl!1|05qb8", "eeeiiiiosghb")
 
@@ -101,20 +101,30 @@ def fold(text: str) -> str:
     return _SIGNS.sub("", text.replace("ii", "u"))
 
 
+def line_width(lengths: list[int]) -> int:
+    """The width that lines are set to: what nine of ten long lines keep within (a title may be wider)."""
+    long = sorted(n for n in lengths if n > 30)
+    return long[(len(long) - 1) * 9 // 10] if long else 0
+
+
 def in_short_lines(text: str) -> bool:
-    """Whether a text is set in short lines, as scanned pages are."""
-    long = [len(s) for s in map(str.rstrip, text.split("\n")) if len(s) > 30]
-    if len(long) < 5:
+    """Whether a text is set in short lines, as scanned pages are: most of its long lines are about as long
+    as the others and stop within a sentence."""
+    lines = [s for s in map(str.rstrip, text.split("\n")) if len(s) > 30]
+    if len(lines) < 5:
+        return False
+    width = line_width(list(map(len, lines)))
+    if width > 120:
         return False
-    width = max(long)
-    return width <= 120 and sum(n > 0.75 * width for n in long) > 0.6 * len(long)
+    full = [s for s in lines if 0.75 * width < len(s) <= 1.1 * width]
+    return len(full) > 0.6 * len(lines) and sum(s[-1] in ".!?|" for s in full) < 0.5 * len(full)
 
 
 def features(lines: list[str]) -> tuple[list[int], list[tuple[str, ...]]]:
     """(numbers of the lines that aren't blank, their features)."""
     at = [i for i, s in enumerate(lines) if s.strip()]
     clean = [lines[i].strip() for i in at]
-    width = max(map(len, clean), default=1)
+    width = line_width([len(s) for s in clean]) or max(map(len, clean), default=1)
     shapes, values = [], []
     for s in clean:
         value, shape = None, None
