@@ -77,6 +77,9 @@ def _any_sequence() -> re.Pattern:
     return re.compile("[" + "".join(map(re.escape, sorted(lead))) + "][" + "".join(map(re.escape, sorted(rest))) + "]")
 
 
+#: Control characters that stand where Windows encodings have signs, and those signs.
+_CONTROLS = {chr(b): _decoded("cp1252")[b] for b in range(0x80, 0xA0) if ord(_decoded("cp1252")[b]) > 0x9F}
+_CONTROL = re.compile("[" + "".join(map(re.escape, _CONTROLS)) + "]")
 _LATIN_RUN = re.compile("[¨¸À-ÿ]{3}")
 _TURNED_CASE = re.compile("[а-яё][А-ЯЁ]{2}|[А-ЯЁ]{4}")
 _ACCENTED_WORD = re.compile(r"(?<![A-Za-z])[^\x00-\x7f\s]+(?![A-Za-z])")
@@ -111,7 +114,7 @@ def undo_single(text: str, written: str, read: str) -> tuple[str, int]:
     def decode(found: re.Match) -> str:
         nonlocal n
         word = found[0]
-        if not any(c.isalpha() for c in word):
+        if not any(c.isalpha() or c in _CONTROLS for c in word):
             return word
         back = "".join(to[of[c]] if c in of else c for c in word)
         letters = [c for c in back if c.isalpha()]
@@ -126,7 +129,7 @@ def undo_single(text: str, written: str, read: str) -> tuple[str, int]:
 def is_suspect(line: str) -> bool:
     """Whether some chain could be undone on the line, or a character is lost."""
     runs = _runs(line)
-    return bool("�" in line or runs and (_any_sequence().search(runs) or _LATIN_RUN.search(runs) or _TURNED_CASE.search(runs)))
+    return bool("�" in line or _CONTROL.search(line) or runs and (_any_sequence().search(runs) or _LATIN_RUN.search(runs) or _TURNED_CASE.search(runs)))
 
 
 def _runs(text: str) -> str:
@@ -171,6 +174,8 @@ def _steps(text: str, model: Pairs) -> Iterator[tuple[str, str, float]]:
                     of = _bytes_of(codec)
                     cost = per * sum(c.isalpha() and c in of for run in _WIDE.findall(_sequences(codec).sub("", text)) for c in run)
                 yield codec, back, cost
+    if _CONTROL.search(text):
+        yield "cp1252>latin_1", _CONTROL.sub(lambda m: _CONTROLS[m[0]], text), 0.0
     for written, read in SINGLE_BYTE:
         if (_LATIN_RUN if read == "cp1252" else _TURNED_CASE).search(runs):
             back, n = undo_single(text, written, read)
