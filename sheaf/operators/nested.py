@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheaf.session import settle
+
 NODES = "record_id bigint, kind string, pre int, post int, depth int, item_no int, number int, attributes map<string,string>"
 
 
@@ -183,14 +185,18 @@ def chapters(nodes: DataFrame) -> DataFrame:
     )
 
 
-def summaries(nodes: DataFrame) -> DataFrame:
-    """record_id, summary_no, chapter_no (0 if none) and the text fields."""
+def _placed_summaries(nodes: DataFrame) -> DataFrame:
+    """The summaries with chapter_no: the chapter that holds them, else the first of their number, else 0."""
     held = within(nodes, "summary", "chapter")
     first = nodes.where("kind = 'chapter' and number is not null").groupBy("record_id", "number").agg(F.min("item_no").alias("_first"))
-    linked = held.join(first, ["record_id", "number"], "left")
     chapter = F.when(F.col("parent_no") > 0, F.col("parent_no")).otherwise(F.coalesce("_first", F.lit(0)))
+    return held.join(first, ["record_id", "number"], "left").withColumn("chapter_no", chapter.cast("int")).drop("_first")
+
+
+def summaries(nodes: DataFrame) -> DataFrame:
+    """record_id, summary_no, chapter_no (0 if none) and the text fields."""
     text = [F.col("attributes")[c].alias(c) for c in ("main_thesis", "unique_insight", "key_evidence", "counterexample", "how_to", "practical_implications", "builds_on", "golden_quote")]
-    return linked.select("record_id", F.col("item_no").alias("summary_no"), chapter.cast("int").alias("chapter_no"), *text)
+    return _placed_summaries(nodes).select("record_id", F.col("item_no").alias("summary_no"), "chapter_no", *text)
 
 
 def key_terms(nodes: DataFrame) -> DataFrame:
@@ -204,16 +210,9 @@ def key_themes(nodes: DataFrame) -> DataFrame:
 
 
 def links(records: DataFrame) -> DataFrame:
-    """One row per child: record_id, relation, parent_no, item_no."""
-    nodes = label_nodes(records)
-    zero = F.lit(0).cast("int")
-    parts = [
-        chapters(nodes).select("record_id", F.lit("chapter").alias("relation"), zero.alias("parent_no"), F.col("chapter_no").alias("item_no")),
-        summaries(nodes).select("record_id", F.lit("summary").alias("relation"), F.col("chapter_no").alias("parent_no"), F.col("summary_no").alias("item_no")),
-        key_terms(nodes).select("record_id", F.lit("key_term").alias("relation"), F.col("summary_no").alias("parent_no"), F.col("term_no").alias("item_no")),
-        key_themes(nodes).select("record_id", F.lit("key_theme").alias("relation"), zero.alias("parent_no"), F.col("theme_no").alias("item_no")),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """One row per child: record_id, relation, parent_no, item_no. The records are walked once."""
+    nodes = settle(label_nodes(records).drop("attributes"))
+    flat = nodes.where("kind in ('chapter', 'key_theme')").select("record_id", F.col("kind").alias("relation"), F.lit(0).alias("parent_no"), "item_no")
+    placed = _placed_summaries(nodes).select("record_id", F.lit("summary").alias("relation"), F.col("chapter_no").alias("parent_no"), "item_no")
+    terms = within(nodes, "key_term", "summary").select("record_id", F.lit("key_term").alias("relation"), "parent_no", "item_no")
+    return flat.unionByName(placed).unionByName(terms)
