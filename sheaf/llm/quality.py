@@ -225,7 +225,7 @@ def block_kind(lines: list[str]) -> str:
         if rows <= 0.5 and near <= 0.22:
             rows = max(rows, _columns(lines))
     apart["junk"] += 0.25 - _emptiness(text, lines, text.split(), shares, rows, sum(map(len, common)) / len(text))
-    apart["table"] += 0.3 - 1.2 * (rows > 0.5) - 0.2 * rows
+    apart["table"] += 0.3 - 1.2 * (rows > 0.5) - 0.2 * rows + (rows <= 0.3)
     items = 0.0
     if len(lines) > 1:
         shaped = list(map(_is_item, lines))
@@ -238,7 +238,7 @@ def block_kind(lines: list[str]) -> str:
                 items = 0.9
             elif sum(bool(_ITEM_COLON.match(s.strip())) for s in lines) >= 0.8 * len(lines):
                 items = 0.8
-    apart["list"] += 0.3 - 1.1 * items
+    apart["list"] += 0.3 - 1.1 * items + (items == 0)
     return min(KINDS, key=lambda k: (apart[k], KINDS.index(k)))
 
 
@@ -263,7 +263,13 @@ def kind(text: str | None) -> str | None:
             if block or not (_HEADING.match(line) or (_INTRO.fullmatch(line) and not _MARK.match(line))):
                 block.append(line)
         elif block:
-            held[block_kind(block)] += sum(map(len, block))
+            found = block_kind(block)
+            held[found] += sum(map(len, block))
+            if found in ("list", "table"):
+                # A paragraph of several sentences that runs on behind an item or a row is neither.
+                paragraphs = sum(len(s) for s in block if len(s) > 300 and s.count(". ") >= 3)
+                held[found] -= paragraphs
+                held["prose"] += paragraphs
             block = []
     if held["prose"] * 2 > size and len(lines) > 6:
         # Items set apart by blank lines are read together.
