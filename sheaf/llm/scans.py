@@ -35,8 +35,8 @@ EMISSIONS = {
     "shape": {
         "dressed": (0.0005, 0.002, 0.001, 0.45), "bare": (0.002, 0.02, 0.001, 0.30), "roman": (0.0005, 0.002, 0.001, 0.24),
         "numbered": (0.002, 0.005, 0.30, 0.001), "capitals": (0.001, 0.03, 0.30, 0.001), "authors": (0.0005, 0.001, 0.20, 0.001),
-        "volume": (0.0005, 0.001, 0.15, 0.001), "title": (0.02, 0.60, 0.004, 0.001), "full": (0.70, 0.13, 0.0001, 0.0002),
-        "ended": (0.20, 0.10, 0.0001, 0.0002), "short": (0.07, 0.10, 0.0005, 0.0005),
+        "volume": (0.0005, 0.001, 0.15, 0.001), "title": (0.02, 0.60, 0.0003, 0.001), "full": (0.70, 0.13, 0.0001, 0.0002),
+        "ended": (0.20, 0.10, 0.00001, 0.00002), "short": (0.07, 0.10, 0.0005, 0.0005),
     },
     "repeats": {"once": (0.97, 0.85, 0.20, 0.35), "twice": (0.02, 0.10, 0.30, 0.20), "often": (0.01, 0.05, 0.50, 0.45)},
     "counting": {"on": (0.01, 0.03, 0.30, 0.80), "off": (0.02, 0.07, 0.05, 0.19), "none": (0.97, 0.90, 0.65, 0.01)},
