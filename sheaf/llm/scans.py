@@ -73,6 +73,9 @@ _ENDED = re.compile(r"[.!?…:;]['\"”’»)\]]*$")
 _FOLDED = str.maketrans("cftl!1|05qb8", "eeeiiiiosghb")
 
 
+_AS_DIGITS = str.maketrans({"o": "0", "O": "0", "l": "1", "I": "1", "i": "1", "|": "1", "!": "1", "b": "6", "B": "8", "s": "5", "S": "5", "z": "2", "Z": "2", "q": "9"})
+
+
 def _value(text: str) -> int | None:
     """The number that a page number shows, misread digits included; None if it shows none."""
     if text.isdigit():
@@ -84,7 +87,7 @@ def _value(text: str) -> int | None:
             total += n if n >= last else -n
             last = max(last, n)
         return total
-    digits = "".join({"o": "0", "O": "0", "l": "1", "I": "1", "i": "1", "|": "1", "!": "1", "b": "6"}.get(c, c) for c in text)
+    digits = text.translate(_AS_DIGITS)
     return int(digits) if digits.isdigit() and any(map(str.isdigit, text)) else None
 
 
@@ -390,10 +393,10 @@ def _mended(line: str, lexicon: Lexicon) -> str:
         word = token[0]
         if not lexicon.is_misread(word):
             return word
+        if _NUMBERISH.fullmatch(word):
+            return word.translate(_AS_DIGITS)
         right = lexicon.correct(word.lower())
         if right is None:
-            if _NUMBERISH.fullmatch(word):
-                return "".join({"o": "0", "O": "0", "l": "1", "I": "1", "i": "1", "|": "1", "!": "1", "b": "6"}.get(c, c) for c in word)
             return word
         return right.capitalize() if word[0].isupper() or (word[0] in "501l|!" and len(word) > 1 and word[1:].islower() and line.startswith(word)) else right
 
