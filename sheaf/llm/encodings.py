@@ -36,7 +36,7 @@ MOST_STEPS = 4
 RAREST = 1e-6
 ROUNDS = 6
 #: Sources with a share of their own; more of them share by hash.
-SOURCES = 1000
+SOURCES = 64
 #: Weight of a character that a whole-line chain would have changed but left.
 LEFT_OUT = {"cp1252": 0.5, "cp1250": 0.5, "cp1251": 8.0}
 
