@@ -161,3 +161,18 @@ def test_pages(spark):
     got = df.select(chunks.valid_pages("p", 3).alias("v")).first()["v"]
     assert got["valid"] == [0, 1, 2] and got["invalid"] == [100, -1]
     assert values(spark, chunks.page_range, ["1-3,7", "2", "1-", "abc", "0", "", "3-1", None]) == [[0, 1, 2, 6], [1], None, None, None, None, None, None]
+
+
+def test_small_ones(spark):
+    assert values(spark, lambda c: text.document_title(F.lit(None).cast("string"), c), ["## A title\nbody", "no heading", None]) == ["A title", None, None]
+    assert values(spark, lambda c: text.book_title(c, F.lit("stem")), ["  First line \nmore", "\nx", None]) == ["First line", "stem", "stem"]
+    assert values(spark, lambda c: text.template_truncate(c, 10), ["short", "exactly 15 char", "this is a longer text", None]) == ["short", "exactly 15 char", "this...", None]
+    assert values(spark, text.without_line_numbers, ["12 line one\n 13  line two\nline 3"]) == ["line one\nline two\nline 3"]
+    assert values(spark, text.words_per_minute, ["word " * 251, "", None])[:2] == [2, 0]
+    df = spark.createDataFrame([("smith2020a", 1), ("smith2020a", 2), ("smith2020a", 3)], "k string, n int")
+    assert [r[0] for r in df.select(references.numbered_keys(F.col("k"), F.col("n"))).collect()] == ["smith2020a", "smith2020ab", "smith2020ac"]
+    row = spark.createDataFrame([(1, 2, "display", bytearray(b"png"), None, None)], "id int, page int, kind string, image binary, latex string, context string")
+    plain, whole = row.select(*(geometry.equation_json(F.col("id"), F.col("page"), F.col("kind"), F.struct(F.lit(1.0).alias("x0")), F.col("image"), F.col("latex"), F.col("context"), w) for w in (False, True))).first()
+    assert "latex" not in plain and "base64" not in plain and '"type":"display"' in plain and '"image_base64":"cG5n"' in whole
+    assert values(spark, lambda c: identifiers.chapter_filename(F.lit(3), c), ["Ramping: A/B Trading Off of a Very Long Title Indeed"]) == ["03_ramping__a_b_trading_off_of_a_very_long_.txt"]
+    assert values(spark, lambda c: grids.as_json(F.lit(5), c), [[["A", "B"], ["1", None]]], "array<array<string>>")[0].startswith('{"page":5,"rows":2,"cols":2')
