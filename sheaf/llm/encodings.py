@@ -35,6 +35,8 @@ MOST_STEPS = 4
 #: Character pairs rarer than this share of all pairs count as unseen; at most 1 / RAREST pairs remain.
 RAREST = 1e-6
 ROUNDS = 6
+#: Log weight that a character costs in each of its pairs if no line that the pairs are counted on has it.
+STRANGE = 10.0
 #: Sources with a share of their own; more of them share by hash.
 SOURCES = 64
 #: Weight of a character that a whole-line chain would have changed but left.
@@ -155,8 +157,14 @@ class Pairs:
         self.chars = {c for pair in self.seen for c in pair}
 
     def weigh(self, line: str) -> float:
-        seen, unseen = self.seen.get, self.unseen
-        return sum(seen(a + b, unseen) for a, b in _pairs(line))
+        seen, chars, total = self.seen, self.chars, 0.0
+        for a, b in _pairs(line):
+            known = seen.get(a + b)
+            if known is None:
+                # A character that no clean line has is less likely than a new pair of known ones.
+                known = self.unseen - STRANGE * ((a not in chars and not a.isascii()) + (b not in chars and not b.isascii()))
+            total += known
+        return total
 
 
 def _steps(text: str, model: Pairs) -> Iterator[tuple[str, str, float]]:
@@ -211,7 +219,7 @@ def candidates(line: str, model: Pairs) -> list[tuple[str, float, str]]:
 
 
 def _sifted(texts: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """One pass over the texts: suspect lines, and the counts of character pairs of all lines.
+    """One pass over the texts: suspect lines, and the counts of character pairs of all other lines.
 
     Only lines outside ASCII matter. Counts are summed within each batch before they leave Python.
     """
@@ -228,7 +236,8 @@ def _sifted(texts: DataFrame, key: str, text: str, source: str) -> DataFrame:
                         continue
                     if is_suspect(line):
                         rows.append((i, number, origin, line, 1))
-                    counts.update(map("".join, _pairs(line)))
+                    else:
+                        counts.update(map("".join, _pairs(line)))
             rows += [(None, None, None, pair, n) for pair, n in counts.items()]
             frame = pd.DataFrame(rows, columns=[key, "line_no", "source", "content", "n"])
             yield frame.astype({key: "Int64", "line_no": "Int32", "n": "int64"})
@@ -268,10 +277,10 @@ def repairs(texts: DataFrame, key: str = "result_id", text: str = "markdown", so
     sifted = settle(_sifted(texts, key, text, source))
     suspect = sifted.where("line_no is not null").select(key, "line_no", "source", "content")
     counts = sifted.where("line_no is null").groupBy("content").agg(F.sum("n").alias("n"))
-    # The pairs of garbled lines are taken out of the counts that the lines are weighed by at last.
-    first = _weighed(suspect, _known(counts), key).where("exists(candidates, c -> c.weight > 0)")
-    garbled = first.select(_pair_counts("content").alias("m")).select(F.explode("m").alias("content", "n")).groupBy("content").agg((-F.sum("n")).alias("n"))
-    clean = counts.unionByName(garbled).groupBy("content").agg(F.sum("n").alias("n")).where("n > 0")
+    # Suspect lines that no chain makes more probable are clean: their pairs count when the lines are weighed at last.
+    first = _weighed(suspect, _known(counts), key).where("not exists(candidates, c -> c.weight > 0) and not contains(content, '\ufffd')")
+    cleared = first.select(_pair_counts("content").alias("m")).select(F.explode("m").alias("content", "n")).groupBy("content").agg(F.sum("n").alias("n"))
+    clean = counts.unionByName(cleared).groupBy("content").agg(F.sum("n").alias("n"))
     weighed = settle(_weighed(suspect, _known(clean), key))
     shares = _shares(weighed)
     prior = _prior(shares)
