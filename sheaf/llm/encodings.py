@@ -139,6 +139,27 @@ def _runs(text: str) -> str:
     return " ".join(_WIDE_RUN.findall(text))
 
 
+#: Characters of European texts, and those that these become when garbled twice; sequences that become others may as well stand as they are.
+_USUAL = ((0xA0, 0x2FF), (0x370, 0x4FF), (0x2000, 0x25FF))
+
+
+def is_garbled(line: str) -> bool:
+    """Whether a suspect line holds what clean ones hardly do, so that its pairs mustn't count as clean."""
+    runs = _runs(line)
+    if "�" in line or _CONTROL.search(line) or _LATIN_RUN.search(runs) or _TURNED_CASE.search(runs):
+        return True
+    for codec in UTF8_READ_AS:
+        of = _bytes_of(codec)
+        for found in _sequences(codec).findall(runs):
+            try:
+                char = ord(bytes(of[c] for c in found).decode("utf-8"))
+            except UnicodeDecodeError:
+                continue
+            if any(low <= char <= high for low, high in _USUAL):
+                return True
+    return False
+
+
 def _pairs(line: str) -> Iterator[tuple[str, str]]:
     """Neighbouring characters, letters lowered, of which one at least isn't ASCII."""
     padded = f" {line.lower()} "
@@ -194,7 +215,7 @@ def _steps(text: str, model: Pairs) -> Iterator[tuple[str, str, float]]:
 def candidates(line: str, model: Pairs) -> list[tuple[str, float, str]]:
     """(chain, log weight against the line as it stands, undone text) of the chains that can be undone.
 
-    A further step is followed only from where the last one left the text more probable.
+    Behind the first step a further one is followed only from where the last left the text more probable.
     """
     if line.isascii():
         return []
@@ -210,7 +231,7 @@ def candidates(line: str, model: Pairs) -> list[tuple[str, float, str]]:
                 base = model.weigh(line) if base is None else base
                 weight = model.weigh(back) - base - cost - more
                 out[back] = (f"{chain}+{step}" if chain else step, weight, back)
-                if weight > before:
+                if weight > before or not chain:
                     after.append((out[back][0], weight, cost + more, back))
         front = sorted(after, key=lambda x: -x[1])[:2]
         if not front:
@@ -219,7 +240,8 @@ def candidates(line: str, model: Pairs) -> list[tuple[str, float, str]]:
 
 
 def _sifted(texts: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """One pass over the texts: suspect lines, and the counts of character pairs of all other lines.
+    """One pass over the texts: suspect lines (n is 1 if garbled), and the counts of character pairs of lines
+    that aren't garbled.
 
     Only lines outside ASCII matter. Counts are summed within each batch before they leave Python.
     """
@@ -234,9 +256,11 @@ def _sifted(texts: DataFrame, key: str, text: str, source: str) -> DataFrame:
                 for number, line in enumerate(value.split("\n"), 1):
                     if line.isascii():
                         continue
-                    if is_suspect(line):
-                        rows.append((i, number, origin, line, 1))
-                    else:
+                    suspect = is_suspect(line)
+                    garbled = suspect and is_garbled(line)
+                    if suspect:
+                        rows.append((i, number, origin, line, int(garbled)))
+                    if not garbled:
                         counts.update(map("".join, _pairs(line)))
             rows += [(None, None, None, pair, n) for pair, n in counts.items()]
             frame = pd.DataFrame(rows, columns=[key, "line_no", "source", "content", "n"])
@@ -275,13 +299,13 @@ def _weighed(suspect: DataFrame, known: dict[str, int], key: str) -> DataFrame:
 def repairs(texts: DataFrame, key: str = "result_id", text: str = "markdown", source: str = "engine") -> DataFrame:
     """(key, line_no, outcome, repaired) of every line with characters that wrong decoding put there."""
     sifted = settle(_sifted(texts, key, text, source))
-    suspect = sifted.where("line_no is not null").select(key, "line_no", "source", "content")
+    suspect = sifted.where("line_no is not null").select(key, "line_no", "source", "content", "n")
     counts = sifted.where("line_no is null").groupBy("content").agg(F.sum("n").alias("n"))
-    # Suspect lines that no chain makes more probable are clean: their pairs count when the lines are weighed at last.
-    first = _weighed(suspect, _known(counts), key).where("not exists(candidates, c -> c.weight > 0) and not contains(content, '\ufffd')")
+    # Those that no chain makes more probable are clean after all: their pairs count when the lines are weighed at last.
+    first = _weighed(suspect.where("n = 1").drop("n"), _known(counts), key).where("not exists(candidates, c -> c.weight > 0) and not contains(content, '\ufffd')")
     cleared = first.select(_pair_counts("content").alias("m")).select(F.explode("m").alias("content", "n")).groupBy("content").agg(F.sum("n").alias("n"))
     clean = counts.unionByName(cleared).groupBy("content").agg(F.sum("n").alias("n"))
-    weighed = settle(_weighed(suspect, _known(clean), key))
+    weighed = settle(_weighed(suspect.drop("n"), _known(clean), key))
     shares = _shares(weighed)
     prior = _prior(shares)
     scored = F.transform("candidates", lambda c: F.struct((c["weight"] + prior(c["chain"])).alias("score"), c["text"].alias("text")))
