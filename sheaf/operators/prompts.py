@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from sheaf.functions.text import head_and_tail, left
+from sheaf.operators import corpus
 
 # Characters of a text that each kind of prompt takes.
 SCHEMA_PREFIX, PLAN_PREFIX, SECTIONS_PREFIX = 3_000, 30_000, 50_000
+# Characters of single fields in the prompts over all papers, as the reference takes them.
+FINDING_PREFIX, METHOD_PREFIX, CATEGORY_PREFIX = 500, 300, 200
 MOST_TABLES = 3
 
 
@@ -64,6 +67,53 @@ def chapter_prompt(text: Column | str, title: Column | str, context: Column | st
     return F.concat(F.lit("Summarise this chapter as one JSON object.\nTITLE: "), title, F.lit("\n"), context, F.lit("\n\nTEXT:\n"), head_and_tail(text))
 
 
+def _in_order(rows: DataFrame, group: str, order: str, lead: Column, line: Column, between: str) -> DataFrame:
+    """(group, prompt): one prompt per group, with all of its rows' lines in order."""
+    joined = corpus.joined_texts(rows.select(group, order, line.alias("line")), group, order, "line", between)
+    return joined.join(rows.groupBy(group).agg(F.count("*").cast("string").alias("n")), group).select(group, F.concat(lead, F.col("joined")).alias("prompt"))
+
+
+def _object(**fields: Column) -> Column:
+    return F.to_json(F.struct(*(F.coalesce(c, F.lit("")).alias(k) for k, c in fields.items())))
+
+
+def summary_prompts(papers: DataFrame, group: str, order: str) -> DataFrame:
+    """(group, prompt): the prompt for an executive summary of all papers of a group."""
+    lead = F.concat(F.lit("Write an executive summary for "), F.col("n"), F.lit(
+        " papers. Target: PhD researchers. 300-400 words: what they ask, each paper's key finding with numbers and authors, where they agree or don't. "
+        "End with exactly: **Key themes:** (1) ...; (2) ...; (3) ... (3 to 5 words each).\n\nPAPERS:\n"
+    ))
+    line = _object(
+        title=F.coalesce("title", F.lit("Unknown")), authors=F.coalesce("authors", F.lit("Unknown")), year=F.coalesce("year", F.lit("n.d.")),
+        core_finding=left("results", FINDING_PREFIX), contribution=F.col("contribution"), method=left("method", METHOD_PREFIX),
+    )
+    return _in_order(papers, group, order, lead, line, "\n")
+
+
+def category_prompts(papers: DataFrame, group: str, order: str) -> DataFrame:
+    """(group, prompt): the prompt that asks for categories and each paper's place in them."""
+    lead = F.concat(F.lit("Categorize these "), F.col("n"), F.lit(
+        " papers for a literature review: 2-5 thematic categories in logical order, each paper in one, papers of a category by year. Answer with one JSON object: "
+        "categories (a list of name, description) and assignments (a list of paper_id, category, paper_order), with paper_id and names exactly as given.\n\nPAPERS:\n"
+    ))
+    line = _object(
+        paper_id=F.col("paper_id"), title=F.col("title"), year=F.col("year"), paper_type=F.col("paper_type"),
+        contribution=left("contribution", CATEGORY_PREFIX), method=left("method", CATEGORY_PREFIX),
+    )
+    return _in_order(papers, group, order, lead, line, "\n")
+
+
+def book_prompts(summaries: DataFrame) -> DataFrame:
+    """(book_id, prompt): the prompt for a synthesis of each book. summaries: book_id, number, main_thesis,
+    unique_insight, key_terms."""
+    lead = F.concat(F.lit("Synthesize these chapter summaries into a book-level overview.\nBOOK: "), F.col("book_id").cast("string"), F.lit("\nCHAPTERS: "), F.col("n"), F.lit(
+        "\nAnswer with one JSON object: book_thesis (2-3 sentences), key_themes (a list of exactly 3, 3-5 words each), intellectual_journey (2-3 sentences), "
+        "one_paragraph_summary (100-150 words).\n\nCHAPTER SUMMARIES:\n"
+    ))
+    line = F.concat(F.lit("Chapter "), F.col("number").cast("string"), F.lit(": "), "main_thesis", F.lit("\n  Unique insight: "), "unique_insight", F.lit("\n  Key terms: "), F.array_join("key_terms", ", "))
+    return _in_order(summaries, "book_id", "number", lead, line, "\n\n")
+
+
 def token_estimate(prompts: DataFrame, column: str = "prompt", per_token: float = 4.0) -> DataFrame:
     """(prompts, characters, tokens) in one row: the cost of a batch before it is sent."""
     return prompts.agg(F.count("*").alias("prompts"), F.coalesce(F.sum(F.length(column)), F.lit(0)).alias("characters"), F.ceil(F.coalesce(F.sum(F.length(column)), F.lit(0)) / per_token).alias("tokens"))

@@ -67,6 +67,19 @@ def chapter_section() -> Column:
     return F.concat_ws("\n\n", F.concat(F.lit("\\section{"), escape("title"), F.lit("}")), quote, from_markdown("main_thesis"), from_markdown("unique_insight"), text("how_to"), from_markdown("key_evidence"), text("counterexample"), text("practical_implications"), terms, pages, F.lit("\\newpage"))
 
 
+def executive_summary(text: Column | str) -> Column:
+    """The part before a review's papers."""
+    return F.concat(F.lit("\\section*{Executive Summary}\n\\addcontentsline{toc}{section}{Executive Summary}\n\n"), from_markdown(text), F.lit("\n\n\\newpage"))
+
+
+def book_front() -> Column:
+    """The part before a book's chapters: what its synthesis gives, null if that is nothing; key_themes is an array."""
+    given = lambda c, head: F.when(_given(c), F.concat(F.lit(head), escape(c)))
+    themes = F.when(F.size("key_themes") > 0, F.concat(F.lit("\\textsc{Key Themes:} "), F.array_join(F.transform("key_themes", escape), " \\,$\\cdot$\\, ")))
+    parts = F.concat_ws("\n\n", given("one_paragraph_summary", ""), themes, given("book_thesis", "\\textbf{Thesis.} "), given("intellectual_journey", "\\textbf{Journey.} "))
+    return F.when(parts != "", F.concat(parts, F.lit("\n\n\\newpage")))
+
+
 def assembled(sections: DataFrame, group: str, order: str, text: str) -> DataFrame:
     """(group, body): the sections of each report in order; a report is a document for people, so it fits one row."""
     parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))), lambda x: x["t"])

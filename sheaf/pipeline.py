@@ -9,6 +9,7 @@ from __future__ import annotations
 import argparse
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,9 @@ from sheaf.operators import categories, chapters, inventory, matrix, models, pro
 from sheaf.sources import documents, sinks
 
 PLAN = "title string, authors string, year string, paper_type string, has_core_model string, model_type string, has_key_figure string, key_figure_type string, key_figure_ref string, key_figure_description string, core_problem string, why_care string, sections_to_extract array<string>"
+CATEGORIES = "categories array<struct<name:string,description:string>>, assignments array<struct<paper_id:string,category:string,paper_order:string>>"
+SYNTHESIS = "book_thesis string, key_themes array<string>, intellectual_journey string, one_paragraph_summary string"
+CHAPTER = ("main_thesis", "unique_insight", "how_to", "key_evidence", "counterexample", "practical_implications", "golden_quote")
 
 
 class Pipeline:
@@ -34,6 +38,15 @@ class Pipeline:
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self._at(name))
 
+    def _read_if(self, name: str, schema: str) -> DataFrame:
+        """A table of an earlier step, or no rows if that step hasn't run."""
+        try:
+            return self._read(name)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+
     def ingest(self, folder: str, pattern: str = "*.pdf") -> DataFrame:
         """Decodes a folder's files; returns the tally."""
         documents.check_folder(folder)
@@ -77,11 +90,28 @@ class Pipeline:
         merged = sections.merge(rows)
         errors = sections.unreadable(documents.unreadable(found)).unionByName(sections.failed(answered.where("error is not null").select("paper_id", "filename", "error")), allowMissingColumns=True)
         sinks.write_table(inventory.with_errors(merged, errors), self._at("extracted"))
+        self.synthesise()
         return self._read("extracted")
 
+    def synthesise(self) -> DataFrame:
+        """Asks for an executive summary of all extracted papers and for their categories, if there are two or more.
+
+        Each prompt holds all papers, none left out: what a model can't take comes back as its error.
+        """
+        papers = self._read("extracted").withColumn("run", F.lit(1))
+        several = papers.join(papers.groupBy("run").count().where("count >= 2").select("run"), "run")
+        summary = models.call(prompts.summary_prompts(several, "run", "paper_id"), "prompt", self.make, 0.3, "executive_summary", "error")
+        sinks.write_table(summary.select("executive_summary", "error"), self._at("summary"))
+        sinks.write_table(models.call(prompts.category_prompts(several, "run", "paper_id"), "prompt", self.make, 0.2), self._at("categorisation"))
+        read = models.parsed(self._read("categorisation"), "answer", CATEGORIES, "c")
+        sinks.write_table(read.select(F.posexplode("c.categories").alias("at", "g")).select("g.name", "g.description", (F.col("at") + 1).alias("category_order")), self._at("categories"))
+        place = F.col("a.paper_order").try_cast("double").cast("int").alias("paper_order")
+        sinks.write_table(read.select(F.posexplode("c.assignments").alias("ordinal", "a")).select("a.paper_id", "a.category", place, "ordinal"), self._at("assignments"))
+        return self._read("summary")
+
     def report(self, condensed: bool = False) -> DataFrame:
         """The matrix (or its condensed form) as CSV, and the report's LaTeX."""
-        papers = self._read("extracted")
+        papers = self.categorised()
         if condensed:
             out = matrix.condensed(papers)
             sinks.write_csv(out, self._at("appendix.csv"))
@@ -89,12 +119,18 @@ class Pipeline:
         good = papers.where("error is null")
         out = matrix.pivot(good, ["paper_id", "title"])
         sinks.write_csv(out, self._at("matrix.csv"))
-        body = reports.assembled(good.select(F.lit(1).alias("report"), "paper_id", reports.paper_section(good.columns).alias("section")), "report", "paper_id", "section").first()
-        sinks.write_document(self._at("review.tex"), reports.document(body["body"] if body else "", "Review"))
+        place = F.struct("category_order", "paper_order", "paper_id").alias("place")
+        body = reports.assembled(good.select(F.lit(1).alias("report"), place, reports.paper_section(good.columns).alias("section")), "report", "place", "section").first()
+        front = self._read_if("summary", "executive_summary string, error string").where("executive_summary != ''").select(reports.executive_summary("executive_summary")).first()
+        sinks.write_document(self._at("review.tex"), reports.document("\n\n".join([*(front or ()), *([body["body"]] if body else ())]), "Review"))
         return out
 
-    def categorised(self, assignments: DataFrame, groups: DataFrame) -> DataFrame:
-        """The extracted papers with their categories, in order."""
+    def categorised(self, assignments: DataFrame | None = None, groups: DataFrame | None = None) -> DataFrame:
+        """The extracted papers with their categories, in order; those that the model gave unless others are passed."""
+        if assignments is None:
+            assignments = self._read_if("assignments", "paper_id string, category string, paper_order int, ordinal int")
+        if groups is None:
+            groups = self._read_if("categories", "name string, description string, category_order int")
         return categories.ordered(categories.assign(self._read("extracted"), assignments, groups), "paper_id")
 
     def book_index(self, pages: DataFrame, outlines: DataFrame | None = None) -> DataFrame:
@@ -109,15 +145,24 @@ class Pipeline:
 
     def book_summarize(self) -> DataFrame:
         sinks.write_table(models.fold(self._read("chapter_texts"), self.make), self._at("summaries"))
+        asked = models.call(prompts.book_prompts(self._told()), "prompt", self.make, 0.2)
+        # Answers are written before they are read: parsed() looks at them twice.
+        sinks.write_table(asked, self._at("synthesis_answers"))
+        read = models.parsed(self._read("synthesis_answers"), "answer", SYNTHESIS, "s")
+        sinks.write_table(read.select("book_id", "s.*", "error"), self._at("syntheses"))
         return self._read("summaries")
 
+    def _told(self) -> DataFrame:
+        """book_id, number and what the model said of each chapter."""
+        read = models.parsed(self._read("summaries"), "answer", ", ".join(f"{f} string" for f in CHAPTER) + ", key_terms array<string>", "s")
+        return read.select("book_id", "number", *(F.coalesce(f"s.{f}", F.lit("")).alias(f) for f in CHAPTER), F.coalesce("s.key_terms", F.array().cast("array<string>")).alias("key_terms"))
+
     def book_report(self) -> DataFrame:
-        """(book_id, body): a LaTeX body per book out of chapters and what the model said of them."""
-        fields = ("main_thesis", "unique_insight", "how_to", "key_evidence", "counterexample", "practical_implications", "golden_quote")
-        read = models.parsed(self._read("summaries"), "answer", ", ".join(f"{f} string" for f in fields) + ", key_terms array<string>", "s")
-        told = read.select("book_id", "number", *(F.coalesce(f"s.{f}", F.lit("")).alias(f) for f in fields), F.coalesce("s.key_terms", F.array().cast("array<string>")).alias("key_terms"))
-        joined = self._read("chapters").join(told, ["book_id", "number"]).withColumn("section", reports.chapter_section())
-        return reports.assembled(joined, "book_id", "number", "section")
+        """(book_id, body): a LaTeX body per book out of its synthesis, its chapters and what the model said of them."""
+        joined = self._read("chapters").join(self._told(), ["book_id", "number"]).withColumn("section", reports.chapter_section())
+        body = reports.assembled(joined, "book_id", "number", "section")
+        front = self._read_if("syntheses", "book_id string, " + SYNTHESIS).select("book_id", reports.book_front().alias("front"))
+        return body.join(front, "book_id", "left").select("book_id", F.concat_ws("\n\n", "front", "body").alias("body"))
 
 
 def main(arguments: list[str] | None = None) -> int:

@@ -138,3 +138,61 @@ def test_stream(spark, shelf, tmp_path):
     (shelf / "three.txt").write_text(BODY, encoding="utf-8")
     run()
     assert spark.read.parquet(places[0]).count() == 5 and {r["status"] for r in spark.read.parquet(places[1]).collect()} == {"ingested", "failed"}
+
+
+class Synthesising(Scripted):
+    def complete(self, prompt, temperature):
+        if prompt.startswith("Write an executive summary for 3 papers"):
+            assert prompt.index("[Unreadable PDF]") < prompt.index("Minimum Wages") < prompt.index("Planned")
+            return "**All** of it. Key themes: (1) a & b"
+        if prompt.startswith("Categorize these 3 papers"):
+            return '{"categories": [{"name": "B"}, {"name": "A"}], "assignments": [{"paper_id": "one", "category": "A", "paper_order": 1}, {"paper_id": "two", "category": "B", "paper_order": "1"},]}'
+        if prompt.startswith("Synthesize these chapter summaries"):
+            assert "CHAPTERS: 2" in prompt and prompt.index("Chapter 1: first") < prompt.index("Chapter 2: first")
+            return '{"book_thesis": "thesis & all", "key_themes": ["one", "two_b"], "intellectual_journey": "journey", "one_paragraph_summary": "summary"}'
+        if prompt.startswith("TITLE:"):
+            return '{"main_thesis": "first", "unique_insight": "u", "key_terms": ["k"]}'
+        return super().complete(prompt, temperature)
+
+
+def test_whole_corpus_steps(spark, shelf, tmp_path):
+    steps = Pipeline(spark, str(tmp_path / "work"), DECODERS, Synthesising)
+    steps.ingest(str(shelf), "*.txt")
+    steps.extract(prompts.SchemaSpec.of([{"key": "n", "type": "integer"}]))
+    assert [(r["paper_id"], r["category"], r["category_order"], r["paper_order"]) for r in steps.categorised().collect()] == [("two", "B", 1, 1), ("one", "A", 2, 1), ("glyphs", "Uncategorized", 99, 99)]
+    steps.report()
+    tex = (tmp_path / "work" / "review.tex").read_text()
+    assert tex.index("\\section*{Executive Summary}") < tex.index("\\textbf{All} of it. Key themes: (1) a \\& b") < tex.index("\\section{Planned}") < tex.index("\\section{Minimum Wages")
+    # One paper alone: nothing is asked, and what was said of more is gone.
+    for name in ("two", "glyphs", "broken"):
+        (shelf / f"{name}.txt").unlink()
+    alone = Pipeline(spark, str(tmp_path / "alone"), DECODERS, Synthesising)
+    alone.ingest(str(shelf), "*.txt")
+    alone.extract(prompts.SchemaSpec.of([{"key": "n", "type": "integer"}]))
+    alone.report()
+    assert alone.synthesise().count() == 0 and "Executive Summary" not in (tmp_path / "alone" / "review.tex").read_text()
+
+
+def test_book_synthesis(spark, tmp_path):
+    pages = spark.createDataFrame([("b", 1, "1\nFirst Things\nalpha"), ("b", 2, "2\nSecond Things\nbeta")], "book_id string, page_no int, text string")
+    steps = Pipeline(spark, str(tmp_path / "work"), DECODERS, Synthesising)
+    steps.book_index(pages)
+    steps.book_extract()
+    steps.book_summarize()
+    body = steps.book_report().first()["body"]
+    order = ["summary", "Key Themes:", "two\\_b", "thesis \\& all", "journey", "First Things", "Second Things"]
+    assert [body.index(x) for x in order] == sorted(body.index(x) for x in order)
+
+
+def test_failing_synthesis(spark, shelf, tmp_path):
+    class Refusing(Synthesising):
+        def complete(self, prompt, temperature):
+            if prompt.startswith(("Write an executive", "Categorize")):
+                raise RuntimeError("too long")
+            return super().complete(prompt, temperature)
+
+    steps = Pipeline(spark, str(tmp_path / "work"), DECODERS, Refusing)
+    steps.ingest(str(shelf), "*.txt")
+    steps.extract(prompts.SchemaSpec.of([{"key": "n", "type": "integer"}]))
+    assert [tuple(r) for r in steps.synthesise().collect()] == [(None, "too long")]
+    assert sorted(r["n"] for r in steps.report().collect()) == ["5", "5"]
