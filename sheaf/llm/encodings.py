@@ -84,7 +84,14 @@ _CONTROLS = {chr(b): _decoded("cp1252")[b] for b in range(0x80, 0xA0) if ord(_de
 _CONTROL = re.compile("[" + "".join(map(re.escape, _CONTROLS)) + "]")
 _LATIN_RUN = re.compile("[¨¸À-ÿ]{3}")
 _TURNED_CASE = re.compile("[а-яё][А-ЯЁ]{2}|[А-ЯЁ]{4}")
+#: Small letters of cp866 read as cp1251 are signs up to п, and small letters behind it; neither stand like this in words.
+_SIGNS = "ЎЈҐЁЄЇ¤¦§©«¬®"
+_SIGNED = re.compile(f"[{_SIGNS}\xad]{{2}}|[а-яё][{_SIGNS}]")
+#: Where each single-byte step can have been, by the characters that it leaves.
+_GATES = {step: _LATIN_RUN if step[1] == "cp1252" else _TURNED_CASE for step in SINGLE_BYTE} | {("cp866", "cp1251"): _SIGNED}
 _ACCENTED_WORD = re.compile(r"(?<![A-Za-z])[^\x00-\x7f\s]+(?![A-Za-z])")
+#: The same where letters became signs, one of them the space that doesn't break.
+_SIGNED_WORD = re.compile(r"(?<![A-Za-z])(?:[^\x00-\x7f\s]|\xa0)+(?![A-Za-z])")
 
 
 def undo_utf8(text: str, codec: str, model: Pairs | None = None) -> tuple[str, int]:
@@ -112,11 +119,13 @@ def undo_utf8(text: str, codec: str, model: Pairs | None = None) -> tuple[str, i
 def undo_single(text: str, written: str, read: str) -> tuple[str, int]:
     """The text with its words of letters outside ASCII taken back to bytes and decoded as written."""
     of, to, n = _bytes_of(read), _decoded(written), 0
+    signed = _GATES[written, read] is _SIGNED
 
     def decode(found: re.Match) -> str:
         nonlocal n
         word = found[0]
-        if not any(c.isalpha() or c in _CONTROLS for c in word):
+        # Of the letters' bytes two are × and ÷ in cp1252, one of them a word of its own.
+        if not signed and not any(c.isalpha() or c in _CONTROLS or read == "cp1252" and c in "×÷" for c in word):
             return word
         back = "".join(to[of[c]] if c in of else c for c in word)
         letters = [c for c in back if c.isalpha()]
@@ -125,13 +134,18 @@ def undo_single(text: str, written: str, read: str) -> tuple[str, int]:
         n += 1
         return back
 
-    return _ACCENTED_WORD.sub(decode, text), n
+    return (_SIGNED_WORD if signed else _ACCENTED_WORD).sub(decode, text), n
 
 
 def is_suspect(line: str) -> bool:
     """Whether some chain could be undone on the line, or a character is lost."""
     runs = _runs(line)
-    return bool("�" in line or _CONTROL.search(line) or runs and (_any_sequence().search(runs) or _LATIN_RUN.search(runs) or _TURNED_CASE.search(runs)))
+    return bool("�" in line or _CONTROL.search(line) or runs and (_any_sequence().search(runs) or _turned(runs)))
+
+
+def _turned(runs: str) -> bool:
+    """Whether some single-byte step can have been there."""
+    return any(gate.search(runs) for gate in (_LATIN_RUN, _TURNED_CASE, _SIGNED))
 
 
 def _runs(text: str) -> str:
@@ -146,7 +160,7 @@ _USUAL = ((0xA0, 0x2FF), (0x370, 0x4FF), (0x2000, 0x25FF))
 def is_garbled(line: str) -> bool:
     """Whether a suspect line holds what clean ones hardly do, so that its pairs mustn't count as clean."""
     runs = _runs(line)
-    if "�" in line or _CONTROL.search(line) or _LATIN_RUN.search(runs) or _TURNED_CASE.search(runs):
+    if "�" in line or _CONTROL.search(line) or _turned(runs):
         return True
     for codec in UTF8_READ_AS:
         of = _bytes_of(codec)
@@ -206,7 +220,7 @@ def _steps(text: str, model: Pairs) -> Iterator[tuple[str, str, float]]:
     if _CONTROL.search(text):
         yield "cp1252>latin_1", _CONTROL.sub(lambda m: _CONTROLS[m[0]], text), 0.0
     for written, read in SINGLE_BYTE:
-        if (_LATIN_RUN if read == "cp1252" else _TURNED_CASE).search(runs):
+        if _GATES[written, read].search(runs):
             back, n = undo_single(text, written, read)
             if n and back != text:
                 yield f"{written}>{read}", back, 0.0

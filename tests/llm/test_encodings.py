@@ -76,3 +76,26 @@ def test_steps():
             assert encodings.undo_utf8(misread(line, codec), codec)[0] == line
     assert encodings.undo_single("Ìû èçó÷àåì âëèÿíèå", "cp1251", "cp1252")[0] == "Мы изучаем влияние"
     assert encodings.undo_single("нЩ ЙЪХЮБЕН", "koi8_r", "cp1251")[0] == "Мы изучаем"
+
+
+RUSSIAN = [s for s in SENTENCES if s[0] in "ВМ"] + ["Но и не он один: у них была своя цена, а она росла.", "Ёлка и объём: подъезд, шум, цех."]
+
+
+def chains():
+    """(chain, line, what wrong decoding makes of it) for each chain that the module lists."""
+    for codec in encodings.UTF8_READ_AS:
+        yield from ((codec, line, misread(line, codec)) for line in SENTENCES)
+    for written, read in encodings.SINGLE_BYTE:
+        yield from ((f"{written}>{read}", line, "".join(encodings._decoded(read)[b] for b in line.encode(written))) for line in RUSSIAN)
+    quoted = "As one put it, “the effect isn’t small”."
+    yield "cp1252>latin_1", quoted, quoted.encode("cp1252").decode("latin-1")
+
+
+def test_every_chain_from_garbling_to_outcome(spark):
+    cases = list(chains())
+    assert all(encodings.is_suspect(bad) and encodings.is_garbled(bad) for _, _, bad in cases)
+    rng = random.Random(3)
+    clean = [" ".join(rng.sample([*SENTENCES, *RUSSIAN], 3)) for _ in range(300)]
+    df = spark.createDataFrame([(1, "\n".join([*clean, *(bad for _, _, bad in cases)]), "a")], "result_id bigint, markdown string, engine string")
+    got = {r["line_no"]: (r["outcome"], r["repaired"]) for r in encodings.repairs(df).collect()}
+    assert got == {n: ("restored", line) for n, (_, line, _) in enumerate(cases, len(clean) + 1)}
