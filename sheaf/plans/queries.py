@@ -457,6 +457,15 @@ def abstract_concat(spark, folder):
     return corpus.joined_texts(table(spark, folder, "documents"), "source", "doc_id", "text", prefix=100)
 
 
+@query("""
+    SELECT coalesce(paper_id, 'doc ' || doc_id) AS paper, string_agg(coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id, coalesce(text, '')) AS joined
+    FROM documents GROUP BY 1""")
+def paper_concat(spark, folder):
+    # Whole texts. Papers bound the groups; a document of no paper is a group of its own.
+    paper = F.coalesce("paper_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string")))
+    return corpus.joined_texts(table(spark, folder, "documents").withColumn("paper", paper), "paper", "doc_id", "text")
+
+
 @query(r"""
     WITH l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM (SELECT doc_id, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS lines FROM documents WHERE text IS NOT NULL)),
     m AS (SELECT *, length(regexp_extract(line, '^(#{1,6})[ \t]+\S', 1)) AS level FROM l),

@@ -30,6 +30,14 @@ def test_every_sql_has_its_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_paper_concat_loses_no_text(spark, folder):
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    whole = sum(len(r["text"] or "") for r in documents.select("text").collect())
+    groups = [r["joined"] for r in CORE.QUERIES["paper_concat"](spark, folder).collect()]
+    between = len("\n\n---\n\n") * (documents.count() - len(groups))
+    assert sum(map(len, groups)) == whole + between and len(groups) > 1
+
+
 def test_filters_and_columns_reach_the_scan(spark, folder):
     plan = CORE.QUERIES["status_counts"](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<status:string>" in plan
