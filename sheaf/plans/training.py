@@ -13,10 +13,14 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return drift.field_changes(table(spark, folder, "matrix_files"))
 
 
+def declared(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Type of every declared key; each is a column of the unified table, so they fit the driver as its schema does."""
+    keys = table(spark, folder, "schema_spec").groupBy("key").agg(F.min("type").alias("type")).collect()
+    return {r["key"]: r["type"] for r in keys}
+
+
 def p1_table(spark: SparkSession, folder: str) -> DataFrame:
-    # The declared keys and types: a table of the reviews' size, one row per key here.
-    keys = table(spark, folder, "schema_spec").groupBy("key").agg(F.min("type").alias("type")).limit(1000).collect()
-    return drift.unified_table(table(spark, folder, "matrix_files"), {r["key"]: r["type"] for r in keys})
+    return drift.unified_table(table(spark, folder, "matrix_files"), declared(spark, folder))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,6 +7,7 @@ from fractions import Fraction
 import pytest
 
 from sheaf.operators import drift, nested, units
+from sheaf.plans import training
 
 LINES = "series_id bigint, review string, file_no int, line_no int, record string, name string, cells string"
 
@@ -66,6 +67,12 @@ def test_changes_of_all_kinds(spark):
     assert sorted(r["n"] for r in table.where("file_no = 2").collect()) == [0, 10, 20, 30, 40]
 
 
+def test_every_declared_key_counts(spark, tmp_path):
+    spec = spark.range(1500).selectExpr("'r' AS review", "'k' || id AS key", "'' AS description", "if(id % 2 = 0, 'integer', 'string') AS type")
+    spec.write.parquet(str(tmp_path / "schema_spec.parquet"))
+    assert training.declared(spark, str(tmp_path)) == {f"k{i}": "string" if i % 2 else "integer" for i in range(1500)}
+
+
 def test_no_changes_of_nothing(spark):
     empty = spark.createDataFrame([], LINES)
     assert drift.field_changes(empty).count() == 0
