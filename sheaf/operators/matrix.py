@@ -55,10 +55,17 @@ def _first(column: str, other: str, n: int) -> Column:
     return F.coalesce(F.col(column), F.substring(F.coalesce(F.col(other), F.lit("")), 1, n))
 
 
+def condensed_parts() -> dict[str, Column]:
+    """The condensed texts of a paper by column, else the beginnings of the longer ones."""
+    return {
+        "authors": F.coalesce("authors", F.lit("Unknown")), "year": F.coalesce(F.col("year").cast("string"), F.lit("n.d.")),
+        "condensed_says": _first("condensed_says", "contribution", 150), "condensed_theory_data": _first("condensed_theory_data", "context", 100),
+        "condensed_estimation": _first("condensed_estimation", "method", 150), "condensed_result": _first("condensed_result", "results", 100),
+    }
+
+
 def condensed(papers: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """paper, theory_data, estimation, results: the condensed texts, else the beginnings of the longer ones."""
-    paper = F.concat(F.coalesce("authors", F.lit("Unknown")), F.lit(" ("), F.coalesce(F.col("year").cast("string"), F.lit("n.d.")), F.lit(") says "), _first("condensed_says", "contribution", 150))
-    return papers.select(
-        *(keep or []), paper.alias("paper"), _first("condensed_theory_data", "context", 100).alias("theory_data"),
-        _first("condensed_estimation", "method", 150).alias("estimation"), _first("condensed_result", "results", 100).alias("results"),
-    )
+    """paper, theory_data, estimation, results."""
+    part = condensed_parts()
+    paper = F.concat(part["authors"], F.lit(" ("), part["year"], F.lit(") says "), part["condensed_says"])
+    return papers.select(*(keep or []), paper.alias("paper"), part["condensed_theory_data"].alias("theory_data"), part["condensed_estimation"].alias("estimation"), part["condensed_result"].alias("results"))

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.operators import prompts
 from sheaf.session import batched
 
 
@@ -128,32 +129,53 @@ def _repaired(texts: pd.Series) -> pd.Series:
 
 
 def parsed(rows: DataFrame, answer: str, schema: str, into: str) -> DataFrame:
-    """rows with the answer read by a schema (DDL); only what Spark can't read as it stands is repaired in Python."""
-    strict = F.from_json(F.col(answer), schema)
-    valid = F.col(answer).isNotNull() & F.try_parse_json(F.col(answer)).isNotNull()
-    good = rows.where(valid).withColumn(into, strict)
-    bad = rows.where(~valid | F.col(answer).isNull()).withColumn(into, F.from_json(_repaired(answer), schema))
-    return good.unionByName(bad)
+    """rows with the answer read by a schema (DDL), null if nothing can be read; each row once.
+
+    One pass: Python sees the text only of answers that Spark can't read as they stand, so calls that
+    stand behind ``rows`` are made once.
+    """
+    text = F.col(answer)
+    valid = F.try_parse_json(text).isNotNull()
+    mended = _repaired(F.when(text.isNotNull() & ~valid, text))
+    return rows.withColumn(into, F.from_json(F.when(valid, text).otherwise(mended), schema))
+
+
+def _said(answer: str | None) -> tuple[str, list[str]]:
+    """(thesis, key terms) of a chapter's answer, whatever it holds."""
+    read = json.loads(repair_json(answer) or "{}")
+    read = read if isinstance(read, dict) else {}
+    terms = read.get("key_terms")
+    return str(read.get("main_thesis") or ""), [str(t) for t in terms if t is not None] if isinstance(terms, list) else []
 
 
 def fold(chapters: DataFrame, make: Callable[[], ModelClient], group: str = "book_id", temperature: float = 0.1) -> DataFrame:
-    """(group, number, context, answer): each chapter is summarised knowing the answers to those before it.
+    """(group, number, context, answer, error): each chapter is summarised knowing the answers to those before it.
 
-    Calls of one book depend on each other, so a book is a task; books run beside each other. The texts of
-    one book at a time are held, which a book's size bounds. chapters: group, number, title, text.
+    Calls of one book depend on each other, so a book is a task; books run beside each other. What a
+    task holds of a book are the prompts' parts, made before the shuffle: a title and at most the first
+    and last characters of a text that a prompt takes. A chapter whose call fails has its error and
+    tells the later ones nothing. chapters: group, number, title, text.
     """
     kind = dict(chapters.dtypes)[group]
+    parts = chapters.select(group, F.col("number").cast("int").alias("number"), prompts.chapter_lead("title").alias("lead"), prompts.chapter_body("text").alias("body"))
 
     def run(book: pd.DataFrame) -> pd.DataFrame:
         client, rows, told = make(), [], []
         for chapter in book.sort_values("number").itertuples():
             context = "PREVIOUS CHAPTERS (for context):\n" + "\n".join(told) if told else "PREVIOUS CHAPTERS: This is the first chapter."
-            answer = client.complete(f"TITLE: {chapter.title}\n{context}\n\nTEXT:\n{chapter.text}", temperature)
-            read = json.loads(repair_json(answer) or "{}")
-            told.append(f"  Ch {chapter.number}: {read.get('main_thesis', '')}")
-            if read.get("key_terms"):
-                told.append(f"    Key terms: {', '.join(read['key_terms'][:5])}")
-            rows.append((getattr(chapter, group), chapter.number, context, answer))
-        return pd.DataFrame(rows, columns=[group, "number", "context", "answer"])
-
-    return chapters.select(group, "number", "title", "text").groupBy(group).applyInPandas(run, f"{group} {kind}, number int, context string, answer string")
+            answer, error = None, None
+            try:
+                answer = client.complete(chapter.lead + context + chapter.body, temperature)
+            except AuthenticationError:
+                raise
+            except Exception as e:
+                error = str(e) or type(e).__name__
+            if error is None:
+                thesis, terms = _said(answer)
+                told.append(f"  Ch {chapter.number}: {thesis}")
+                if terms:
+                    told.append(f"    Key terms: {', '.join(terms[:5])}")
+            rows.append((getattr(chapter, group), chapter.number, context, answer, error))
+        return pd.DataFrame(rows, columns=[group, "number", "context", "answer", "error"])
+
+    return parts.groupBy(group).applyInPandas(run, f"{group} {kind}, number int, context string, answer string, error string")

@@ -62,9 +62,20 @@ def sections_prompt(content: Column | str, sections: Column | str, fields: Colum
     )
 
 
+def chapter_lead(title: Column | str) -> Column:
+    """The part of a chapter's prompt before what the chapters before it say."""
+    title = F.col(title) if isinstance(title, str) else title
+    return F.concat(F.lit("Summarise this chapter as one JSON object.\nTITLE: "), F.coalesce(title, F.lit("")), F.lit("\n"))
+
+
+def chapter_body(text: Column | str) -> Column:
+    """The part behind: the text, of a long one its beginning and end."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.concat(F.lit("\n\nTEXT:\n"), head_and_tail(F.coalesce(text, F.lit(""))))
+
+
 def chapter_prompt(text: Column | str, title: Column | str, context: Column | str) -> Column:
-    title, context = (F.col(c) if isinstance(c, str) else c for c in (title, context))
-    return F.concat(F.lit("Summarise this chapter as one JSON object.\nTITLE: "), title, F.lit("\n"), context, F.lit("\n\nTEXT:\n"), head_and_tail(text))
+    return F.concat(chapter_lead(title), F.col(context) if isinstance(context, str) else context, chapter_body(text))
 
 
 def _in_order(rows: DataFrame, group: str, order: str, lead: Column, line: Column, between: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.functions.latex import escape, from_markdown, keep_math
+from sheaf.functions.latex import ESCAPES, escape, from_markdown, keep_math
 from sheaf.functions.text import template_truncate, truncate_words
 
 
@@ -86,6 +86,47 @@ def assembled(sections: DataFrame, group: str, order: str, text: str) -> DataFra
     return sections.groupBy(group).agg(F.array_join(parts, "\n\n").alias("body"))
 
 
+def latex_text(text: str) -> str:
+    """A short text of the driver escaped as the column ``escape`` does."""
+    for what, by in ESCAPES:
+        text = text.replace(what, by)
+    return text
+
+
+def _head(packages: str, front: str) -> str:
+    return f"\\documentclass{{article}}\n\\usepackage{{{packages}}}\n\\begin{{document}}\n{front}\n\n"
+
+
+#: The end of every LaTeX file.
+TAIL = "\n\n\\end{document}\n"
+
+
+def review_head(title: str) -> str:
+    """What stands before a review's body; the header holds the beginning of the title, cut before it is escaped."""
+    return _head("graphicx,longtable,xcolor,colortbl,fancyhdr", f"\\markboth{{{latex_text(title[:50])}}}{{}}\n\\tableofcontents\n\\newpage")
+
+
 def document(body: str, title: str) -> str:
-    """A whole LaTeX file around a body; the header holds the beginning of the title."""
-    return "\\documentclass{article}\n\\usepackage{graphicx,longtable,xcolor,colortbl,fancyhdr}\n\\begin{document}\n" f"\\markboth{{{title[:50]}}}{{}}\n\\tableofcontents\n\\newpage\n\n{body}\n\n\\end{{document}}\n"
+    """A whole LaTeX file around a body."""
+    return review_head(title) + body + TAIL
+
+
+def appendix_head(papers: int) -> str:
+    """What stands before the rows of the condensed table."""
+    colors = "".join(f"\\definecolor{{{name}}}{{RGB}}{{{rgb}}}\n" for name, rgb in (("categoryblue", "220,230,242"), ("headerblue", "31,73,125"), ("rowgray", "245,245,245")))
+    names = " & ".join(f"\\textbf{{{h}}}" for h in ("Paper", "Theory/Data", "Estimation", "Results"))
+    columns = "".join(f"p{{{width}\\textwidth}}|" for width in (0.28, 0.2, 0.24, 0.2))
+    return _head("longtable,xcolor,colortbl,amsmath", f"{colors}\\section*{{Appendix: {papers} papers}}") + f"\\begin{{longtable}}{{|{columns}}}\n\\hline\n{names} \\\\\n\\hline\n\\endhead\n"
+
+
+APPENDIX_TAIL = "\n\\end{longtable}" + TAIL
+
+
+def book_document(title: Column | str, contents: Column | str, body: Column | str) -> Column:
+    """A whole LaTeX file per book: title, contents, body; the header holds the beginning of the title."""
+    title, contents, body = (F.col(c) if isinstance(c, str) else c for c in (title, contents, body))
+    title = F.coalesce(title, F.lit(""))
+    return F.concat(
+        F.lit(_head("graphicx,xcolor,fancyhdr", "\\markboth{")[:-2]), escape(F.substring(title, 1, 50)), F.lit("}{}\n\\title{"), escape(title), F.lit("}\n\\maketitle\n\n"),
+        F.when(contents != "", F.concat(F.lit("\\section*{Contents}\n"), contents, F.lit("\n\\newpage\n\n"))).otherwise(F.lit("")), F.coalesce(body, F.lit("")), F.lit(TAIL),
+    )

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Callable
+from pathlib import Path
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sheaf.functions import text
-from sheaf.functions.identifiers import chapter_filename
+from sheaf.functions.identifiers import chapter_filename, safe_filename
 from sheaf.functions.metadata import leading_metadata, title_with_fallbacks
 from sheaf.operators import categories, chapters, inventory, matrix, models, prompts, reports, sections
 from sheaf.sources import documents, sinks
@@ -23,8 +23,6 @@ PLAN = "title string, authors string, year string, paper_type string, has_core_m
 CATEGORIES = "categories array<struct<name:string,description:string>>, assignments array<struct<paper_id:string,category:string,paper_order:string>>"
 SYNTHESIS = "book_thesis string, key_themes array<string>, intellectual_journey string, one_paragraph_summary string"
 CHAPTER = ("main_thesis", "unique_insight", "how_to", "key_evidence", "counterexample", "practical_implications", "golden_quote")
-
-
 class Pipeline:
     """Steps over a working folder. ``make`` gives a model client in each worker."""
 
@@ -36,26 +34,18 @@ class Pipeline:
         return f"{self.work}/{name}"
 
     def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self._at(name))
+        return sinks.read_table(self.spark, self._at(name))
 
     def _read_if(self, name: str, schema: str) -> DataFrame:
-        """A table of an earlier step, or no rows if that step hasn't run."""
-        try:
-            return self._read(name)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], schema)
+        """A table of an earlier step, or no rows if that step hasn't run; one that can't be read raises."""
+        return sinks.read_table(self.spark, self._at(name), schema)
 
     def ingest(self, folder: str, pattern: str = "*.pdf") -> DataFrame:
         """Decodes a folder's files; returns the tally."""
         documents.check_folder(folder)
         sinks.write_table(documents.ingest(documents.files(self.spark, folder, pattern), self.decoders), self._at("ingested"))
         new = self._read("ingested").select("id", "filename", "status")
-        try:
-            old = self._read("inventory")
-        except Exception:
-            old = new.limit(0)
+        old = self._read_if("inventory", "id string, filename string, status string")
         sinks.write_table(inventory.merged(old, new, "id"), self._at("inventory"))
         return inventory.tallies(self._read("inventory"))
 
@@ -110,21 +100,30 @@ class Pipeline:
         return self._read("summary")
 
     def report(self, condensed: bool = False) -> DataFrame:
-        """The matrix (or its condensed form) as CSV, and the report's LaTeX."""
+        """The matrix and the review, or with ``condensed`` the condensed matrix and the appendix: CSV, LaTeX, and a
+        PDF where a LaTeX compiler is installed. Papers are sorted in the cluster and written one partition at a time."""
         papers = self.categorised()
         if condensed:
             out = matrix.condensed(papers)
             sinks.write_csv(out, self._at("appendix.csv"))
+            headed = categories.headings(papers, "paper_id").withColumns(matrix.condensed_parts()).select("ordinal", reports.appendix_row().alias("row"))
+            sinks.write_table(headed, self._at("appendix_rows"))
+            rows = self._read("appendix_rows")
+            self._document(rows.orderBy("ordinal"), "row", "appendix.tex", reports.appendix_head(rows.count()), reports.APPENDIX_TAIL, "\n")
             return out
         good = papers.where("error is null")
         out = matrix.pivot(good, ["paper_id", "title"])
         sinks.write_csv(out, self._at("matrix.csv"))
-        place = F.struct("category_order", "paper_order", "paper_id").alias("place")
-        body = reports.assembled(good.select(F.lit(1).alias("report"), place, reports.paper_section(good.columns).alias("section")), "report", "place", "section").first()
         front = self._read_if("summary", "executive_summary string, error string").where("executive_summary != ''").select(reports.executive_summary("executive_summary")).first()
-        sinks.write_document(self._at("review.tex"), reports.document("\n\n".join([*(front or ()), *([body["body"]] if body else ())]), "Review"))
+        head = reports.review_head("Literature Review") + (f"{front[0]}\n\n" if front else "")
+        written = categories.ordered(good.withColumn("section", reports.paper_section(good.columns)), "paper_id")
+        self._document(written, "section", "review.tex", head, reports.TAIL)
         return out
 
+    def _document(self, rows: DataFrame, column: str, name: str, head: str, tail: str, between: str = "\n\n") -> None:
+        sinks.write_pieces(rows, column, self._at(name), head, tail, between)
+        sinks.compile_latex(self._at(name))
+
     def categorised(self, assignments: DataFrame | None = None, groups: DataFrame | None = None) -> DataFrame:
         """The extracted papers with their categories, in order; those that the model gave unless others are passed."""
         if assignments is None:
@@ -133,15 +132,28 @@ class Pipeline:
             groups = self._read_if("categories", "name string, description string, category_order int")
         return categories.ordered(categories.assign(self._read("extracted"), assignments, groups), "paper_id")
 
+    def book_read(self, source: str) -> DataFrame:
+        """Decodes books (a file, or the files of a folder), each once, and indexes their pages by outline or headings."""
+        folder = str(Path(source).parent) if Path(source).is_file() else source
+        pattern = Path(source).name if Path(source).is_file() else "*"
+        sinks.write_table(documents.books(documents.files(self.spark, folder, pattern), self.decoders), self._at("books"))
+        books = self._read("books")
+        if books.where("error is null").isEmpty():
+            raise ValueError(f"{source} holds no book that a decoder reads")
+        return self.book_index(documents.pages(books), documents.outlines(books))
+
     def book_index(self, pages: DataFrame, outlines: DataFrame | None = None) -> DataFrame:
         sinks.write_table(pages, self._at("pages"))
         sinks.write_table(chapters.detect(self._read("pages"), outlines), self._at("chapters"))
         return self._read("chapters")
 
     def book_extract(self, suffix: str = ".txt") -> DataFrame:
+        """The chapters' texts as a table and as files (chapters/<book>/<number and title>)."""
         found = chapters.texts(self._read("pages"), self._read("chapters"))
         sinks.write_table(found.withColumn("filename", chapter_filename("number", "title", suffix)), self._at("chapter_texts"))
-        return self._read("chapter_texts")
+        written = self._read("chapter_texts")
+        sinks.write_text_files(written.withColumn("at", F.concat_ws("/", safe_filename("book_id"), "filename")), self._at("chapter_files"), "at", "text")
+        return written
 
     def book_summarize(self) -> DataFrame:
         sinks.write_table(models.fold(self._read("chapter_texts"), self.make), self._at("summaries"))
@@ -153,16 +165,31 @@ class Pipeline:
         return self._read("summaries")
 
     def _told(self) -> DataFrame:
-        """book_id, number and what the model said of each chapter."""
+        """book_id, number and what the model said of each chapter; chapters whose call failed are empty."""
         read = models.parsed(self._read("summaries"), "answer", ", ".join(f"{f} string" for f in CHAPTER) + ", key_terms array<string>", "s")
         return read.select("book_id", "number", *(F.coalesce(f"s.{f}", F.lit("")).alias(f) for f in CHAPTER), F.coalesce("s.key_terms", F.array().cast("array<string>")).alias("key_terms"))
 
+    def book_titles(self) -> DataFrame:
+        """(book_id, book_title): the first line of a book's first page, else its id."""
+        first = self._read("pages").where("page_no = 1").groupBy("book_id").agg(F.first("text").alias("_page"))
+        return first.select("book_id", text.book_title("_page", "book_id").alias("book_title"))
+
     def book_report(self) -> DataFrame:
-        """(book_id, body): a LaTeX body per book out of its synthesis, its chapters and what the model said of them."""
-        joined = self._read("chapters").join(self._told(), ["book_id", "number"]).withColumn("section", reports.chapter_section())
-        body = reports.assembled(joined, "book_id", "number", "section")
+        """(book_id, body, document): LaTeX per book out of its synthesis, its chapters and what the model said of them.
+        The documents are written as files and compiled where a LaTeX compiler is installed."""
+        told = self._read("chapters").join(self._told(), ["book_id", "number"])
+        placed = told.withColumn("ordinal", F.row_number().over(Window.partitionBy("book_id").orderBy("number")))
+        joined = placed.withColumns({"section": reports.chapter_section(), "line": reports.contents_line()})
+        body = reports.assembled(joined, "book_id", "number", "section").join(reports.assembled(joined, "book_id", "number", "line").withColumnRenamed("body", "contents"), "book_id")
         front = self._read_if("syntheses", "book_id string, " + SYNTHESIS).select("book_id", reports.book_front().alias("front"))
-        return body.join(front, "book_id", "left").select("book_id", F.concat_ws("\n\n", "front", "body").alias("body"))
+        whole = body.join(front, "book_id", "left").join(self.book_titles(), "book_id", "left").withColumn("body", F.concat_ws("\n\n", "front", "body"))
+        sinks.write_table(whole.select("book_id", "body", reports.book_document("book_title", "contents", "body").alias("document")), self._at("book_reports"))
+        written = self._read("book_reports")
+        files = written.withColumn("at", F.concat(safe_filename("book_id"), F.lit(".tex")))
+        sinks.write_text_files(files, self._at("book_documents"), "at", "document")
+        for row in files.select("at").toLocalIterator():
+            sinks.compile_latex(f"{self._at('book_documents')}/{row[0]}")
+        return written
 
 
 def main(arguments: list[str] | None = None) -> int:
@@ -175,7 +202,9 @@ def main(arguments: list[str] | None = None) -> int:
     steps.add_parser("report").add_argument("--condensed", "-c", action="store_true")
     book = steps.add_parser("book").add_subparsers(dest="book_step", required=True)
     book.add_parser("index").add_argument("source")
-    for name in ("extract", "summarize", "report"):
+    # A layout decoder for chapters isn't part of the reference either: the flag changes the files' suffix alone.
+    book.add_parser("extract").add_argument("--docling", "-d", action="store_true")
+    for name in ("summarize", "report"):
         book.add_parser(name)
     said = parser.parse_args(arguments)
     from sheaf.session import local_session
@@ -190,10 +219,11 @@ def main(arguments: list[str] | None = None) -> int:
     elif said.step == "report":
         pipeline.report(said.condensed).show()
     elif said.book_step == "index":
-        found = documents.ingest(documents.files(pipeline.spark, said.source, "*"), pipeline.decoders).withColumnRenamed("id", "book_id")
-        pipeline.book_index(documents.pages(found)).show()
+        pipeline.book_read(said.source).show()
+    elif said.book_step == "extract":
+        pipeline.book_extract(".md" if said.docling else ".txt").show()
     else:
-        {"extract": pipeline.book_extract, "summarize": pipeline.book_summarize, "report": pipeline.book_report}[said.book_step]().show()
+        {"summarize": pipeline.book_summarize, "report": pipeline.book_report}[said.book_step]().show()
     return 0
 
 

@@ -69,7 +69,7 @@ def _replaced_sql(column: str, pairs: list[tuple[str, str]]) -> str:
     return column
 
 
-@query(f"SELECT doc_id, {_replaced_sql(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')', latex.ESCAPES)} AS escaped FROM documents")
+@query(f"SELECT doc_id, {_replaced_sql("coalesce(text, '')", latex.ESCAPES)} AS escaped FROM documents")
 def latex_escape(spark, folder):
     return table(spark, folder, "documents").select("doc_id", latex.escape("text").alias("escaped"))
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.functions.text import is_unreadable
+from sheaf.functions.text import document_title, is_unreadable
 
 INGESTED = (
     "id string, filename string, markdown string, tables array<struct<page:int,data:array<map<string,string>>,caption:string>>, "
@@ -33,6 +33,8 @@ class Decoded:
     page_count: int = 0
     #: (level, title, page from 1) of the outline.
     outline: list[tuple[int, str, int | None]] = field(default_factory=list)
+    #: Text of each page, empty ones too; none if the decoder knows no pages but those that form feeds part.
+    pages: list[str] = field(default_factory=list)
 
 
 Decoder = Callable[[bytes], Decoded]
@@ -64,14 +66,13 @@ def pypdf_decoder(content: bytes) -> Decoded:
                 continue
 
     walk(reader.outline or [], 0)
-    return Decoded(joined_pages(pages), page_count=len(pages), outline=outline)
+    return Decoded(joined_pages(pages), page_count=len(pages), outline=outline, pages=pages)
 
 
 def text_decoder(content: bytes) -> Decoded:
-    """Plain text and Markdown files; form feeds part pages. A heading in the first line is the title."""
+    """Plain text and Markdown files; form feeds part pages."""
     text = content.decode("utf-8")
-    first = text.split("\n", 1)[0]
-    return Decoded(text, title=first.lstrip("#").strip() if first.startswith("#") else None, page_count=text.count("\f") + 1)
+    return Decoded(text, page_count=text.count("\f") + 1)
 
 
 def check_folder(path: str) -> Path:
@@ -106,9 +107,34 @@ def _decode(content: bytes, decoders: list[tuple[str, Decoder]]) -> tuple[str, D
     return best
 
 
+def _table(element: dict) -> dict:
+    rows = [{str(k): None if v is None else str(v) for k, v in row.items()} for row in element.get("data") or []]
+    return {"page": _page(element), "data": rows, "caption": element.get("caption")}
+
+
+def _figure(element: dict) -> dict:
+    return {"page": _page(element), "image_path": str(element.get("image_path") or ""), "caption": element.get("caption")}
+
+
+def _page(element: dict) -> int | None:
+    return None if element.get("page") is None else int(element["page"])
+
+
+def _elements(found: list, shaped: Callable[[dict], dict]) -> list[dict]:
+    """The elements that have the shape of their kind, in order; a malformed one is left out, not the file."""
+    out = []
+    for element in found or []:
+        try:
+            out.append(shaped(element))
+        except (AttributeError, TypeError, ValueError):
+            continue
+    return out
+
+
 def ingest(found: DataFrame, decoders: list[tuple[str, Decoder]]) -> DataFrame:
     """One row per file (see INGESTED). A file that no decoder reads has status failed and the error; the
-    others go on. Table and figure elements keep their order; a figure without a saved image has path ''."""
+    others go on. Table and figure elements keep their order, malformed ones are left out; a figure without
+    a saved image has path ''. The title is the decoder's, else the first line if that is a heading."""
     rows = found.select("path", "content").withColumn("filename", F.regexp_extract("path", r"([^/]*)$", 1))
     stem = F.regexp_replace("filename", r"\.[^.]*$", "")
 
@@ -119,37 +145,49 @@ def ingest(found: DataFrame, decoders: list[tuple[str, Decoder]]) -> DataFrame:
             for row in batch.itertuples():
                 try:
                     engine, d = _decode(row.content, decoders)
-                    figures = [{"page": f.get("page"), "image_path": f.get("image_path") or "", "caption": f.get("caption")} for f in d.figures]
-                    tables = [{"page": t.get("page"), "data": [{str(k): None if v is None else str(v) for k, v in r.items()} for r in t.get("data", [])], "caption": t.get("caption")} for t in d.tables]
-                    out.append((row.id, row.filename, d.markdown, tables, figures, d.title, d.page_count, engine, "ingested", None))
+                    out.append((row.id, row.filename, d.markdown, _elements(d.tables, _table), _elements(d.figures, _figure), d.title, d.page_count, engine, "ingested", None))
                 except Exception as e:
                     out.append((row.id, row.filename, None, None, None, None, None, None, "failed", str(e)))
             yield pd.DataFrame(out, columns=names).astype({"page_count": "Int32"})
 
-    return rows.withColumn("id", stem).mapInPandas(run, INGESTED)
+    return rows.withColumn("id", stem).mapInPandas(run, INGESTED).withColumn("title", document_title("title", "markdown"))
+
+
+BOOK = "book_id string, title string, pages array<string>, outline array<struct<level:int,title:string,page_no:int>>, error string"
 
 
-def outlines(found: DataFrame, decoder: Decoder) -> DataFrame:
-    """(book_id, position, level, title, page_no) of every outline entry; a file that can't be read has none."""
+def books(found: DataFrame, decoders: list[tuple[str, Decoder]]) -> DataFrame:
+    """One row per file (see BOOK), each decoded once: all of its pages, empty ones too, and its outline.
+
+    Pages are the decoder's, else what form feeds part. A file that no decoder reads has the error and no
+    pages. Write it, or settle it, before ``pages`` and ``outlines`` look at it.
+    """
+    rows = found.select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for row in batch.itertuples():
+                stem = row.path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
                 try:
-                    entries = decoder(bytes(row.content)).outline
-                except Exception:
-                    entries = []
-                out += [(row.book_id, i, level, title, page) for i, (level, title, page) in enumerate(entries)]
-            yield pd.DataFrame(out, columns=["book_id", "position", "level", "title", "page_no"]).astype({"position": "Int32", "level": "Int32", "page_no": "Int32"})
+                    _, d = _decode(row.content, decoders)
+                    outline = [{"level": level, "title": title, "page_no": page} for level, title, page in d.outline]
+                    out.append((stem, d.title, d.pages or d.markdown.split("\f"), outline, None))
+                except Exception as e:
+                    out.append((stem, None, [], [], str(e)))
+            yield pd.DataFrame(out, columns=["book_id", "title", "pages", "outline", "error"])
+
+    return rows.mapInPandas(run, BOOK)
+
 
-    named = found.select(F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"\.[^.]*$", "").alias("book_id"), "content")
-    return named.mapInPandas(run, "book_id string, position int, level int, title string, page_no int")
+def outlines(books: DataFrame) -> DataFrame:
+    """(book_id, position, level, title, page_no) of every outline entry."""
+    return books.select("book_id", F.posexplode("outline").alias("position", "o")).select("book_id", "position", "o.level", "o.title", "o.page_no")
 
 
-def pages(texts: DataFrame, key: str = "book_id", text: str = "markdown") -> DataFrame:
-    """(key, page_no, text): a text's pages, parted by form feeds."""
-    return texts.select(key, F.posexplode(F.split(text, "\f")).alias("_at", "text")).select(key, (F.col("_at") + 1).alias("page_no"), "text")
+def pages(books: DataFrame) -> DataFrame:
+    """(book_id, page_no, text) of every page."""
+    return books.select("book_id", F.posexplode("pages").alias("_at", "text")).select("book_id", (F.col("_at") + 1).alias("page_no"), "text")
 
 
 def readable(ingested: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sheaf.operators.inventory import merged
 from sheaf.sources.documents import Decoder, ingest
-from sheaf.sources.sinks import write_table
+from sheaf.sources.sinks import read_table, write_table
 
 
 def arriving_files(spark: SparkSession, folder: str, pattern: str = "*.pdf", per_batch: int = 1000) -> DataFrame:
@@ -26,10 +26,8 @@ def start(files: DataFrame, decoders: list[tuple[str, Decoder]], corpus: str, in
         ingest(batch, decoders).write.mode("overwrite").parquet(f"{corpus}/batch={number}")
         # Read back what was written, so files aren't decoded a second time.
         rows = spark.read.parquet(f"{corpus}/batch={number}").select("id", "filename", "status")
-        try:
-            old = spark.read.parquet(inventory)
-        except Exception:
-            old = rows.limit(0)
+        # An inventory that can't be read raises: taken for none it would be replaced by this batch.
+        old = read_table(spark, inventory, "id string, filename string, status string")
         write_table(merged(old, rows, "id"), inventory)
 
     return files.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

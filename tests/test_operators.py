@@ -142,6 +142,32 @@ def test_model_calls(spark):
     assert told[0]["context"].endswith("first chapter.") and "Ch 1: x" in told[1]["context"]
 
 
+def test_each_prompt_is_sent_once(spark, tmp_path):
+    """Answers that differ from call to call: each row stays one row, whatever is read from its answer."""
+    sent = tmp_path / "sent"
+
+    class Varying:
+        def complete(self, prompt, temperature):
+            import random
+
+            with sent.open("a") as out:
+                out.write("x")
+            return random.choice(['{"main_thesis": "a"}', "{'main_thesis': 'b',}", "no JSON", '```json\n{"main_thesis": "c"}\n```'])
+
+    df = spark.range(200).selectExpr("id", "'p' || id AS prompt")
+    rows = models.parsed(models.call(df, "prompt", Varying), "answer", "main_thesis string", "read").select("id", "answer", "read").collect()
+    assert sorted(r["id"] for r in rows) == list(range(200)) and sent.stat().st_size == 200
+    assert all((r["read"] or {"main_thesis": None})["main_thesis"] == next((x for x in "abc" if f"{x}\"" in r["answer"] or f"'{x}'" in r["answer"]), None) for r in rows)
+
+
+def test_headings_over_a_whole_table(spark):
+    papers = spark.range(500).selectExpr("id AS paper_id", "concat('c', (id * 7) % 5) AS category", "cast((id * 7) % 5 % 3 AS int) AS category_order", "cast(id % 11 AS int) AS paper_order")
+    one = categories.headings(papers.withColumn("g", F.lit(1)), "paper_id", "g").drop("g")
+    key = lambda df: sorted(tuple(r) for r in df.select("paper_id", "ordinal", "starts_category", "banded").collect())
+    assert key(categories.headings(papers.repartition(4), "paper_id")) == key(one)
+    assert categories.headings(papers.limit(0), "paper_id").count() == 0
+
+
 def test_prompts(spark):
     spec = prompts.SchemaSpec.of([{"key": "n", "description": "size", "type": "integer"}, {"key": "m"}])
     assert spec.lines() == "- n: size (integer)\n- m:  (string)" and spec.struct().simpleString() == "struct<n:bigint,m:string>"

@@ -32,7 +32,9 @@ def test_ingest(spark, shelf):
     ingested = documents.ingest(documents.files(spark, str(shelf), "*.txt"), DECODERS)
     assert sorted(r["id"] for r in documents.readable(ingested).collect()) == ["one", "two"]
     assert [r["id"] for r in documents.unreadable(ingested).collect()] == ["glyphs"]
-    assert documents.pages(ingested.where("id = 'two'"), "id").count() == 2
+    books = documents.books(documents.files(spark, str(shelf), "*.txt"), DECODERS)
+    assert documents.pages(books.where("book_id = 'two'")).count() == 2
+    assert {r["book_id"] for r in books.where("error is not null").collect()} == {"broken"}
 
 
 def test_folders(tmp_path):
@@ -44,7 +46,10 @@ def test_folders(tmp_path):
 
 
 def test_outlines(spark, shelf):
-    found = documents.outlines(documents.files(spark, str(shelf), "*.txt"), lambda content: documents.Decoded("", outline=[(0, "One", 1), (1, "in", None)]))
+    decoder = ("outlined", lambda content: documents.Decoded("x" * 200, outline=[(0, "One", 1), (1, "in", None)], pages=["first", "", "third"]))
+    books = documents.books(documents.files(spark, str(shelf), "*.txt"), [decoder])
+    assert [tuple(r) for r in documents.pages(books.where("book_id = 'one'")).orderBy("page_no").collect()] == [("one", 1, "first"), ("one", 2, ""), ("one", 3, "third")]
+    found = documents.outlines(books)
     assert {(r["position"], r["title"], r["page_no"]) for r in found.where("book_id = 'one'").collect()} == {(0, "One", 1), (1, "in", None)}
 
 
@@ -111,8 +116,11 @@ def test_pipeline(spark, shelf, tmp_path):
     assert (papers["one"]["title"], papers["one"]["authors"], papers["one"]["year"], papers["one"]["data"]) == ("Minimum Wages and Employment Effects", "David Card", "1997", {"n": "5"})
     assert papers["two"]["key_equations"] == "$x$" and papers["two"]["authors"] == "Somebody"
     assert sorted(r["n"] for r in steps.report().collect()) == ["5", "5"]
-    assert "c \\& d" in (tmp_path / "work" / "review.tex").read_text()
+    review = (tmp_path / "work" / "review.tex").read_text()
+    assert "c \\& d" in review and review.startswith("\\documentclass") and review.endswith("\\end{document}\n")
     assert steps.report(condensed=True).count() == 3
+    appendix = (tmp_path / "work" / "appendix.tex").read_text()
+    assert appendix.count("\\textbf{David Card} (1997) says") == 1 and appendix.count("\\rowcolor{categoryblue}") == 1 and "3 papers" in appendix and appendix.endswith("\\end{longtable}\n\n\\end{document}\n")
     # Again: nothing is lost.
     assert tuple(steps.ingest(str(shelf), "*.txt").first()) == (3, 1)
 
@@ -127,6 +135,96 @@ def test_books(spark, tmp_path):
     assert body.index("First Things") < body.index("Second Things")
 
 
+def pdf(pages):
+    """A small PDF of text pages, for a stand-in of a PDF library that reads the pages' text."""
+    return b"%PDF-1.4\n" + b"\n".join(b"BT (" + p.encode() + b") Tj ET" for p in pages) + b"\n%%EOF"
+
+
+def pdf_decoder(content):
+    import re
+
+    if not content.startswith(b"%PDF"):
+        raise ValueError("no PDF")
+    found = [p.decode() for p in re.findall(rb"BT \((.*?)\) Tj ET", content, re.S)]
+    outline = [(0, "Alpha", 2), (1, "inside", 2), (0, "Omega", 4)] if b"Alpha" in content else []
+    return documents.Decoded(documents.joined_pages(found), page_count=len(found), outline=outline, pages=found)
+
+
+def test_books_from_files(spark, tmp_path):
+    shelf = tmp_path / "books"
+    shelf.mkdir()
+    (shelf / "outlined.pdf").write_bytes(pdf(["A Title & More", "Alpha text", "", "Omega text"]))
+    (shelf / "headed.pdf").write_bytes(pdf(["1\nFirst Things\n" + "a" * 120_000, "more", "2\nSecond Things\nb"]))
+    (shelf / "broken.pdf").write_bytes(b"nothing")
+    sent = tmp_path / "sent"
+
+    class Told:
+        def complete(self, prompt, temperature):
+            with sent.open("a") as out:
+                out.write(f"{len(prompt)}\n")
+            if "Second Things" in prompt and prompt.startswith("Summarise"):
+                raise RuntimeError("too long")
+            return '{"main_thesis": "said", "key_terms": [1, null, "k"]}'
+
+    steps = Pipeline(spark, str(tmp_path / "work"), [("pdf", pdf_decoder)], Told)
+    found = {(r["book_id"], r["title"], r["start_page"], r["end_page"]) for r in steps.book_read(str(shelf)).collect()}
+    assert found == {("outlined", "Alpha", 2, 3), ("outlined", "Omega", 4, 4), ("headed", "First Things", 1, 2), ("headed", "Second Things", 3, 3)}
+    steps.book_extract()
+    assert (tmp_path / "work" / "chapter_files" / "outlined" / "01_alpha.txt").read_text() == "Alpha text\n\n"
+    rows = {(r["book_id"], r["number"]): r for r in steps.book_summarize().collect()}
+    assert rows["headed", 2]["error"] == "too long" and rows["headed", 2]["answer"] is None and rows["headed", 1]["error"] is None
+    assert "Ch 1: said\n    Key terms: 1, k" in rows["outlined", 2]["context"]
+    # One call a chapter and one a book; a long chapter's prompt holds its beginning and end alone.
+    lengths = [int(n) for n in sent.read_text().split()]
+    assert len(lengths) == 6 and 100_000 < max(lengths) < 101_000
+    reports = {r["book_id"]: r["document"] for r in steps.book_report().collect()}
+    assert reports["outlined"] == (tmp_path / "work" / "book_documents" / "outlined.tex").read_text()
+    assert "\\title{A Title \\& More}" in reports["outlined"] and reports["outlined"].index("Contents") < reports["outlined"].index("\\section{Alpha}") < reports["outlined"].index("\\section{Omega}")
+    with pytest.raises(ValueError):
+        Pipeline(spark, str(tmp_path / "none"), [("pdf", pdf_decoder)], Told).book_read(str(shelf / "broken.pdf"))
+
+
+def test_an_inventory_that_cannot_be_read_is_kept(spark, shelf, tmp_path):
+    work = tmp_path / "work"
+    steps = Pipeline(spark, str(work), DECODERS, Scripted)
+    steps.ingest(str(shelf), "*.txt")
+    kept = sorted(p.name for p in (work / "inventory").glob("part-*"))
+    for part in (work / "inventory").glob("part-*"):
+        part.write_bytes(b"damaged")
+    for crc in (work / "inventory").glob(".part-*.crc"):
+        crc.unlink()
+    with pytest.raises(Exception, match="(?i)parquet|footer|CANNOT_READ"):
+        steps.ingest(str(shelf), "*.txt")
+    with pytest.raises(Exception, match="(?i)parquet|footer|CANNOT_READ"):
+        streaming.start(streaming.arriving_files(spark, str(shelf), "*.txt"), DECODERS, str(tmp_path / "corpus"), str(work / "inventory"), str(tmp_path / "checkpoint")).awaitTermination()
+    assert sorted(p.name for p in (work / "inventory").glob("part-*")) == kept
+
+
+def test_tables_are_swapped_whole(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert sinks.read_table(spark, path, "a int").count() == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        sinks.read_table(spark, path)
+    sinks.write_table(spark.range(3), path)
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        sinks.write_table(spark.range(5).selectExpr("1 div (id - 4) AS id"), path)
+    assert sinks.read_table(spark, path).count() == 3
+    # A swap that was broken off between its two moves.
+    (tmp_path / "t").rename(tmp_path / "t.old")
+    assert sinks.read_table(spark, path, "a int").count() == 3
+    sinks.write_binary_files(spark.createDataFrame([("x/a.png", bytearray(b"\x89")), ("b.png", None)], "name string, content binary"), str(tmp_path / "images"), "name", "content")
+    assert (tmp_path / "images" / "x" / "a.png").read_bytes() == b"\x89" and not (tmp_path / "images" / "b.png").exists()
+
+
+def test_malformed_elements_are_left_out(spark, shelf):
+    tables = [{"page": 1, "data": [{"k": 1, "n": None}]}, {"page": "x"}, {"data": ["no row"]}, None, {"page": 2, "data": None, "caption": "c"}]
+    decoder = ("layout", lambda content: documents.Decoded("# A title\n" + "x" * 200, tables=tables, figures=[{"page": 1, "image_path": None}, 3, {"page": 4, "image_path": "f.png"}]))
+    row = documents.ingest(documents.files(spark, str(shelf), "one.txt"), [decoder]).first()
+    assert row["status"] == "ingested" and row["title"] == "A title"
+    assert [(t["page"], t["data"], t["caption"]) for t in row["tables"]] == [(1, [{"k": "1", "n": None}], None), (2, [], "c")]
+    assert [(f["page"], f["image_path"]) for f in row["figures"]] == [(1, ""), (4, "f.png")]
+
+
 def test_stream(spark, shelf, tmp_path):
     places = [str(tmp_path / n) for n in ("corpus", "inventory", "checkpoint")]
 
@@ -150,7 +248,7 @@ class Synthesising(Scripted):
         if prompt.startswith("Synthesize these chapter summaries"):
             assert "CHAPTERS: 2" in prompt and prompt.index("Chapter 1: first") < prompt.index("Chapter 2: first")
             return '{"book_thesis": "thesis & all", "key_themes": ["one", "two_b"], "intellectual_journey": "journey", "one_paragraph_summary": "summary"}'
-        if prompt.startswith("TITLE:"):
+        if prompt.startswith("Summarise this chapter"):
             return '{"main_thesis": "first", "unique_insight": "u", "key_terms": ["k"]}'
         return super().complete(prompt, temperature)
 
