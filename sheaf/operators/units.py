@@ -6,9 +6,10 @@ every cycle gives the identity; the composed table (a few dozen rows, whatever t
 source unit and common unit. ``amounts`` reads the cells: the number, and the unit that the cell says,
 else that the notes say of that field, else that the schema says for the review.
 
-Null, empty and placeholder cells, and amounts on other scales (scores that aren't shares, energy,
-steps, operations), give no row. A row_id given twice gives its rows twice; a null row_id stays null.
-Very long cells are read whole. Empty tables give an empty result. Other columns are ignored.
+Null, empty and placeholder cells, amounts on other scales (scores that aren't shares, energy, steps,
+operations) and amounts too large for a bigint give no row. A row_id given twice gives its rows twice; a
+null row_id stays null. Very long cells are read whole. Empty tables give an empty result. Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ TARGETS = {"effect_size": "hundredth", "performance_improvement": "hundredth", "
 COMMON = {"effect_size": ("percent", "percentage point"), "performance_improvement": ("percent", "percentage point"), "training_compute": ("hour",)}
 
 Affine = tuple[Fraction, Fraction]
+#: Digits of the numerators and denominators of conversions.
+LARGEST = 12
 
 
 def conversions(edges: list[tuple[str, str, Fraction, Fraction]] = EDGES) -> dict[tuple[str, str], Affine]:
@@ -57,6 +60,9 @@ def conversions(edges: list[tuple[str, str, Fraction, Fraction]] = EDGES) -> dic
                 if (start, to) not in composed:
                     composed[start, to] = (factor * f, offset * f + o)
                     queue.append(to)
+    # Decimals hold the parts of fractions up to this size; larger ones would be rounded in silence.
+    if big := next((k for k, way in composed.items() if any(max(abs(x.numerator), x.denominator) >= 10**LARGEST for x in way)), None):
+        raise ValueError(f"the conversion from {big[0]} to {big[1]} has more than {LARGEST} digits")
     # Each edge closes a cycle with the composed ways to its ends: both ways round must agree.
     for a, b, factor, offset in edges:
         for start in {s for s, t in composed if t == a}:
@@ -92,20 +98,33 @@ _NUM = r"\d[\d.,'   ]*(?<=\d)(?:[eE][+-]?\d+)?"
 _WORDS = "|".join(NUMBER_WORDS)
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _caught(text: Column, pattern: str, groups: list[int]) -> Column:
+    """The numbered groups of the first match, found in one pass; null if there is no match. The text may not hold U+0001."""
+    spread = F.regexp_replace(text, rf"(?s)\A(.*?)(?:{pattern})(.*)\z", "\x01".join(f"${n}" for n in groups))
+    return F.when(F.instr(spread, "\x01") > 0, F.split(spread, "\x01"))
+
+
 def plain_number(text: Column) -> Column:
     """A decimal out of a number's spelling: decimal comma or point, thousands set apart by comma,
     point, space or apostrophe; null if there is none. One separator followed by three digits sets
     thousands apart if it's a comma not behind a lone 0, otherwise it's the decimal mark."""
-    bare = F.regexp_replace(text, "['   ]", "")
-    comma_last = F.instr(F.reverse(bare), ",") < F.instr(F.reverse(bare), ".")
-    plain = (
-        F.when(bare.contains(",") & bare.contains("."), F.when(comma_last, F.translate(F.translate(bare, ".", ""), ",", ".")).otherwise(F.translate(bare, ",", "")))
-        .when(bare.rlike(r"^[1-9]\d{0,2}(,\d{3})+$"), F.translate(bare, ",", ""))
-        .when(bare.contains(","), F.translate(bare, ",", "."))
-        .when(bare.rlike(r"^[1-9]\d{0,2}(\.\d{3}){2,}$"), F.translate(bare, ".", ""))
-        .otherwise(bare)
-    )
-    return plain.try_cast("decimal(24,8)")
+
+    def plain(bare: Column) -> Column:
+        comma_last = F.instr(F.reverse(bare), ",") < F.instr(F.reverse(bare), ".")
+        return (
+            F.when(bare.contains(",") & bare.contains("."), F.when(comma_last, F.translate(F.translate(bare, ".", ""), ",", ".")).otherwise(F.translate(bare, ",", "")))
+            .when(bare.rlike(r"^[1-9]\d{0,2}(,\d{3})+$"), F.translate(bare, ",", ""))
+            .when(bare.contains(","), F.translate(bare, ",", "."))
+            .when(bare.rlike(r"^[1-9]\d{0,2}(\.\d{3}){2,}$"), F.translate(bare, ".", ""))
+            .otherwise(bare)
+        ).try_cast("decimal(24,8)")
+
+    return _let(F.translate(text, "' \u00a0\u202f", ""), plain)
 
 
 def rate_unit(text: Column) -> Column:
@@ -113,48 +132,79 @@ def rate_unit(text: Column) -> Column:
     found = F
     for pattern, unit in RATE_UNITS:
         found = found.when(text.rlike(f"(?i){pattern}"), F.lit(unit))
-    return found
-
-
-def _rates(matrix: DataFrame, schema: DataFrame, field: str, topic: str) -> DataFrame:
-    cell = F.regexp_replace(F.col(field), r"\s*(?:±|\+/-|\+-)\s*" + _NUM, "")
-    # Digits inside a word (F1) are no amount. The first number is; the text around it may name the unit.
-    first = r"(?<![\p{L}\d.,])([+\-−–]?)\s*(" + _NUM + ")"
-    sign, number = F.regexp_extract(cell, first, 1), F.regexp_extract(cell, first, 2)
-    named = F.concat_ws(" ", F.split(cell, first, 2))
-    notes = F.filter(F.split("notes", ";"), lambda part: F.lower(F.ltrim(part)).startswith(topic))
-    described = schema.where(F.col("key") == field).groupBy("review").agg(F.min("description").alias("_described"))
-    read = matrix.where(F.col(field).isNotNull()).join(described, "review", "left").select(
-        "row_id", F.lit(field).alias("field"), F.lit(0).alias("term"),
-        plain_number(number).alias("number"),
-        F.when(sign.isin("-", "−", "–") | cell.rlike(FALLS), -1).otherwise(1).alias("times"),
-        F.coalesce(rate_unit(named), rate_unit(F.try_element_at(notes, F.lit(1))), rate_unit(F.col("_described"))).alias("unit"),
-        cell.rlike(OTHER_SCALES).alias("_other"),
-    )
-    return read.where("not _other and number is not null and unit is not null").drop("_other").withColumn("terms", F.lit(1)).withColumn("single", F.lit(True))
+    return F.when(text.rlike(r"\S"), found)
+
+
+#: A term of a cell as it is stated: so many times a number of a unit; single: a number of hours of devices.
+TERM = "array<struct<number:decimal(24,8),times:decimal(18,0),unit:string,single:boolean>>"
+
+
+def _rate(text: Column, notes: Column, topic: Column, declared: Column) -> Column:
+    """The amount of a rate as TERM, of one element or none: the first number outside of words; the text around it may
+    name the unit, else the part of the notes on the field does, else the schema."""
+    spread = F.when(text.contains("±") | text.contains("+"), F.regexp_replace(text, r"\s*(?:±|\+/-|\+-)\s*" + _NUM, "")).otherwise(text)
+    first = rf"(?<![\p{{L}}\d.,])([+\-−–]?)\s*({_NUM})"
+    said = F.get(F.filter(F.split(notes, ";"), lambda part: F.startswith(F.lower(F.ltrim(part)), topic)), F.lit(0))
+
+    def term(cell: Column, caught: Column) -> Column:
+        before, sign, number, after = (F.get(caught, F.lit(i)) for i in range(4))
+        falls = sign.isin("-", "−", "–") | cell.rlike(FALLS)
+        signed = plain_number(number) * F.when(falls, -1).otherwise(1).cast("decimal(1,0)")
+        unit = F.coalesce(rate_unit(F.concat_ws(" ", before, after)), rate_unit(said), declared)
+        return F.struct(signed.cast("decimal(24,8)").alias("number"), F.lit(1).cast("decimal(18,0)").alias("times"), unit.alias("unit"), F.lit(True).alias("single"))
+
+    other = lambda cell: cell.rlike("[A-Za-z]") & cell.rlike(OTHER_SCALES)
+    return _let(spread, lambda cell: F.when(~other(cell), _let(_caught(cell, first, [1, 2, 3, 4]), lambda caught: F.when(caught.isNotNull(), F.array(term(cell, caught))))))
 
 
-def _times(matrix: DataFrame) -> DataFrame:
+def _times(text: Column) -> Column:
+    """The terms of a training time as TERM."""
     unit = "|".join(p for p, _ in TIME_UNITS)
     amount = rf"(?:{_NUM}|\b(?:{_WORDS}|an?|single)\b)"
     span = rf"(?i)({amount})[\s-]*(?:(?:[A-Z][\w-]*\s+){{0,3}}?({DEVICES})[\s-]*)?(?<![\p{{L}}])({unit})(?![\p{{L}}/])"
     machines = rf"({amount})\s+(?:[A-Z][\w-]*\s+){{0,3}}?(?i:{DEVICES})(?![\p{{L}}])(?!\s*-?\s*(?i:{unit})(?![\p{{L}}]))"
-    terms = F.split("training_compute", r"(?i)\s*;\s*(?:then\b)?\s*|\s+(?:then|plus|and)\s+|\s\+\s")
-    word = lambda text: F.coalesce(plain_number(text), F.when(F.lower(text).isin("a", "an", "single"), 1).otherwise(F.nullif(F.array_position(F.array(*map(F.lit, NUMBER_WORDS)), F.lower(text)), F.lit(0))).cast("decimal(24,8)"))
-    named = F
-    for pattern, name in TIME_UNITS:
-        named = named.when(F.col("_unit").rlike(f"(?i)^(?:{pattern})$"), F.lit(name))
-    read = matrix.where("training_compute is not null").select("row_id", F.posexplode(terms).alias("term", "_text")).where(~F.col("_text").rlike(OTHER_SCALES))
-    parts = read.select(
-        "row_id", "term",
-        word(F.trim(F.regexp_extract("_text", span, 1))).alias("number"),
-        F.regexp_extract("_text", span, 2).alias("_of_device"),
-        F.regexp_extract("_text", span, 3).alias("_unit"),
-        word(F.trim(F.regexp_extract("_text", machines, 1))).alias("_machines"),
-    )
-    found = parts.select("row_id", F.lit("training_compute").alias("field"), "term", "number", F.coalesce("_machines", F.lit(1)).alias("times"), named.alias("unit"), (F.col("_of_device") != "").alias("single"), F.col("_machines").isNull().alias("_alone"))
-    found = found.where("number is not null and unit is not null").withColumn("single", F.expr("single and _alone")).drop("_alone")
-    return found
+    words = F.array(*map(F.lit, NUMBER_WORDS))
+    spelled = lambda t: F.when(t.isin("a", "an", "single"), 1).otherwise(F.nullif(F.array_position(words, t), F.lit(0))).cast("decimal(24,8)")
+    count = lambda t: _let(F.trim(t), lambda t: F.coalesce(plain_number(t), spelled(F.lower(t))))
+
+    def named(t: Column) -> Column:
+        found = F
+        for pattern, name in TIME_UNITS:
+            found = found.when(t.rlike(f"(?i)^(?:{pattern})$"), F.lit(name))
+        return found
+
+    def term(part: Column) -> Column:
+        def read(caught: Column) -> Column:
+            devices = _caught(part, machines, [2, 3])
+            number, of_device, unit = (F.get(caught, F.lit(i)) for i in range(3))
+            return _let(F.when(caught.isNotNull(), count(F.get(devices, F.lit(0)))), lambda many: F.struct(
+                count(number).alias("number"), F.coalesce(many, F.lit(1)).cast("decimal(18,0)").alias("times"),
+                named(unit).alias("unit"), ((of_device != "") & many.isNull()).alias("single"),
+            ))
+
+        # The first group of _caught's pattern is the text before: those of the span are 2, 3 and 4.
+        return _let(_caught(part, span, [2, 3, 4]), read)
+
+    parts = F.split(text, r"(?i)\s*;\s*(?:then\b)?\s*|\s+(?:then|plus|and)\s+|\s\+\s")
+    return F.transform(F.filter(parts, lambda p: ~p.rlike(OTHER_SCALES)), term)
+
+
+def _cells(matrix: DataFrame, schema: DataFrame) -> DataFrame:
+    """(_cell, row_id, field, number, times, unit, single): the terms of every readable cell, out of one scan.
+
+    _cell tells cells apart, those of repeated and null row_ids too.
+    """
+    rates = {"effect_size": "effect size", "performance_improvement": "improvement"}
+    declared = schema.where(F.col("key").isin(*rates)).groupBy("review").agg(*(F.min(F.when(F.col("key") == f, F.col("description"))).alias(f"_{f}") for f in rates))
+    # The schema's units are read once per review, not per cell.
+    declared = declared.select("review", *(rate_unit(F.col(f"_{f}")).alias(f"_{f}") for f in rates))
+    clean = lambda f: F.translate(f, "\x01", " ").alias("text")
+    cells = [F.struct(F.lit(f).alias("field"), clean(f), F.lit(rates.get(f)).cast("string").alias("topic"), (F.col(f"_{f}") if f in rates else F.lit(None)).cast("string").alias("declared")) for f in TARGETS]
+    stated = matrix.join(declared, "review", "left").select("row_id", "notes", F.explode(F.filter(F.array(*cells), lambda c: c["text"].rlike(r"\w"))).alias("c"))
+    terms = F.when(F.col("c.field") == "training_compute", _times(F.col("c.text")).cast(TERM)).otherwise(_rate(F.col("c.text"), F.col("notes"), F.col("c.topic"), F.col("c.declared")).cast(TERM))
+    readable = F.filter(terms, lambda t: t["number"].isNotNull() & t["unit"].isNotNull())
+    numbered = stated.select(F.monotonically_increasing_id().alias("_cell"), "row_id", F.col("c.field").alias("field"), readable.alias("terms"))
+    return numbered.select("_cell", "row_id", "field", F.explode("terms").alias("t")).select("_cell", "row_id", "field", "t.*")
 
 
 def amounts(matrix: DataFrame, schema: DataFrame) -> DataFrame:
@@ -163,22 +213,27 @@ def amounts(matrix: DataFrame, schema: DataFrame) -> DataFrame:
     amount counts hundredths of a percent or of a point, and accelerator-minutes; halves round up, away
     from zero. Terms of training time are added up.
     """
-    spark = matrix.sparkSession
-    matrix, schema = matrix.select("row_id", "review", "notes", *TARGETS), schema.select("review", "key", "description")
-    columns = ["row_id", "field", "term", "number", "times", "unit", "single"]
-    rates = [_rates(matrix, schema, f, t).select(columns) for f, t in (("effect_size", "effect size"), ("performance_improvement", "improvement"))]
-    cells = rates[0].unionByName(rates[1]).unionByName(_times(matrix).select(columns))
-    target = F.create_map(*(F.lit(x) for pair in TARGETS.items() for x in pair))[F.col("field")]
-    table = conversion_table(spark).where(F.col("target").isin(*set(TARGETS.values())))
+    terms = _cells(matrix.select("row_id", "review", "notes", *TARGETS), schema.select("review", "key", "description"))
+    return _converted(terms, conversion_table(matrix.sparkSession), TARGETS)
+
+
+def _converted(terms: DataFrame, table: DataFrame, targets: dict[str, str]) -> DataFrame:
+    """Terms joined on their unit and their field's target, converted (factor and offset, then times) and added up by cell."""
+    target = F.create_map(*(F.lit(x) for pair in targets.items() for x in pair))[F.col("field")]
+    table = table.where(F.col("target").isin(*set(targets.values()))).withColumnRenamed("source", "unit")
     # The table has a row per pair of units: its size is that of EDGES, so it's safe to send to all.
-    joined = cells.withColumn("target", target).join(F.broadcast(table.withColumnRenamed("source", "unit")), ["unit", "target"])
-    exact = F.col("number").cast("decimal(24,8)") * F.col("times").cast("decimal(10,0)")
-    value = (exact * F.col("numerator").cast("decimal(6,0)")).cast("decimal(38,8)")
+    joined = terms.withColumn("target", target).join(F.broadcast(table), ["unit", "target"])
+    whole = lambda c: F.col(c).cast(f"decimal({LARGEST},0)")
+    scaled = F.try_divide(F.try_multiply(F.col("number"), whole("numerator")), whole("denominator"))
+    offset = whole("offset_numerator") / whole("offset_denominator")
+    part = F.try_multiply(F.try_add(scaled, offset).try_cast("decimal(38,10)"), F.col("times")).try_cast("decimal(38,10)")
     common = F.when(F.col("field") == "training_compute", F.col("single") & F.col("unit").isin(*COMMON["training_compute"])).otherwise(F.col("unit").isin(*COMMON["effect_size"]))
-    terms = joined.select("row_id", "field", (value / F.col("denominator").cast("decimal(6,0)")).cast("decimal(38,10)").alias("part"), common.alias("common"))
-    rates = terms.where("field != 'training_compute'").select("row_id", "field", "part", "common")
-    times = terms.where("field = 'training_compute'").groupBy("row_id", "field").agg(F.sum("part").alias("part"), (F.min("common") & (F.count("*") == 1)).alias("common"))
-    return rates.unionByName(times).select("row_id", "field", F.round("part", 0).cast("bigint").alias("amount"), "common")
+    # The terms of a cell lie in one partition: they are added up before the shuffle.
+    summed = joined.select("_cell", "row_id", "field", part.alias("part"), common.alias("common")).groupBy("_cell").agg(
+        F.first("row_id").alias("row_id"), F.first("field").alias("field"), F.sum("part").alias("sum"), F.count("part").alias("read"), F.count("*").alias("terms"), F.bool_and("common").alias("common"),
+    )
+    amount = F.when(F.col("read") == F.col("terms"), F.round("sum", 0).try_cast("bigint"))
+    return summed.select("row_id", "field", amount.alias("amount"), (F.col("common") & (F.col("terms") == 1)).alias("common")).where("amount is not null")
 
 
 def restated(matrix: DataFrame, schema: DataFrame) -> DataFrame:

@@ -200,6 +200,28 @@ def test_cells(spark):
     assert units.restated(matrix, schema.limit(0)).count() > 0
 
 
+def test_rows_given_twice_and_without_id(spark):
+    rows = [(1, "2 GPUs, 3 hours"), (1, "2 GPUs, 3 hours"), (None, "1 h"), (None, "2 h plus 1 day"), (2, "99999999999999 GPUs for 9999999 weeks")]
+    matrix = spark.createDataFrame([(i, "rv", None, None, None, t) for i, t in rows], "row_id bigint, review string, notes string, effect_size string, performance_improvement string, training_compute string")
+    schema = spark.createDataFrame([], "review string, key string, description string")
+    got = sorted(((r["row_id"], r["amount"]) for r in units.amounts(matrix, schema).collect()), key=str)
+    assert got == [(1, 360), (1, 360), (None, 1560), (None, 60)]
+
+
+def test_offsets_are_applied(spark):
+    """Temperatures: an affine conversion with an offset, before the multiplication by a count."""
+    edges = [("celsius", "fahrenheit", Fraction(9, 5), Fraction(32)), ("kelvin", "celsius", Fraction(1), Fraction(-27315, 100))]
+    terms = spark.createDataFrame([(1, 7, "t", "20", 1, "celsius", True), (2, 7, "t", "300.15", 1, "kelvin", True), (3, None, "t", "10", 2, "celsius", True)], "_cell bigint, row_id bigint, field string, number string, times int, unit string, single boolean")
+    terms = terms.withColumns({"number": terms["number"].cast("decimal(24,8)"), "times": terms["times"].cast("decimal(10,0)")})
+    got = sorted(((r["row_id"], r["amount"]) for r in units._converted(terms, units.conversion_table(spark, edges), {"t": "fahrenheit"}).collect()), key=str)
+    assert got == [(7, 68), (7, 81), (None, 100)]
+    # Factors of a million and more.
+    big = units._converted(terms.where("_cell = 1"), units.conversion_table(spark, [("celsius", "fahrenheit", Fraction(3_000_000), Fraction(0))]), {"t": "fahrenheit"})
+    assert [r["amount"] for r in big.collect()] == [60_000_000]
+    with pytest.raises(ValueError):
+        units.conversions([("a", "b", Fraction(10**13), Fraction(0))])
+
+
 def test_spellings_of_numbers(spark):
     cases = {"1,234": 1234, "0,123": 0.123, "12,5": 12.5, "1.234.567": 1234567, "1,234.5": 1234.5, "1.234,5": 1234.5, "1 340": 1340, "7": 7, "x": None}
     df = spark.createDataFrame([(k,) for k in cases], "t string")
