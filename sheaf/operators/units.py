@@ -229,8 +229,8 @@ def _converted(terms: DataFrame, table: DataFrame, targets: dict[str, str]) -> D
     part = F.try_multiply(F.try_add(scaled, offset).try_cast("decimal(38,10)"), F.col("times")).try_cast("decimal(38,10)")
     common = F.when(F.col("field") == "training_compute", F.col("single") & F.col("unit").isin(*COMMON["training_compute"])).otherwise(F.col("unit").isin(*COMMON["effect_size"]))
     # The terms of a cell lie in one partition: they are added up before the shuffle.
-    summed = joined.select("_cell", "row_id", "field", part.alias("part"), common.alias("common")).groupBy("_cell").agg(
-        F.first("row_id").alias("row_id"), F.first("field").alias("field"), F.sum("part").alias("sum"), F.count("part").alias("read"), F.count("*").alias("terms"), F.bool_and("common").alias("common"),
+    summed = joined.select("_cell", "row_id", "field", part.alias("part"), common.alias("common")).groupBy("_cell", "row_id", "field").agg(
+        F.sum("part").alias("sum"), F.count("part").alias("read"), F.count("*").alias("terms"), F.bool_and("common").alias("common"),
     )
     amount = F.when(F.col("read") == F.col("terms"), F.round("sum", 0).try_cast("bigint"))
     return summed.select("row_id", "field", amount.alias("amount"), (F.col("common") & (F.col("terms") == 1)).alias("common")).where("amount is not null")
