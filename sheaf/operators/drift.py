@@ -1,10 +1,12 @@
 """Drifting schemas: one table out of files whose fields are renamed, retyped, added and removed.
 
-``field_changes`` compares each file of a series with the file before it. Names that vanish and names
-that appear are matched by similarity flooding over the two schema graphs (fields, types and their
-parent); what the flooding selects is then held against the values of the papers in both files.
-``unified_table`` merges all names that some series renames into each other into one column, casts
-each column to the widest of its types and unions all lines.
+``field_changes`` compares each file of a series with the file before it. Both schemas are graphs: a node
+for every path (fields, the fields of objects within them, the elements of arrays), one for every JSON
+type, edges from parent to child and from path to type. Similarity flooding over the pairs of nodes
+proposes which names that vanish and names that appear belong together, by names, types and nesting alone;
+the values of the papers in both files are read for what it proposes, and of the pairs that hold the same
+values for most papers the highest are bound one to one. ``unified_table`` merges all names that some series
+renames into each other into one column, casts each column to its declared type and unions all lines.
 
 Null, empty, cut off or non-object lines count for nothing. Repeated lines count once. A field that is
 null everywhere has no type, so it can't be retyped. An empty input gives an empty result.
@@ -16,22 +18,28 @@ from __future__ import annotations
 import functools
 import json
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.session import batched, settle
 
-CELL = "array<struct<name:string,type:string,value:string,raw:string>>"
-#: Salts per file for the join of cells with the few names that change: a file may hold a third of all lines.
-SALTS = 16
-#: Names of fields that each worker may hold while it reads values.
-NAMES = 100_000
-#: Rounds of flooding; the fixpoint is reached far earlier on schemas of dozens of fields.
-ROUNDS = 50
+#: Rounds of flooding at most; it stops when nothing moves by more than STILL.
+ROUNDS, STILL = 60, 1e-4
+#: A pair is proposed if its similarity is at least this share of the best that either of its names has.
+LEAST_RELATIVE = 0.02
+#: Bits of the filter of names whose values are read: at most this power of two (2 MB). A fuller filter lets more values
+#: through, which are dropped later; it never holds one back.
+FILTER_BITS = 24
+#: Values that a task holds back to merge repeats before they are shuffled.
+HELD = 100_000
+#: Columns of a unified table for names that no key declares; the fields under rarer names go into one map.
+MOST_COLUMNS = 2_000
 
 _NUMBER = re.compile(r"^(?:n\s*=\s*)?([+-]?\d+(?:,\d{3})*(?:\.\d+)?(?:e[+-]?\d+)?)$")
 
@@ -64,9 +72,14 @@ def _leaves(value: object) -> Iterator[str]:
 def spelling_free(value: object) -> str | None:
     """A value without its spelling: the leaves of a container in order, case and spaces folded,
     numbers without separators, label or needless decimals. None if nothing is left."""
-    text = " ".join(" ".join(_leaves(value)).lower().split())
+    if value is None:
+        return None
+    text = " ".join((value if isinstance(value, str) else " ".join(_leaves(value))).lower().split())
     if not text:
         return None
+    # Words that begin with a letter other than the label's are no numbers.
+    if text[0].isalpha() and text[0] != "n":
+        return text
     if found := _NUMBER.match(text):
         number = float(found[1].replace(",", ""))
         return str(int(number)) if number == int(number) and abs(number) < 1e15 else repr(number)
@@ -77,6 +90,9 @@ def _not_json(token: str) -> None:
     raise ValueError(token)
 
 
+_decode = json.JSONDecoder(parse_constant=_not_json).decode
+
+
 def fields_of(record: str | None) -> dict | None:
     """The fields of a JSON object; None if a record isn't one.
 
@@ -86,29 +102,12 @@ def fields_of(record: str | None) -> dict | None:
     if record is None:
         return None
     try:
-        fields = json.loads(record, parse_constant=_not_json)
+        fields = _decode(record)
     except (ValueError, RecursionError):
         return None
     return fields if isinstance(fields, dict) else None
 
 
-def parse_fields(record: str | None) -> list[tuple] | None:
-    """Fields of one JSON object as (name, type, spelling-free value, text of its leaves); None if it isn't one."""
-    fields = fields_of(record)
-    return None if fields is None else [(k, _json_type(v), spelling_free(v), v if isinstance(v, str) else " ".join(_leaves(v)) or None) for k, v in fields.items()]
-
-
-@batched(CELL)
-def _cells(records: pd.Series) -> pd.Series:
-    return records.map(parse_fields)
-
-
-def records(lines: DataFrame, *keep: str) -> DataFrame:
-    """(series_id, file_no, paper_id, cells, ...) of the lines that are JSON objects."""
-    read = lines.where("record is not null").select("series_id", "file_no", *keep, "record").withColumn("cells", _cells("record"))
-    return read.where("cells is not null").select("series_id", "file_no", F.expr("get(filter(cells, c -> c.name = 'paper_id'), 0).raw").alias("paper_id"), "cells", *keep)
-
-
 def _name_words(name: str) -> set[str]:
     spaced = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", name)
     return set(re.split(r"[\W_]+", spaced.lower())) - {""}
@@ -123,172 +122,319 @@ def name_similarity(a: str, b: str) -> float:
     return max(dice(words_a, words_b), dice(pairs_a, pairs_b))
 
 
-def flood(before: list[tuple[str, str]], after: list[tuple[str, str]], seeds: dict[tuple[str, str], float]) -> list[tuple[str, str, float]]:
-    """Similarity flooding of two schemas given as (field, type); seeds holds known similarities.
+#: Between the steps of a path below a field. A name that holds it blurs the graph below that field and nothing else.
+STEP = "\x1f"
+
+Node = tuple[str, str, str | None]
+
+
+def _below(name: str, path: str, value: object, out: set[Node]) -> None:
+    """The nodes of a container and of what it holds, as (field, path below it, type)."""
+    out.add((name, path, _json_type(value)))
+    if isinstance(value, dict):
+        for key, part in value.items():
+            _below(name, f"{path}{STEP}{key}", part, out)
+    elif isinstance(value, list):
+        for part in value:
+            _below(name, f"{path}{STEP}[]", part, out)
+
 
-    Pairs of fields, pairs of types and the pair of roots are the nodes of the propagation graph; an
-    edge joins a pair of fields with the pair of their types and with the roots. Each round adds to a
-    pair what its neighbours hold, each neighbour's similarity shared equally among its pairs, then
-    scales by the largest, until nothing moves. From the fixpoint, names that stay are bound to
-    themselves and the others are bound one to one, highest similarity first.
+_TYPES = {type(None): None, bool: "boolean", int: "integer", float: "number", str: "string"}
+
+
+def flood(before: list[Node], after: list[Node]) -> list[tuple[str, str, float]]:
+    """Similarity flooding of two schemas given as nodes: (old, new, similarity) of every pair of a name that
+    vanishes and one that appears.
+
+    The nodes of the propagation graph are pairs: of the roots, of fields (names that stay are bound to
+    themselves, each of the others may meet each), of the paths below a pair of fields, of types. An edge
+    runs where both schemas have one of the same label: from parent to child, from path to type. Along an
+    edge a pair gives its similarity to its neighbours, shared equally among those of a label, in both
+    directions. A round adds to each pair its first similarity (that of the names; 1 for equal types) and
+    what its neighbours give, and divides all by the largest, until nothing moves.
     """
-    if not before or not after:
+    shape: list[dict[str, dict[str, set[str]]]] = [{}, {}]
+    for fields, nodes in zip(shape, (before, after)):
+        for name, path, kind in nodes:
+            types = fields.setdefault(name, {}).setdefault(path, set())
+            if kind:
+                types.add(kind)
+    a, b = shape
+    gone, come = sorted(a.keys() - b.keys()), sorted(b.keys() - a.keys())
+    if not gone or not come:
         return []
-    names_a, names_b = [n for n, _ in before], [n for n, _ in after]
-    types_a, types_b = sorted({t for _, t in before}), sorted({t for _, t in after})
-    row_type = np.array([types_a.index(t) for _, t in before])
-    col_type = np.array([types_b.index(t) for _, t in after])
-    start = np.array([[seeds.get((a, b), 1.0 if a == b else 0.5 * name_similarity(a, b)) for b in names_b] for a in names_a])
-    type_start = np.array([[1.0 if a == b else 0.1 for b in types_b] for a in types_a])
-    fan = np.zeros_like(type_start)
-    np.add.at(fan, (row_type[:, None], col_type[None, :]), 1.0)
-    fields, types, root = start.copy(), type_start.copy(), 1.0
+    first: list[float] = [1.0]
+    kinds: dict[tuple[str, str], int] = {}
+    edges: list[tuple[int, int, bool]] = []
+
+    def pair(parent: int, similarity: float, of_a: dict[str, set[str]], of_b: dict[str, set[str]], path_a: str, path_b: str) -> int:
+        at = len(first)
+        first.append(similarity)
+        edges.append((parent, at, False))
+        for x in of_a[path_a]:
+            for y in of_b[path_b]:
+                kind = kinds.get((x, y))
+                if kind is None:
+                    kind = kinds[x, y] = len(first)
+                    first.append(1.0 if x == y else 0.1)
+                edges.append((at, kind, True))
+        if len(of_a) > 1 and len(of_b) > 1:
+            for p in _children(of_a, path_a):
+                for q in _children(of_b, path_b):
+                    pair(at, name_similarity(p.rsplit(STEP, 1)[1], q.rsplit(STEP, 1)[1]), of_a, of_b, p, q)
+        return at
+
+    for name in a.keys() & b.keys():
+        pair(0, 1.0, a[name], b[name], "", "")
+    where = [[pair(0, name_similarity(x, y), a[x], b[y], "", "") for y in come] for x in gone]
+    size = len(first)
+    outgoing, incoming = Counter((x, label) for x, _, label in edges), Counter((y, label) for _, y, label in edges)
+    flow = np.zeros((size, size))
+    for x, y, label in edges:
+        flow[y, x] += 1 / outgoing[x, label]
+        flow[x, y] += 1 / incoming[y, label]
+    start = np.array(first)
+    now = start
     for _ in range(ROUNDS):
-        from_types = (types / np.maximum(fan, 1))[row_type[:, None], col_type[None, :]]
-        to_types = np.zeros_like(types)
-        np.add.at(to_types, (row_type[:, None], col_type[None, :]), fields / 2)
-        new = start + fields + from_types + root / fields.size
-        new_types = type_start + types + to_types
-        new_root = 1.0 + root + fields.sum() / 2
-        top = new.max()
-        moved = np.abs(new / top - fields).max()
-        fields, types, root = new / top, new_types / new_types.max(), new_root / max(new_root, 1.0)
-        if moved < 1e-4:
+        given = start + now
+        new = given + flow @ given
+        new /= new.max()
+        moved = np.abs(new - now).max()
+        now = new
+        if moved < STILL:
             break
-    free_a, free_b = set(names_a) - set(names_b), set(names_b) - set(names_a)
-    order = sorted(
-        ((fields[i, j], a, b) for i, a in enumerate(names_a) if a in free_a for j, b in enumerate(names_b) if b in free_b),
-        key=lambda x: (-x[0], x[1], x[2]),
-    )
-    chosen = []
-    for score, a, b in order:
-        if a in free_a and b in free_b:
-            free_a.discard(a)
-            free_b.discard(b)
-            chosen.append((a, b, float(score)))
-    return chosen
+    return [(x, y, float(now[where[i][j]])) for i, x in enumerate(gone) for j, y in enumerate(come)]
 
 
-@batched("array<struct<old:string,new:string,score:double>>")
-def _flooded(before: pd.Series, after: pd.Series, evidence: pd.Series) -> pd.Series:
-    def one(a, b, seen):
-        schema = lambda fields: [(f["name"], ",".join(sorted(f["types"]))) for f in fields]
-        # A pair with values in common starts from the share of them; one without from its names alone.
-        seeds = {(x["old"], x["new"]): x["same"] / x["both"] for x in (seen if seen is not None else [])}
-        return flood(schema(a), schema(b), seeds)
+def _children(paths: dict[str, set[str]], path: str) -> list[str]:
+    return [p for p in paths if p.startswith(path + STEP) and STEP not in p[len(path) + 1 :]]
 
-    return pd.Series([one(*x) for x in zip(before, after, evidence)])
 
+def proposed(similarities: list[tuple[str, str, float]], least: float = LEAST_RELATIVE) -> list[tuple[str, str, float]]:
+    """The pairs whose similarity isn't far below the best that either name has, highest first."""
+    best_old, best_new = defaultdict(float), defaultdict(float)
+    for old, new, score in similarities:
+        best_old[old], best_new[new] = max(best_old[old], score), max(best_new[new], score)
+    kept = [(old, new, score) for old, new, score in similarities if score >= least * max(best_old[old], best_new[new])]
+    return sorted(kept, key=lambda p: (-p[2], p[0], p[1]))
 
-def _types(lines: DataFrame) -> DataFrame:
-    """(series_id, file_no, name, type) that occur; repeats within a batch don't leave Python."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            seen = set()
-            for series, number, record in zip(batch["series_id"], batch["file_no"], batch["record"]):
-                for name, value in (fields_of(record) or {}).items():
-                    seen.add((series, number, name, _json_type(value)))
-            yield pd.DataFrame(list(seen), columns=["series_id", "file_no", "name", "type"])
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
 
-    named = lines.where("record is not null and series_id is not null and file_no is not null").select("series_id", "file_no", "record")
-    return named.mapInPandas(read, "series_id bigint, file_no int, name string, type string")
 
+@batched("array<struct<old:string,new:string,score:double,old_hash:bigint,new_hash:bigint>>")
+def _proposals(names_a: pd.Series, paths_a: pd.Series, types_a: pd.Series, names_b: pd.Series, paths_b: pd.Series, types_b: pd.Series) -> pd.Series:
+    signed = lambda text: int(np.uint64(_hash(text)).astype(np.int64))
 
-def _values(lines: DataFrame, names: frozenset[str] | None) -> DataFrame:
-    """(series_id, file_no, line_no, paper_id, name, value) of the fields with these names (None: all)."""
+    def one(*parts):
+        if parts[0] is None:
+            return None
+        found = proposed(flood(list(zip(*parts[:3])), list(zip(*parts[3:]))))
+        return [{"old": a, "new": b, "score": s, "old_hash": signed(a), "new_hash": signed(b)} for a, b, s in found]
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for series, number, line, record in zip(batch["series_id"], batch["file_no"], batch["line_no"], batch["record"]):
-                fields = fields_of(record)
-                if fields is None or (paper := spelling_free(fields.get("paper_id"))) is None:
-                    continue
-                for name in fields.keys() if names is None else fields.keys() & names:
-                    if (value := spelling_free(fields[name])) is not None:
-                        rows.append((series, number, line, paper, name, value))
-            yield pd.DataFrame(rows, columns=["series_id", "file_no", "line_no", "paper_id", "name", "value"])
+    return pd.Series([one(*row) for row in zip(names_a, paths_a, types_a, names_b, paths_b, types_b)])
 
-    named = lines.where("record is not null and series_id is not null and file_no is not null").select("series_id", "file_no", F.coalesce("line_no", F.lit(0)).alias("line_no"), "record")
-    return named.mapInPandas(read, "series_id bigint, file_no int, line_no int, paper_id string, name string, value string")
 
+def schemas(lines: DataFrame) -> DataFrame:
+    """(series_id, file_no, nodes): the schema graph of each file with a line, settled.
 
-def _profiles(types: DataFrame) -> DataFrame:
-    """Per file: its fields with the types of their non-null values. Aggregated before the shuffle."""
-    by_name = types.groupBy("series_id", "file_no", "name").agg(F.array_sort(F.collect_set("type")).alias("types"))
-    return by_name.groupBy("series_id", "file_no").agg(F.array_sort(F.collect_list(F.struct("name", "types"))).alias("fields"))
+    Nodes come from the lines of a batch once, however many lines hold them, and are merged before the
+    shuffle. A file counts if it has a line at all, so one whose lines are all unreadable has no nodes.
+    """
 
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            # Most records of a file have the same names and types: those are looked at once.
+            shapes: dict[tuple[int, int], set] = defaultdict(set)
+            nodes: dict[tuple[int, int], set[Node]] = defaultdict(set)
+            for series, number, record in zip(batch["series_id"], batch["file_no"], batch["record"]):
+                file = (series, number)
+                fields = fields_of(record)
+                if fields is None:
+                    shapes[file]
+                    continue
+                types = tuple(map(type, fields.values()))
+                shapes[file].add((tuple(fields), types))
+                if dict in types or list in types:
+                    for name, value in fields.items():
+                        if isinstance(value, dict | list):
+                            _below(name, "", value, nodes[file])
+            rows = []
+            for file, seen in shapes.items():
+                found = nodes[file]
+                for names, types in seen:
+                    found.update((n, "", _TYPES[t]) for n, t in zip(names, types) if t is not dict and t is not list)
+                rows += [(*file, *node) for node in found] or [(*file, None, None, None)]
+            yield pd.DataFrame(rows, columns=["series_id", "file_no", "name", "path", "type"])
+
+    named = lines.where("series_id is not null and file_no is not null").select("series_id", "file_no", "record")
+    nodes = named.mapInPandas(read, "series_id bigint, file_no int, name string, path string, type string")
+    node = F.when(F.col("name").isNotNull(), F.struct("name", "path", "type"))
+    return settle(nodes.groupBy("series_id", "file_no").agg(F.collect_set(node).alias("nodes")))
+
+
+def _steps(files: DataFrame) -> DataFrame:
+    """A row for each file that differs from the one before it (file_no - 1): series_id, file_no, gone, come, retyped
+    (names that stay), proposals (each with retyped). Settled: as large as the schemas' changes."""
+    top = F.array_sort(F.filter("nodes", lambda n: n["path"] == ""))
+    names = F.array_sort(F.array_distinct(F.transform(top, lambda n: n["name"])))
+    shaped = files.select("series_id", "file_no", "nodes", names.alias("names"), top.alias("top"))
+    later = shaped.where("file_no > 1").select("series_id", "file_no", *(F.col(c).alias(f"{c}_b") for c in ("nodes", "names", "top")))
+    earlier = shaped.select("series_id", (F.col("file_no") + 1).alias("file_no"), *(F.col(c).alias(f"{c}_a") for c in ("nodes", "names", "top")))
+    both = later.join(earlier, ["series_id", "file_no"]).withColumns({"gone": F.array_except("names_a", "names_b"), "come": F.array_except("names_b", "names_a")})
+    types = lambda side, name: f"transform(filter(top_{side}, t -> t.name = {name} and t.type is not null), t -> t.type)"
+    differ = lambda x, y: f"size({types('a', x)}) > 0 and size({types('b', y)}) > 0 and {types('a', x)} != {types('b', y)}"
+    both = both.withColumn("retyped", F.expr(f"filter(array_intersect(names_a, names_b), n -> {differ('n', 'n')})")).where("size(gone) + size(come) + size(retyped) > 0")
+    # Matching is dear for its size, so it's spread over tasks by number, not by size.
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = both.repartition(tasks, "series_id", "file_no")
+    is_open = F.expr("size(gone) > 0 and size(come) > 0")
+    part = lambda side, of: F.when(is_open, F.transform(f"nodes_{side}", lambda n: n[of]))
+    matched = spread.withColumn("proposals", _proposals(*(part(side, of) for side in "ab" for of in ("name", "path", "type"))))
+    checked = F.expr(f"transform(coalesce(proposals, array()), p -> struct(p.old, p.new, p.old_hash, p.new_hash, {differ('p.old', 'p.new')} as retyped))")
+    return settle(matched.select("series_id", "file_no", "gone", "come", "retyped", checked.alias("proposals")))
+
+
+class NameFilter:
+    """A Bloom filter of the (series, file, role, name) whose values are wanted, and of their files."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.mask = words, len(words) * 64 - 1
+
+    @staticmethod
+    def places(key: str, mask: int) -> tuple[int, int]:
+        h = _hash(key)
+        return h & mask, (h >> 32) & mask
+
+    def __contains__(self, key: str) -> bool:
+        return all(int(self.words[at >> 6]) >> (at & 63) & 1 for at in self.places(key, self.mask))
+
+
+def _file_key(series: int, number: int) -> str:
+    return f"{series}/{number}"
+
+
+def _name_key(series: int, number: int, is_new: bool, name: str) -> str:
+    return f"{series}/{number}/{int(is_new)}/{name}"
+
+
+def _name_filter(steps: DataFrame) -> NameFilter:
+    """The filter of what the steps' proposals need; its words are merged in the cluster, 2 ** FILTER_BITS bits at most come back."""
+    wanted = steps.where("size(proposals) > 0")
+    many = wanted.agg(F.sum(F.size("proposals"))).first()[0] or 0
+    bits = min(FILTER_BITS, max(10, (32 * many).bit_length()))
+    mask = (1 << bits) - 1
 
-def _names(fields: str) -> Column:
-    return F.transform(fields, lambda f: f["name"])
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            words: dict[int, int] = defaultdict(int)
+            for series, step, olds, news in zip(batch["series_id"], batch["file_no"], batch["olds"], batch["news"]):
+                keys = [_file_key(series, step - 1), _file_key(series, step), *(_name_key(series, step - 1, False, n) for n in olds), *(_name_key(series, step, True, n) for n in news)]
+                for key in keys:
+                    for at in NameFilter.places(key, mask):
+                        words[at >> 6] |= 1 << (at & 63)
+            yield pd.DataFrame({"word": np.array(list(words), dtype=np.int64), "bits": np.array(list(words.values()), dtype=np.uint64).view(np.int64)})
+
+    named = wanted.select("series_id", "file_no", F.expr("array_distinct(transform(proposals, p -> p.old)) AS olds"), F.expr("array_distinct(transform(proposals, p -> p.new)) AS news"))
+    set_words = named.mapInPandas(read, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()
+    words = np.zeros((1 << bits) // 64, dtype=np.uint64)
+    for word, held in set_words:
+        words[word] = held & 0xFFFFFFFFFFFFFFFF
+    return NameFilter(words)
+
+
+def _values(lines: DataFrame, steps: DataFrame) -> DataFrame:
+    """(series_id, step, paper, is_new, name, line_no, value) of the values that the steps' proposals need, and a few
+    more; papers, names and values as 64-bit hashes. Lines of files without proposals aren't parsed."""
+    shared = lines.sparkSession.sparkContext.broadcast(_name_filter(steps))
+    columns = ["series_id", "step", "paper", "is_new", "name", "line_no", "value"]
 
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted = shared.value
+        held: dict[tuple, tuple[int, int]] = {}
 
-def _steps(lines: DataFrame) -> DataFrame:
-    """A row for each file with file_no above 1 whose predecessor exists: the fields before and after."""
-    files = lines.select("series_id", "file_no").where("series_id is not null and file_no is not null").dropDuplicates()
-    empty = F.array().cast("array<struct<name:string,types:array<string>>>")
-    schemas = files.join(_profiles(_types(lines)), ["series_id", "file_no"], "left").withColumn("fields", F.coalesce("fields", empty))
-    # Read once, though each file is looked at as the earlier and as the later one.
-    schemas = settle(schemas)
-    later = schemas.where("file_no > 1").withColumnRenamed("fields", "after")
-    earlier = schemas.select("series_id", (F.col("file_no") + 1).alias("file_no"), F.col("fields").alias("before"))
-    return later.join(earlier, ["series_id", "file_no"]).withColumns({
-        "gone": F.array_except(_names("before"), _names("after")),
-        "come": F.array_except(_names("after"), _names("before")),
-    })
+        def given() -> pd.DataFrame:
+            keys, found = list(zip(*held)) or [()] * 5, list(zip(*held.values())) or [()] * 2
+            hashes = lambda x: np.array(x, dtype=np.uint64).view(np.int64)
+            frame = pd.DataFrame(dict(zip(columns, (keys[0], keys[1], hashes(keys[2]), np.array(keys[3], dtype=bool), hashes(keys[4]), found[0], hashes(found[1])))))
+            held.clear()
+            return frame.astype({"series_id": "int64", "step": "int32", "line_no": "int32"})
 
+        for batch in batches:
+            # Per file: the names met, each with its hash and whether the file is looked at as the earlier and as the later one.
+            files: dict[tuple[int, int], dict[str, tuple[int, bool, bool] | None] | None] = {}
+            for series, number, line, record in zip(batch["series_id"], batch["file_no"], batch["line_no"], batch["record"]):
+                file = (series, number)
+                if file not in files:
+                    files[file] = {} if _file_key(series, number) in wanted else None
+                names = files[file]
+                if names is None or (fields := fields_of(record)) is None or (paper := spelling_free(fields.get("paper_id"))) is None:
+                    continue
+                paper = _hash(paper)
+                for name, value in fields.items():
+                    if name not in names:
+                        as_old, as_new = (_name_key(series, number, is_new, name) in wanted for is_new in (False, True))
+                        names[name] = (_hash(name), as_old, as_new) if as_old or as_new else None
+                    roles = names[name]
+                    if roles is None or (spelled := spelling_free(value)) is None:
+                        continue
+                    found = (line, _hash(spelled))
+                    for is_new, step in ((False, number + 1), (True, number)):
+                        if roles[1 + is_new]:
+                            key = (series, step, paper, is_new, roles[0])
+                            if key not in held or held[key][0] <= line:
+                                held[key] = found
+                if len(held) >= HELD:
+                    yield given()
+        yield given()
 
-def transitions(lines: DataFrame) -> DataFrame:
-    """A row for each file with file_no above 1: the fields before and after, and the renames.
+    named = lines.where("record is not null and series_id is not null and file_no is not null").select("series_id", "file_no", F.coalesce("line_no", F.lit(0)).alias("line_no"), "record")
+    return named.mapInPandas(read, "series_id bigint, step int, paper bigint, is_new boolean, name bigint, line_no int, value bigint")
 
-    A file counts if it has a line at all, so one whose lines are all unreadable has no fields. A file
-    whose predecessor (file_no - 1) is missing is compared with nothing and left out. Of a paper given
-    twice in a file, the last line counts.
 
-    The lines are parsed twice: for the fields of each file (a result of the schemas' size, settled),
-    then for the values under names that change, which are few.
-    """
-    steps = _steps(lines)
-    open_steps = steps.where("size(gone) > 0 and size(come) > 0")
-    role = lambda names, at, is_new: open_steps.select("series_id", at.alias("file_no"), F.explode(names).alias("name"), F.col("file_no").alias("step"), F.lit(is_new).alias("is_new"))
-    wanted = role("gone", F.col("file_no") - 1, False).unionByName(role("come", F.col("file_no"), True))
-    salted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    # Names are as many as schemas have, whatever the lines; beyond NAMES all fields are read instead.
-    names = [r[0] for r in wanted.select("name").distinct().limit(NAMES + 1).collect()]
-    values = _values(lines, frozenset(names) if len(names) <= NAMES else None).withColumn("salt", F.pmod(F.hash("paper_id"), F.lit(SALTS)))
-    last = values.join(salted, ["series_id", "file_no", "name", "salt"]).groupBy("series_id", "step", "paper_id", "is_new", "name").agg(F.max_by("value", "line_no").alias("value"))
+def _agreeing(values: DataFrame) -> DataFrame:
+    """(series_id, file_no, agreeing array<struct<old,new>>): the pairs of names that hold the same value for most
+    papers in both files that have both. Of a paper given twice in a file, the last line counts."""
+    # One shuffle by paper serves both aggregates: no paper is hot, as its repeats are merged before.
+    last = values.repartition("series_id", "step", "paper").groupBy("series_id", "step", "paper", "is_new", "name").agg(F.max_by("value", "line_no").alias("value"))
     # A paper has at most one value per name and role: the lists are as long as the schemas.
     side = lambda is_new: F.filter("all", lambda x: x["is_new"] == F.lit(is_new))
-    per_paper = last.groupBy("series_id", "step", "paper_id").agg(F.collect_list(F.struct("is_new", "name", "value")).alias("all"))
+    per_paper = last.groupBy("series_id", "step", "paper").agg(F.collect_list(F.struct("is_new", "name", "value")).alias("all"))
     pairs = per_paper.select("series_id", "step", F.explode(side(False)).alias("o"), side(True).alias("news")).select("series_id", "step", "o", F.explode("news").alias("n"))
     counted = pairs.groupBy("series_id", "step", F.col("o.name").alias("old"), F.col("n.name").alias("new")).agg(
         F.count("*").alias("both"), F.sum((F.col("o.value") == F.col("n.value")).cast("long")).alias("same")
     )
-    evidence = counted.groupBy("series_id", F.col("step").alias("file_no")).agg(F.collect_list(F.struct("old", "new", "both", "same")).alias("evidence"))
-    # Schemas are small but matching them isn't cheap: a set number of partitions isn't coalesced by size.
-    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    joined = steps.join(evidence, ["series_id", "file_no"], "left").repartition(tasks, "series_id", "file_no")
-    none = F.array().cast("array<struct<old:string,new:string,score:double>>")
-    matched = joined.withColumn("matches", F.when(F.size("evidence") > 0, _flooded("before", "after", "evidence")).otherwise(none))
-    # The exact check: most of the papers with both values hold the same one.
-    checked = F.expr("filter(matches, m -> exists(evidence, e -> e.old = m.old and e.new = m.new and e.same * 2 > e.both))")
-    return matched.withColumn("renames", F.coalesce(checked, none)).select("series_id", "file_no", "before", "after", "gone", "come", "renames")
-
-
-def field_changes(lines: DataFrame) -> DataFrame:
+    same = counted.where("same * 2 > both")
+    return same.groupBy("series_id", F.col("step").alias("file_no")).agg(F.collect_list(F.struct("old", "new")).alias("agreeing"))
+
+
+def transitions(lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """A row for each file with file_no above 1 that differs from the one before: gone, come, retyped, renames.
+
+    A file whose predecessor (file_no - 1) is missing is compared with nothing and left out. The lines are
+    parsed twice: for the schemas (``files``, if they have been read already), then for the values under the
+    names that flooding proposes.
+    """
+    steps = _steps(schemas(lines) if files is None else files)
+    joined = steps.join(_agreeing(_values(lines, steps)), ["series_id", "file_no"], "left")
+    # The exact check, then one to one: proposals come highest first.
+    agree = "filter(proposals, p -> exists(coalesce(agreeing, array()), e -> e.old = p.old_hash and e.new = p.new_hash))"
+    bound = f"aggregate({agree}, slice(proposals, 1, 0), (bound, p) -> if(exists(bound, q -> q.old = p.old or q.new = p.new), bound, concat(bound, array(p))))"
+    return joined.withColumn("renames", F.expr(bound)).select("series_id", "file_no", "gone", "come", "retyped", "renames")
+
+
+def field_changes(lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """The report: series_id, file_no, field, change (renamed, removed, added, retyped), renamed_to."""
-    row = "struct<field:string,change:string,renamed_to:string>"
-    types_of = lambda side, name: f"get(filter({side}, f -> f.name = {name}), 0).types"
-    differ = lambda a, b: f"size({a}) > 0 and size({b}) > 0 and {a} != {b}"
+    row = lambda name, change, to="''": f"named_struct('field', {name}, 'change', '{change}', 'renamed_to', {to})"
     changes = F.expr(f"""concat(
-        transform(renames, r -> named_struct('field', r.old, 'change', 'renamed', 'renamed_to', r.new)),
-        transform(filter(gone, g -> not exists(renames, r -> r.old = g)), g -> named_struct('field', g, 'change', 'removed', 'renamed_to', '')),
-        transform(filter(come, g -> not exists(renames, r -> r.new = g)), g -> named_struct('field', g, 'change', 'added', 'renamed_to', '')),
-        transform(filter(before, b -> {differ('b.types', types_of('after', 'b.name'))}), b -> named_struct('field', b.name, 'change', 'retyped', 'renamed_to', '')),
-        transform(filter(renames, r -> {differ(types_of('before', 'r.old'), types_of('after', 'r.new'))}), r -> named_struct('field', r.old, 'change', 'retyped', 'renamed_to', ''))
-    )""").cast(f"array<{row}>")
-    return transitions(lines).select("series_id", "file_no", F.explode(changes).alias("c")).select("series_id", "file_no", "c.field", "c.change", "c.renamed_to")
+        transform(renames, r -> {row('r.old', 'renamed', 'r.new')}),
+        transform(filter(gone, g -> not exists(renames, r -> r.old = g)), g -> {row('g', 'removed')}),
+        transform(filter(come, g -> not exists(renames, r -> r.new = g)), g -> {row('g', 'added')}),
+        transform(retyped, n -> {row('n', 'retyped')}),
+        transform(filter(renames, r -> r.retyped), r -> {row('r.old', 'retyped')})
+    )""")
+    return transitions(lines, files).select("series_id", "file_no", F.explode(changes).alias("c")).select("series_id", "file_no", "c.field", "c.change", "c.renamed_to")
 
 
 def correspondences(changes: DataFrame, declared: list[str], limit: int = 100_000) -> dict[str, str]:
@@ -327,26 +473,72 @@ _CASTS = {
 }
 
 
+def _columns(names: list[str], into: dict[str, str]) -> dict[str, list[str]]:
+    """Field of the table -> the names that it takes, in name order."""
+    columns: dict[str, list[str]] = {}
+    for name in sorted(names):
+        columns.setdefault(into.get(name, name), []).append(name)
+    return columns
+
+
 def unified_table(lines: DataFrame, declared: dict[str, str]) -> DataFrame:
     """One row per readable line (repeats once), one column per field, declared types kept.
 
     declared: key -> string, integer or float. A value that can't be cast is null in its column. Fields
     that are no declared key become string columns; where several names of one column occur in a
     record, the first in name order with a value counts. Columns: series_id, file_no,
-    line_no (the first of the repeats), then by name.
+    line_no (the first of the repeats), then by name, then other_fields. Names that clash with an earlier column
+    (declared keys come first, case doesn't count) get a number. Of the names that no key declares the MOST_COLUMNS in most files are columns;
+    fields under rarer ones are kept in the map other_fields, which is null where there are none.
     """
-    into = correspondences(field_changes(lines), list(declared))
-    once = lines.groupBy("series_id", "file_no", "record").agg(F.min("line_no").alias("line_no"))
-    cells = records(once, "line_no").withColumn("values", F.map_from_entries(F.expr("transform(cells, c -> struct(c.name as name, struct(c.value as value, c.raw as raw) as cell))")))
-    names = sorted(r[0] for r in cells.select(F.explode(F.map_keys("values"))).distinct().collect())
-    columns: dict[str, list[str]] = {}
-    for name in names:
-        columns.setdefault(into.get(name, name), []).append(name)
-
-    def column(target: str) -> Column:
-        kind = declared.get(target, "string")
-        part = "value" if kind != "string" else "raw"
-        cell = F.coalesce(*(F.when(F.col("values")[n]["value"].isNotNull(), F.col("values")[n][part]) for n in columns[target]))
-        return _CASTS[kind](cell).alias(target)
+    files = schemas(lines)
+    into = correspondences(field_changes(lines, files), list(declared))
+    # Declared and renamed names come first; what comes to the driver is as many names as the table has columns for.
+    chosen = sorted({*declared, *into})
+    first = lines.sparkSession.createDataFrame([(n, True) for n in chosen], "name string, chosen boolean")
+    names = files.select(F.explode(F.expr("array_distinct(transform(nodes, n -> n.name))")).alias("name")).groupBy("name").count()
+    found = names.join(first, "name", "left").orderBy(F.desc_nulls_last("chosen"), F.desc("count"), "name").limit(len(chosen) + MOST_COLUMNS)
+    columns = _columns([r["name"] for r in found.collect()], into)
+    order = sorted(columns)
+    taken = {n: 1 for n in ("series_id", "file_no", "line_no", "other_fields")}
+    titles = {}
+    for target in sorted(order, key=lambda t: t not in declared):
+        n = taken[target.lower()] = taken.get(target.lower(), 0) + 1
+        titles[target] = target if n == 1 else f"{target}_{n}"
+    plain = [(columns[t], declared.get(t, "string") == "string") for t in order]
+    held = {n for of in columns.values() for n in of}
 
-    return cells.select("series_id", "file_no", "line_no", *(column(c) for c in sorted(columns) if c not in ("series_id", "file_no", "line_no")))
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for series, number, line, record in zip(batch["series_id"], batch["file_no"], batch["line_no"], batch["record"]):
+                fields = fields_of(record)
+                if fields is None:
+                    continue
+                cells = []
+                for of, raw in plain:
+                    found = None
+                    for name in of:
+                        if name in fields and (spelled := spelling_free(fields[name])) is not None:
+                            found = _text(fields[name]) if raw else spelled
+                            break
+                    cells.append(found)
+                more = {n: _text(v) for n, v in fields.items() if n not in held and spelling_free(v) is not None} if len(fields.keys() - held) else None
+                rows.append((series, number, line, *cells, more or None))
+            # By position: titles of fields may repeat those of other columns.
+            frame = pd.DataFrame(rows, columns=range(len(order) + 4))
+            frame.columns = ["series_id", "file_no", "line_no", *(f"c{i}" for i in range(len(order))), "other_fields"]
+            yield frame
+
+    once = lines.where("record is not null").groupBy("series_id", "file_no", "record").agg(F.min("line_no").alias("line_no"))
+    # Whole numbers with nulls would pass through Python as fractions: they go as text.
+    whole = {"series_id": "bigint", "file_no": "int", "line_no": "int"}
+    schema = "series_id string, file_no string, line_no string, " + "".join(f"c{i} string, " for i in range(len(order))) + "other_fields map<string,string>"
+    cells = once.select(*(F.col(c).cast("string").alias(c) for c in whole), "record").mapInPandas(read, schema)
+    typed = [_CASTS[declared.get(t, "string")](F.col(f"c{i}")).alias(titles[t]) for i, t in enumerate(order)]
+    return cells.select(*(F.col(c).cast(t).alias(c) for c, t in whole.items()), *typed, "other_fields")
+
+
+def _text(value: object) -> str | None:
+    """A value as text: a string as it is, else the text of its leaves."""
+    return value if isinstance(value, str) else " ".join(_leaves(value)) or None

@@ -79,12 +79,63 @@ def test_no_changes_of_nothing(spark):
     assert drift.unified_table(empty, {"n": "integer"}).count() == 0
 
 
-def test_flooding_prefers_what_agrees():
-    before = [("methodology", "string"), ("sample_size", "integer"), ("title", "string")]
-    after = [("approach", "string"), ("n", "string"), ("title", "string")]
-    got = {(a, b) for a, b, _ in drift.flood(before, after, {("methodology", "approach"): 0.9, ("sample_size", "n"): 0.9, ("methodology", "n"): 0.1})}
-    assert got == {("methodology", "approach"), ("sample_size", "n")}
-    assert drift.flood([], after, {}) == []
+def nodes(schema):
+    """The nodes of a schema given as field -> type, or as field -> {path below: type}."""
+    return [(n, p, t) for n, below in schema.items() for p, t in (below.items() if isinstance(below, dict) else [("", below)])]
+
+
+def test_flooding_uses_types_and_nesting():
+    best = lambda a, b: {x[:2] for x in [max((p for p in drift.flood(nodes(a), nodes(b)) if p[0] == old), key=lambda p: p[2]) for old in a.keys() - b.keys()]}
+    # Names without a word in common: types alone tell them apart.
+    before = {"methodology": "string", "sample": "integer", "title": "string", "year": "integer"}
+    after = {"approach": "string", "n": "integer", "title": "string", "year": "integer"}
+    assert best(before, after) == {("methodology", "approach"), ("sample", "n")}
+    # Equal types: what lies below tells them apart.
+    before = {"alpha": {"": "object", "\x1fvalue": "string", "\x1fnote": "string"}, "beta": {"": "object", "\x1flow": "number", "\x1fhigh": "number"}}
+    after = {"gamma": {"": "object", "\x1flow": "number", "\x1fhigh": "number"}, "delta": {"": "object", "\x1fvalue": "string", "\x1fnote": "string"}}
+    assert best(before, after) == {("alpha", "delta"), ("beta", "gamma")}
+    assert drift.flood([], nodes(after)) == [] and drift.flood(nodes(before), nodes(before)) == []
+    # What flooding leaves far below the best isn't proposed.
+    assert drift.proposed([("a", "x", 1.0), ("a", "y", 0.01), ("b", "y", 0.5), ("b", "x", 0.4)]) == [("a", "x", 1.0), ("b", "y", 0.5), ("b", "x", 0.4)]
+
+
+def test_only_what_flooding_proposes_is_renamed(spark, folder, monkeypatch):
+    """Without propagation names without a likeness get nothing, and their renames are lost."""
+    lines = spark.read.parquet(f"{folder}/matrix_files.parquet")
+    rows = [tuple(r) for r in lines.select("series_id", "file_no", "record").collect()]
+    want = {(x[2], x[4]) for x in changes_by_hand(rows) if x[3] == "renamed"}
+    alike = {p for p in want if drift.name_similarity(*p) > 0}
+    assert alike < want
+    every = {}
+    for s, f, record in rows:
+        for name, value in (drift.fields_of(record) or {}).items():
+            every.setdefault((s, f), set()).add((name, "", drift._json_type(value)))
+    proposals = {p[:2] for (s, f), after in every.items() if (s, f - 1) in every for p in drift.proposed(drift.flood(sorted(every[s, f - 1], key=str), sorted(after, key=str)))}
+    assert want <= proposals
+
+
+def test_the_name_filter_holds_nothing_back(spark):
+    steps = spark.createDataFrame([(s, f, [(f"o{s}", f"n{f}")]) for s in range(200) for f in (2, 3)], "series_id bigint, file_no int, proposals array<struct<old:string,new:string>>")
+    held = drift._name_filter(steps)
+    assert all(drift._name_key(s, f - 1, False, f"o{s}") in held and drift._name_key(s, f, True, f"n{f}") in held and drift._file_key(s, f) in held for s in range(200) for f in (2, 3))
+    assert sum(drift._name_key(s, 9, True, "other") in held for s in range(2000)) < 100
+    assert "x" not in drift._name_filter(steps.limit(0))
+
+
+def test_wide_and_clashing_fields(spark, monkeypatch):
+    monkeypatch.setattr(drift, "MOST_COLUMNS", 3)
+    rows = [(1, "r", 1, i, json.dumps({"paper_id": f"p{i}", "a": i, "A": [i, "x"], **{f"rare{i}_{k}": k for k in range(3)}, "series_id": "clash", "n": f"{i}"}), None, None) for i in range(4)]
+    rows += [(None, "r", None, None, '{"paper_id": "q", "n": 2, "unseen": {"k": true}}', None, None), (2**60 + 1, "r", 1, 7, '{"n": "x"}', None, None)]
+    table = drift.unified_table(spark.createDataFrame(rows, LINES), {"n": "integer"})
+    got = [r.asDict() for r in table.collect()]
+    assert len(got) == 6 and len({c.lower() for c in table.columns}) == len(table.columns)
+    lone = next(r for r in got if r["series_id"] is None)
+    assert lone["n"] == 2 and lone["other_fields"]["unseen"] == "true"
+    assert next(r for r in got if r["series_id"] == 2**60 + 1)["line_no"] == 7
+    # Nothing is lost: each field is in a column or in the map.
+    zero = next(r for r in got if r["line_no"] == 0)
+    values = [v for c, v in zero.items() if v is not None and c not in ("series_id", "file_no", "line_no", "other_fields")] + list(zero["other_fields"].values())
+    assert sorted(map(str, values)) == sorted(["p0", "0", "0 x", "0", "1", "2", "clash", "0"])
 
 
 def test_spelling():
