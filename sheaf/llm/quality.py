@@ -1,10 +1,12 @@
 """Text quality: counts of each text, and by its structure prose, list, table or junk.
 
-Each block of lines between blank lines is compared with profiles: how its characters spread over
-classes, and how its function words spread over those of a language, both by Jensen-Shannon divergence.
-Counts of the lines' shapes (item marks, page numbers behind leaders, cells in the same columns, codes)
-move a block towards a profile or away; the nearest profile is the block's kind. A text's kind is that
-of more than half of its characters, prose if no other kind has that many.
+A text is cut into blocks at blank lines; lines that stand alone are read together. Distributions describe
+a block: how its characters spread over classes, its tokens over classes, its lines over beginnings, ends
+and lengths, how its rows keep to columns, how often tokens repeat, and how near its function words are to
+those of the nearest language. Structural profiles are the same distributions of labelled blocks
+(``quality_fit`` fits them). A block takes the kind of the profile nearest to it by Jensen-Shannon
+divergence, summed over the distributions. A text's kind is that of more than half of its characters,
+prose if no other kind has that many.
 
 Null, empty and blank texts have counts of zero (null shares) and no kind. Texts are read whole; repeated
 rows give their rows again.
@@ -12,63 +14,56 @@ rows give their rows again.
 
 from __future__ import annotations
 
+import functools
+import json
 import math
 import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("prose", "list", "table", "junk")
 
-# Function words of the languages with their share of all function words, in per mille.
-FUNCTION_WORDS = {
-    "en": "the 150 of 80 and 75 to 70 in 60 a 60 is 30 that 30 for 28 with 22 on 20 as 20 by 18 from 15 was 15 are 14 we 14 this 13 be 12 it 12 or 10 an 10 at 10 not 10 which 9 than 8 were 8 but 8 their 7 its 6 has 6 have 6 these 6 after 5 into 5 while 4 between 4 our 4 what 4 when 4 if 4 then 3 before 3 no 3",
-    "de": "die 110 der 100 und 80 in 55 den 40 das 40 zu 35 von 32 für 28 ist 26 auf 25 mit 25 ein 22 eine 22 im 22 des 20 dass 18 nicht 18 sich 16 dem 15 wir 15 als 12 nur 12 zum 10 aus 10 über 10 bei 10 ob 8 weil 8 war 8 warum 6 unter 6 nach 6 einer 6 wie 5 hat 5 haben 5 so 4 sind 4",
-    "fr": "de 110 la 80 les 70 et 60 le 60 à 45 des 45 en 40 une 35 un 30 que 28 dans 25 du 25 est 22 nous 20 sur 20 par 18 pour 18 qui 16 au 14 aux 12 plus 12 ne 10 pas 10 cette 10 l 30 d 30 ou 8 où 6 après 6 entre 6 reste 3 a 10 été 8 n 6 notre 4 avec 8 ces 5 se 6 sans 3",
-    "es": "de 120 la 80 que 55 el 55 en 50 y 50 los 45 las 40 a 35 un 28 una 28 del 26 se 22 por 22 no 20 con 18 para 16 es 14 al 12 su 12 más 10 fue 8 como 8 lo 8 sin 6 entre 6 sobre 8 según 5 después 4 antes 4 qué 4 está 4 o 6 tan 3",
-    "pt": "de 110 a 70 que 50 o 55 e 50 os 40 as 35 do 30 da 30 em 30 um 25 uma 25 não 20 para 20 com 18 por 16 na 16 no 16 se 14 dos 12 das 12 é 12 à 8 após 6 mais 8 como 8 entre 6 sobre 6 tão 4 até 4 também 5 foi 5 ao 8",
-    "ru": "и 100 в 95 на 60 не 45 что 40 с 35 по 28 для 24 к 20 из 18 от 18 о 16 до 14 как 14 но 12 за 10 это 10 этой 8 мы 10 он 8 их 8 а 10 у 8 или 6 же 6 при 8 после 6 почему 4 три 3 со 3",
-    "it": "di 100 e 70 la 60 il 60 che 50 in 45 a 35 per 30 un 28 una 26 del 25 le 25 i 25 non 22 con 20 si 20 da 18 della 18 dei 14 al 12 è 12 sono 8 come 8 anche 6 più 8",
-    "nl": "de 110 het 60 van 60 een 55 en 55 in 50 is 30 dat 30 op 25 te 25 met 22 voor 22 niet 18 zijn 18 aan 15 die 18 om 12 ook 10 als 10 bij 8 door 8",
-}
-# The classes of characters, and the share of each in the structural profiles.
-CLASSES = ("lower", "upper", "digit", "space", "stop", "separator", "sign", "control")
-PROFILES = {
-    "prose": (0.79, 0.025, 0.015, 0.145, 0.02, 0.004, 0.001, 0.0),
-    "list": (0.68, 0.06, 0.06, 0.12, 0.05, 0.015, 0.015, 0.0),
-    "table": (0.38, 0.02, 0.21, 0.16, 0.05, 0.16, 0.02, 0.0),
-    "junk": (0.24, 0.10, 0.12, 0.08, 0.06, 0.08, 0.22, 0.10),
-}
-
-_MILLE = {lang: dict(zip(s.split()[::2], map(int, s.split()[1::2]))) for lang, s in FUNCTION_WORDS.items()}
-_SPREAD = {lang: {w: n / sum(mille.values()) for w, n in mille.items()} for lang, mille in _MILLE.items()}
-_COMMON = frozenset(w for spread in _SPREAD.values() for w in spread)
+#: The distributions of a block: name, classes, weight of its divergence in the sum.
+GROUPS = (
+    ("characters", ("lower", "upper", "digit", "space", "stop", "separator", "sign", "control"), 1.5),
+    ("tokens", ("function word", "word", "word without vowels", "letter", "number", "code", "signs", "long"), 1.5),
+    ("beginnings", ("mark", "number of an item", "digit", "upper", "lower", "separator", "sign"), 1.0),
+    ("ends", ("stop", "digit", "letter", "comma", "separator", "closing", "sign"), 1.0),
+    ("lengths", ("1 token", "2-3", "4-6", "7-12", "13-24", "more"), 0.7),
+    ("columns", ("in columns", "other cells", "no cells"), 2.0),
+    ("variety", ("once", "often", "between"), 2.0),
+    ("language", ("like a language's", "unlike"), 1.0),
+    ("lines", ("1 line", "2-3", "more"), 0.7),
+)
+_WEIGHTS = np.concatenate([[weight] * len(classes) for _, classes, weight in GROUPS]).astype(np.float32)
+
+#: Tokens whose class each worker remembers.
+REMEMBERED = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
-#: Words that stand by themselves, not within a code.
-_FREE_WORD = re.compile(r"(?<![\w/\\])[^\W\d_]+(?![\w/\\])")
-_MARK = re.compile(r"\s*(?:[-*+•‣◦·▪–—o]|\(?(?:\d{1,4}|[a-zA-Z]|[ivxlcIVXLC]{1,6})[.)]|\[\d{1,4}\])\s+\S")
-_LEADER = re.compile(r"(?:\.\s?){4,}\s*(?:\d{1,5}|[ivxlc]{1,7})\s*$|(?:…\s?){2,}\s*\d{1,5}\s*$")
-_INDEX = re.compile(r"[^\W\d_][^,\n.]{0,60}(?:,\s\d{1,4}(?:[-–]\d{1,4})?)+\.?")
-_YEAR = re.compile(r"[(,]\s?(?:1[89]|20)\d\d[a-z]?\)?[.,:]\s.*\d+(?:[-–]\d+)?\.?$")
-_ITEM_COLON = re.compile(r"[^\W\d_][^:.\n]{0,50}:\s[^.\n]{1,60}$")
-_HEADING = re.compile(r"\s*(?:#{1,6}\s|(?:table|figure|tabelle|tableau|tabla|tabela|таблица)\s+\d+)", re.I)
-_INTRO = re.compile(r"[^\n]{1,70}:\s*$")
-_GLYPHS = re.compile(r"(?:/G[0-9A-F]{2}|\(cid:\d+\)|/[a-z]\d{1,4}(?=/)|/uni[0-9A-F]{4})")
-_HEX = re.compile(r"(?:\\x|0x)?(?:[0-9a-f]{2}){1,8}|(?:\\u)[0-9a-f]{4}", re.I)
-_HEX_MIXED = re.compile(r"(?=.*\d)(?=.*[a-fx])", re.I)
-_CODE = re.compile(r"(?=.*[a-z])(?=.*[A-Z])(?=.*\d)[A-Za-z0-9+/=_-]{24,}")
+_NUMBER = re.compile(r"[+\-−–(]?[$€£]?\d[\d.,:/–-]*\)?[%*]*\.?")
+_NUMBER_OF_ITEM = re.compile(r"\(?(?:\d{1,4}|[a-zA-Z]|[ivxlcIVXLC]{1,6})[.)]\s|\[\d{1,4}\]\s")
 _GAP = re.compile(r"(?<=\S) {3,}(?=\S)")
 _TIGHT_COMMA = re.compile(r",(?! )")
-_SHORT = re.compile(r"\W*\w?\W*|\d{1,4}")
 _VOWELS = re.compile(r"[aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýœаеёиоуыэюя]", re.I)
 _LATIN_CYRILLIC = re.compile(r"[A-Za-zÀ-ɏЀ-ӿ]")
 _CONTROL = "\ufffd\u25a1\ufffe\uffff"
 _ENDED = re.compile(r"[.!?…:;。！？][\"'”’»)\]]*\s*$")
+_AROUND = ".,:;!?…'’()“”\"«»¿¡[]{}"
+_WITHIN = str.maketrans("", "", "-'’")
+_MARKS = "-*+•‣◦·▪–—"
+#: Letters of scripts that no language with a profile is written in, and of those among them that don't part words.
+_OTHER_SCRIPT = re.compile(r"[\u0370-\u03ff\u0530-\u1cff\u2d00-\u2ddf\u3040-\u9fff\ua000-\ua63f\ua700-\ud7ff\uf900-\ufaff]")
+_UNPARTED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]")
+#: How a language without a profile counts: its function words can't be told, so they are taken to be as usual.
+USUAL_SHARE, USUAL_LIKENESS = 0.35, 0.6
 
 
 def divergence(p: tuple[float, ...], q: tuple[float, ...]) -> float:
@@ -80,8 +75,23 @@ def divergence(p: tuple[float, ...], q: tuple[float, ...]) -> float:
     return max(0.0, total)
 
 
+def _entropies(p: np.ndarray) -> np.ndarray:
+    """The weighted entropies, up to their sign, of rows of distributions."""
+    return (p * np.log2(np.maximum(p, 1e-12, dtype=np.float32))) @ _WEIGHTS
+
+
+def divergences(blocks: np.ndarray, profiles: np.ndarray) -> np.ndarray:
+    """Of each block to each profile: the weighted sum of the Jensen-Shannon divergences of their distributions."""
+    blocks, profiles = blocks.astype(np.float32), profiles.astype(np.float32)
+    own, theirs = _entropies(blocks), _entropies(profiles)
+    out = np.empty((len(blocks), len(profiles)), dtype=np.float32)
+    for j, profile in enumerate(profiles):
+        out[:, j] = (own + theirs[j]) / 2 - _entropies((blocks + profile) / 2)
+    return out
+
+
 def _class_of(char: str) -> int:
-    """The place in CLASSES of a character."""
+    """The place among the classes of characters."""
     if char.isalpha():
         return 1 if char.isupper() else 0
     if char.isdigit():
@@ -110,182 +120,217 @@ def class_shares(text: str) -> tuple[float, ...]:
     return tuple(n / len(text) for n in seen)
 
 
-def language(words: list[str]) -> tuple[str | None, float]:
-    """The language whose function words spread most like the text's, and the divergence (1 if there are none)."""
-    seen = Counter(filter(_COMMON.__contains__, words))
-    total = seen.total()
-    best: tuple[str | None, float] = (None, 1.0)
-    for lang, spread in _SPREAD.items():
-        if seen.keys().isdisjoint(spread):
-            continue
-        # A word on one side only gives half its share.
-        apart, rest = 0.0, 1.0
-        for word, n in seen.items():
-            p, q = n / total, spread.get(word, 0.0)
-            rest -= q
-            apart += (p * math.log2(2 * p / (p + q)) + (q * math.log2(2 * q / (p + q)) if q else 0.0)) / 2
-        apart = max(0.0, apart + rest / 2)
-        if apart < best[1]:
-            best = (lang, apart)
-    return best
+def _shares(counts: list[int]) -> list[float]:
+    total = sum(counts)
+    return [n / total for n in counts] if total else [1 / len(counts)] * len(counts)
 
 
-def _cells(lines: list[str], reads_on: bool) -> float:
-    """The share of a block's characters in rows of cells that keep the same columns.
+def _beginning(line: str) -> int:
+    """The place among the classes of beginnings of a line without white space around it."""
+    char = line[0]
+    if char in _MARKS and line[1:2].isspace():
+        return 0
+    if (char.isalnum() or char in "([") and _NUMBER_OF_ITEM.match(line):
+        return 1
+    if char.isdigit() or char in "+-−–(.$" and line[1:2].isdigit():
+        return 2
+    if char.isalpha():
+        return 3 if char.isupper() else 4
+    return 5 if char in "|\"&;,#" else 6
 
-    Tabs and tight commas also occur in running text, so words that read on must keep to them strictly.
-    """
-    best, total, text = 0, sum(map(len, lines)), "\n".join(lines)
-    ways = []
-    if "|" in text:
-        ways.append((lambda s: n if (n := s.count("|")) > 1 else 0, False))
-    if "\t" in text:
-        ways.append((lambda s: s.count("\t"), True))
-    if " & " in text:
-        ways.append((lambda s: s.count(" & "), False))
-    if ";" in text:
-        ways.append((lambda s: s.count(";") if s.count('"') > 3 or "; " not in s else 0, False))
-    if "," in text:
-        ways.append((lambda s: len(_TIGHT_COMMA.findall(s)), True))
-    for split, loose in ways:
-        many = [split(s) for s in lines]
-        cut = [c for c in many if c]
-        if len(cut) < 2:
-            continue
-        width, rows = Counter(cut).most_common(1)[0]
-        if rows < 2 or 2 * rows < len(cut) or (loose and reads_on and (rows < 0.9 * len(lines) or width < 2)):
-            continue
-        best = max(best, sum(len(s) for s, c in zip(lines, many) if c and abs(c - width) <= max(1, width // 5)))
-    return best / total if total else 0.0
-
-
-def _columns(lines: list[str]) -> float:
-    """The share of a block's characters in rows set apart by wide gaps."""
-    rows = [s for s in lines if "   " in s and _GAP.search(s)]
-    return sum(map(len, rows)) / max(1, sum(map(len, lines))) if len(rows) >= 2 else 0.0
-
-
-def _is_item(line: str) -> bool:
-    """Whether a line has the shape of an item: a mark, a leader with a page, an index entry, a reference."""
-    if _MARK.match(line):
-        return True
-    line = line.strip()
-    if not line or not (line[-1].isdigit() or line[-1] in ".ivxlc"):
-        return False
-    if ("..." in line or ". ." in line or "…" in line) and _LEADER.search(line):
-        return True
-    if line[-1].isdigit() and "," in line and _INDEX.fullmatch(line):
-        return True
-    found = _YEAR.search(line)
-    return bool(found and 0 < found.start() <= 160 and line[0].isalpha() and not any(map(str.isdigit, line[: found.start()])))
-
-
-def _emptiness(text: str, lines: list[str], tokens: list[str], shares: tuple[float, ...], rows: float, reads: float) -> float:
-    """How surely a block is signs or tokens without content."""
-    size = len(text)
-    if shares[7] > 0.15 or ("/" in text or "(cid" in text) and sum(map(len, _GLYPHS.findall(text))) > 0.4 * size:
-        return 2.0
-    if size > 12 and shares[0] + shares[1] + shares[2] < 0.3 and shares[4] + shares[5] + shares[6] + shares[7] > 0.4 and not (rows > 0.6 and shares[0] + shares[2] > 0.1):
-        return 1.5
-    if len(tokens) >= 12 and len(set(tokens)) <= 5:
-        return 1.5
-    if reads > 0.05:
-        return 0.0
-    bare = max(1, sum(map(len, tokens)))
-    if shares[2] > 0.15:
-        hexes = [t for t in tokens if _HEX.fullmatch(t)]
-        mixed = sum(1 for t in hexes if _HEX_MIXED.match(t))
-        if mixed >= max(2, 0.2 * len(tokens)) and sum(len(t) for t in hexes if not t.isdigit() or len(t) in (2, 4, 8)) > 0.7 * bare:
-            return 1.5
-    if max(map(len, tokens), default=0) >= 24 and sum(len(t) for t in tokens if _CODE.fullmatch(t)) > 0.6 * bare:
-        return 1.5
-    letters = len(_LATIN_CYRILLIC.findall(text))
-    if letters >= 20 and letters > 0.5 * size and len(_VOWELS.findall(text)) < 0.2 * letters:
-        return 1.5
-    if len(tokens) >= 8 and Counter(tokens).most_common(1)[0][1] > 0.6 * len(tokens):
-        return 1.5
-    return 1.2 if len(lines) >= 5 and all(_SHORT.fullmatch(s.strip()) for s in lines) else 0.0
-
-
-def block_kind(lines: list[str]) -> str:
-    """The kind of the profile nearest to a block of lines."""
-    text = "\n".join(lines)
-    shares = class_shares(text)
-    coded = shares[2] > 0.1 or "/" in text or "\\" in text
-    words = (_FREE_WORD if coded else _WORD).findall(text.lower())
-    common = [w for w in words if w in _COMMON]
-    near = len(common) / len(words) if words else 0.0
-    apart = {kind: divergence(shares, profile) for kind, profile in PROFILES.items()}
-    # Function words that spread as a language's draw a block to prose.
-    if near > 0.15:
-        apart["prose"] -= 0.35 * (1 - language(words)[1]) + min(0.3, near)
-    rows = 0.0
-    if len(lines) > 1:
-        rows = _cells(lines, near > 0.22)
-        if rows <= 0.5 and near <= 0.22:
-            rows = max(rows, _columns(lines))
-    apart["junk"] += 0.25 - _emptiness(text, lines, text.split(), shares, rows, sum(map(len, common)) / len(text))
-    apart["table"] += 0.3 - 1.2 * (rows > 0.5) - 0.2 * rows + (rows <= 0.3)
-    items = 0.0
+
+def _end(line: str) -> int:
+    char = line[-1]
+    if char in ".!?…:;。！？":
+        return 0
+    if char.isdigit():
+        return 1
+    if char.isalpha():
+        return 2
+    return 3 if char in ",-¬" else 4 if char in "|\\&" else 5 if char in ")]%\"'”’»" else 6
+
+
+def _length(tokens: int) -> int:
+    return 0 if tokens <= 1 else 1 if tokens <= 3 else 2 if tokens <= 6 else 3 if tokens <= 12 else 4 if tokens <= 24 else 5
+
+
+#: What can set cells apart: a test whether a block has it at all, and its number in a line.
+_SEPARATORS = (
+    ("|", lambda line: line.count("|")), ("\t", lambda line: line.count("\t")), (" & ", lambda line: line.count(" & ")),
+    (";", lambda line: line.count(";")), (",", lambda line: len(_TIGHT_COMMA.findall(line)) if "," in line else 0), ("   ", lambda line: len(_GAP.findall(line)) if "   " in line else 0),
+)
+
+
+def _columns(text: str, lines: list[str]) -> tuple[float, float, float]:
+    """The shares of a block's characters in rows that keep the same columns, in other rows with cells, in lines without,
+    for the separator that keeps most."""
+    same, some, total = 0.0, 0.0, sum(map(len, lines))
     if len(lines) > 1:
-        shaped = list(map(_is_item, lines))
-        share = sum(shaped) / len(lines)
-        if sum(shaped) >= 2 and (share >= 0.6 or (shaped[0] and share >= 0.25)):
-            items = 1.0
-        elif len(lines) >= 3 and words and near < 0.15:
-            short = sum(len(s) <= 60 and not _ENDED.search(s) and len(_WORD.findall(s)) <= 6 for s in lines)
-            if near < 0.12 and short >= 0.75 * len(lines):
-                items = 0.9
-            elif sum(bool(_ITEM_COLON.match(s.strip())) for s in lines) >= 0.8 * len(lines):
-                items = 0.8
-    apart["list"] += 0.3 - 1.1 * items + (items == 0)
-    return min(KINDS, key=lambda k: (apart[k], KINDS.index(k)))
+        for sign, count in _SEPARATORS:
+            if sign not in text:
+                continue
+            many = list(map(count, lines))
+            cut = [c for c in many if c]
+            if len(cut) < 2:
+                continue
+            width = Counter(cut).most_common(1)[0][0]
+            kept = sum(len(s) for s, c in zip(lines, many) if c and abs(c - width) <= width // 5) / total
+            if kept > same:
+                same, some = kept, sum(len(s) for s, c in zip(lines, many) if c) / total - kept
+    return same, some, 1 - same - some
+
+
+class Profiles:
+    """The languages' function words, and the structural profiles.
+
+    languages: language -> function word -> its share of all function words. profiles: (kind, the
+    distributions of GROUPS one behind the other).
+    """
+
+    def __init__(self, languages: dict[str, dict[str, float]], profiles: list[tuple[str, list[float]]]):
+        self.languages = sorted(languages)
+        self.words = {w: i for i, w in enumerate(sorted({w for spread in languages.values() for w in spread}))}
+        self.spread = np.zeros((len(self.words), len(self.languages)))
+        for at, language in enumerate(self.languages):
+            for word, share in languages[language].items():
+                self.spread[self.words[word], at] = share
+        self.kinds = np.array([KINDS.index(kind) for kind, _ in profiles])
+        self.profiles = np.array([values for _, values in profiles], dtype=np.float32)
+        self.known: dict[str, tuple[int, int]] = {}
+
+    def language_of(self, counts: Counter) -> tuple[str | None, float]:
+        """The language whose function words spread most like these (word number -> occurrences), and the divergence
+        (None and 1 if there are none)."""
+        if not counts:
+            return None, 1.0
+        p = np.fromiter(counts.values(), dtype=float, count=len(counts))
+        p = (p / p.sum())[:, None]
+        q = self.spread[list(counts)]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            theirs = np.where(q > 0, q * np.log2(2 * q / (p + q)), 0.0)
+        # A word on one side only gives half its share.
+        apart = ((p * np.log2(2 * p / (p + q)) + theirs).sum(0) + 1 - q.sum(0)) / 2
+        at = int(apart.argmin())
+        return (self.languages[at], float(max(0.0, apart[at]))) if q[:, at].any() else (None, 1.0)
+
+    def _token(self, token: str) -> tuple[int, int]:
+        """(place among the classes of tokens, number of a function word or -1)."""
+        bare = token.strip(_AROUND)
+        if not bare:
+            return 6, -1
+        word = self.words.get(bare.lower())
+        if word is not None:
+            return 0, word
+        if bare.isalpha() or bare.translate(_WITHIN).isalpha():
+            if len(bare) >= 24:
+                return 7, -1
+            if len(bare) == 1:
+                return 3, -1
+            return (2 if len(bare) >= 3 and _LATIN_CYRILLIC.search(bare) and not _VOWELS.search(bare) else 1), -1
+        if _NUMBER.fullmatch(bare):
+            return 4, -1
+        return (6 if not any(map(str.isalnum, bare)) else 7 if len(bare) >= 24 else 5), -1
+
+    def distributions(self, lines: list[str]) -> list[float]:
+        """The distributions of GROUPS of a block of lines that aren't blank."""
+        text = "\n".join(lines)
+        seen = Counter(text.split())
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        tokens, function_words = [0] * 8, Counter()
+        once = often = 0
+        total = max(1, seen.total())
+        for token, n in seen.items():
+            found = known.get(token)
+            if found is None:
+                found = known[token] = self._token(token)
+            tokens[found[0]] += n
+            if found[1] >= 0:
+                function_words[found[1]] += n
+            if n == 1:
+                once += 1
+            elif n > 2 and 5 * n > total:
+                often += n
+        near, unparted = 1 - self.language_of(function_words)[1], False
+        if not text.isascii() and 2 * len(letters := _OTHER_SCRIPT.findall(text)) > sum(map(str.isalpha, text)):
+            unparted = bool(_UNPARTED.search(text))
+            words = max(1, tokens[1], len(letters) // 2 if unparted else 0)
+            tokens = [round(words * USUAL_SHARE), round(words * (1 - USUAL_SHARE)), 0, 0, tokens[4], 0, tokens[6], 0]
+            near = USUAL_LIKENESS
+        starts, ends, lengths = [0] * 7, [0] * 7, [0] * 6
+        for line in lines:
+            bare = line.strip()
+            starts[_beginning(bare)] += 1
+            ends[_end(bare)] += 1
+            lengths[_length(len(bare.split()) + (len(_UNPARTED.findall(bare)) // 2 if unparted else 0))] += 1
+        many = len(lines)
+        return [
+            *class_shares(text), *_shares(tokens), *_shares(starts), *_shares(ends), *_shares(lengths), *_columns(text, lines),
+            once / total, often / total, (total - once - often) / total, near, 1 - near, many == 1, 1 < many < 4, many > 3,
+        ]
+
+    def kinds_of(self, texts: list[str | None]) -> list[str | None]:
+        """The kind of each text: that of more than half of its characters, None for null and blank texts."""
+        rows, owner, sizes = [], [], []
+        for i, text in enumerate(texts):
+            for block in blocks(text):
+                rows.append(self.distributions(block))
+                owner.append(i)
+                sizes.append(sum(map(len, block)))
+        held = np.zeros((len(texts), len(KINDS)), dtype=np.int64)
+        if rows:
+            nearest = self.kinds[divergences(np.array(rows, dtype=np.float32), self.profiles).argmin(1)]
+            np.add.at(held, (np.array(owner), nearest), np.array(sizes))
+        size, most = held.sum(1), held.argmax(1)
+        return [None if not n else KINDS[k] if 2 * h[k] > n else "prose" for h, n, k in zip(held.tolist(), size.tolist(), most.tolist())]
+
+
+@functools.cache
+def fitted() -> Profiles:
+    """The profiles beside this module, which ``quality_fit`` made."""
+    found = json.loads(Path(__file__).with_name("quality_profiles.json").read_text(encoding="utf-8"))
+    return Profiles(found["languages"], [(p["kind"], p["shares"]) for p in found["profiles"]])
 
 
 def _lines(text: str) -> list[str]:
     return (text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text).split("\n")
 
 
-def kind(text: str | None) -> str | None:
-    """The kind that more than half of a text's characters have; None for null and blank texts.
-
-    Headings and introductions to a block ("We list the following:") belong to no kind.
-    """
-    if text is None or not text.strip():
-        return None
-    held: Counter = Counter()
+def blocks(text: str | None) -> list[list[str]]:
+    """The lines of a text between blank ones; lines that stand alone one after another are a block."""
+    out: list[list[str]] = []
     block: list[str] = []
-    size = 0
-    lines = _lines(text)
-    for line in [*lines, ""]:
+    alone = False
+    for line in [*_lines(text or ""), ""]:
         if line.strip():
-            size += len(line)
-            if block or not (_HEADING.match(line) or (_INTRO.fullmatch(line) and not _MARK.match(line))):
-                block.append(line)
+            block.append(line)
         elif block:
-            found = block_kind(block)
-            held[found] += sum(map(len, block))
-            if found in ("list", "table"):
-                # A paragraph of several sentences that runs on behind an item or a row is neither.
-                paragraphs = sum(len(s) for s in block if len(s) > 300 and s.count(". ") >= 3)
-                held[found] -= paragraphs
-                held["prose"] += paragraphs
+            if len(block) == 1 and alone:
+                out[-1] += block
+            else:
+                out.append(block)
+                alone = len(block) == 1
             block = []
-    if held["prose"] * 2 > size and len(lines) > 6:
-        # Items set apart by blank lines are read together.
-        loose = [s for s in lines if s.strip() and not _HEADING.match(s)]
-        if len(loose) >= 4 and len(lines) - len(loose) >= len(loose) - 2 and all(map(_is_item, loose[1:])):
-            return "list"
-    for name in KINDS:
-        if held[name] * 2 > size:
-            return name
-    return "prose"
-
-
-def counts(text: str | None) -> tuple:
+    return out
+
+
+def kind(text: str | None) -> str | None:
+    """The kind of one text."""
+    return fitted().kinds_of([text])[0]
+
+
+def language(words: list[str]) -> tuple[str | None, float]:
+    """The language whose function words spread most like the words' own, and the divergence (1 if there are none)."""
+    own = fitted().words
+    return fitted().language_of(Counter(own[w] for w in words if w in own))
+
+
+def counts(text: str | None, common: dict[str, int] | None = None) -> tuple:
     """(words, mean_word_length, symbol_share, punctuated_lines, common_words) of a text; null shares of nothing."""
     if not text:
         return (0, None, None, None, None)
+    common = fitted().words if common is None else common
     words = _WORD.findall(text)
     lines = [s for s in _lines(text) if s.strip()]
     visible = len(text) - len(re.findall(r"\s", text))
@@ -295,28 +340,33 @@ def counts(text: str | None) -> tuple:
         sum(map(len, words)) / len(words) if words else None,
         signs / visible if visible else None,
         sum(bool(_ENDED.search(s)) for s in lines) / len(lines) if lines else None,
-        sum(w.lower() in _COMMON for w in words) / len(words) if words else None,
+        sum(w.lower() in common for w in words) / len(words) if words else None,
     )
 
 
-def statistics(documents: DataFrame) -> DataFrame:
+def statistics(documents: DataFrame, profiles: Profiles | None = None) -> DataFrame:
     """(doc_id, words, mean_word_length, symbol_share, punctuated_lines, common_words, language, divergence, kind)."""
     schema = "doc_id bigint, words int, mean_word_length double, symbol_share double, punctuated_lines double, common_words double, language string, divergence double, kind string"
+    shared = documents.sparkSession.sparkContext.broadcast(profiles or fitted())
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
         for batch in batches:
-            rows = [(i, *counts(t), *language(_WORD.findall(t.lower()) if t else []), kind(t)) for i, t in zip(batch["doc_id"], batch["text"])]
+            texts = list(batch["text"])
+            spoken = [known.language_of(Counter(known.words[w] for w in _WORD.findall(t.lower()) if w in known.words)) if t else (None, 1.0) for t in texts]
+            rows = [(i, *counts(t, known.words), *of, k) for i, t, of, k in zip(batch["doc_id"], texts, spoken, known.kinds_of(texts))]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]).astype({"words": "int32"})
 
     return documents.select("doc_id", "text").mapInPandas(measure, schema)
 
 
-def not_prose(documents: DataFrame) -> DataFrame:
-    """(doc_id, kind) of the documents that are lists, tables or junk."""
+def not_prose(documents: DataFrame, profiles: Profiles | None = None) -> DataFrame:
+    """(doc_id, kind) of the documents that are lists, tables or junk. The profiles sent to the workers are a few dozen."""
+    shared = documents.sparkSession.sparkContext.broadcast(profiles or fitted())
 
     def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [(i, k) for i, t in zip(batch["doc_id"], batch["text"]) if (k := kind(t)) not in (None, "prose")]
+            found = [(i, k) for i, k in zip(batch["doc_id"], shared.value.kinds_of(list(batch["text"]))) if k not in (None, "prose")]
             yield pd.DataFrame(found, columns=["doc_id", "kind"]).astype({"doc_id": "int64"})
 
     return documents.where(F.col("text").isNotNull()).select("doc_id", "text").mapInPandas(classify, "doc_id bigint, kind string")

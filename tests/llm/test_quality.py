@@ -59,3 +59,53 @@ def test_agrees_with_the_labels(spark):
     pairs = [(r["label"], quality.kind(texts.get(r["doc_id"]))) for r in labels.collect()]
     pairs = [p for p in pairs if p[1] is not None]
     assert len(pairs) > 50 and sum(a == b for a, b in pairs) >= 0.95 * len(pairs)
+
+
+def test_weighted_divergences_are_the_sum_of_those_of_the_groups():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [np.concatenate([rng.dirichlet(np.ones(len(classes)) / 3) for _, classes, _ in quality.GROUPS]) for _ in range(6)]
+    got = quality.divergences(np.array(rows[:3]), np.array(rows[3:]))
+    for i, a in enumerate(rows[:3]):
+        for j, b in enumerate(rows[3:]):
+            want, at = 0.0, 0
+            for _, classes, weight in quality.GROUPS:
+                want += weight * quality.divergence(tuple(a[at : at + len(classes)]), tuple(b[at : at + len(classes)]))
+                at += len(classes)
+            assert abs(got[i, j] - want) < 1e-4
+
+
+def test_the_divergence_decides(spark, folder, monkeypatch):
+    """Without it every text gets the kind of the first profile, and all lists, tables and junk are lost."""
+    import numpy as np
+
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    texts = [r["text"] for r in documents.select("text").collect()]
+    found = quality.fitted().kinds_of(texts)
+    assert sum(k in ("list", "table", "junk") for k in found) > 20
+    monkeypatch.setattr(quality, "divergences", lambda blocks, profiles: np.zeros((len(blocks), len(profiles))))
+    assert set(quality.fitted().kinds_of(texts)) <= {None, "prose"}
+
+
+def test_profiles_fitted_elsewhere(spark):
+    """Profiles fitted on one table tell the documents of another apart, wrong labels notwithstanding."""
+    from pyspark.sql import functions as F
+
+    from sheaf.llm import quality_fit
+
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet")
+    labels = read("doc_labels")
+    found = quality_fit.fit(read("documents").where("doc_id % 3 != 0"), labels.withColumn("label", F.when(F.col("doc_id") % 31 == 0, F.lit("junk")).otherwise(F.col("label"))))
+    assert {p["kind"] for p in found["profiles"]} == set(quality.KINDS) and "the" in found["languages"]["en"]
+    profiles = quality.Profiles(found["languages"], [(p["kind"], p["shares"]) for p in found["profiles"]])
+    held_out = {r["doc_id"]: r["text"] for r in read("documents").where("doc_id % 3 = 0 and doc_id % 5 = 0").collect()}
+    got, want = profiles.kinds_of(list(held_out.values())), quality.fitted().kinds_of(list(held_out.values()))
+    assert sum(a == b for a, b in zip(got, want)) >= 0.9 * len(want)
+
+
+def test_many_blocks_and_long_texts():
+    table = "a | 1 | 2\nb | 3 | 4\nc | 5 | 6"
+    assert quality.blocks("x\n\ny\n\nz\n\n" + table + "\n\n \nq") == [["x", "y", "z"], table.split("\n"), ["q"]]
+    assert quality.kind(PROSE * 20 + "\n\n" + table) == "prose" and quality.kind(table + "\n\n" + PROSE[:20]) == "table"
+    assert quality.kind("- item of a list\n" * 50_000) == "list" and quality.kind("word " * 100_000) == "junk"
