@@ -23,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.operators.hashfilter import HashFilter, hash_filter, text_hash
 from sheaf.session import batched, settle
 
 #: Rounds of flooding at most; it stops when nothing moves by more than STILL.
@@ -219,13 +219,9 @@ def proposed(similarities: list[tuple[str, str, float]], least: float = LEAST_RE
     return sorted(kept, key=lambda p: (-p[2], p[0], p[1]))
 
 
-def _hash(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
-
-
 @batched("array<struct<old:string,new:string,score:double,old_hash:bigint,new_hash:bigint>>")
 def _proposals(names_a: pd.Series, paths_a: pd.Series, types_a: pd.Series, names_b: pd.Series, paths_b: pd.Series, types_b: pd.Series) -> pd.Series:
-    signed = lambda text: int(np.uint64(_hash(text)).astype(np.int64))
+    signed = lambda text: int(np.uint64(text_hash(text)).astype(np.int64))
 
     def one(*parts):
         if parts[0] is None:
@@ -296,21 +292,6 @@ def _steps(files: DataFrame) -> DataFrame:
     return settle(matched.select("series_id", "file_no", "gone", "come", "retyped", checked.alias("proposals")))
 
 
-class NameFilter:
-    """A Bloom filter of the (series, file, role, name) whose values are wanted, and of their files."""
-
-    def __init__(self, words: np.ndarray):
-        self.words, self.mask = words, len(words) * 64 - 1
-
-    @staticmethod
-    def places(key: str, mask: int) -> tuple[int, int]:
-        h = _hash(key)
-        return h & mask, (h >> 32) & mask
-
-    def __contains__(self, key: str) -> bool:
-        return all(int(self.words[at >> 6]) >> (at & 63) & 1 for at in self.places(key, self.mask))
-
-
 def _file_key(series: int, number: int) -> str:
     return f"{series}/{number}"
 
@@ -319,29 +300,12 @@ def _name_key(series: int, number: int, is_new: bool, name: str) -> str:
     return f"{series}/{number}/{int(is_new)}/{name}"
 
 
-def _name_filter(steps: DataFrame) -> NameFilter:
-    """The filter of what the steps' proposals need; its words are merged in the cluster, 2 ** FILTER_BITS bits at most come back."""
-    wanted = steps.where("size(proposals) > 0")
-    many = wanted.agg(F.sum(F.size("proposals"))).first()[0] or 0
-    bits = min(FILTER_BITS, max(10, (32 * many).bit_length()))
-    mask = (1 << bits) - 1
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            words: dict[int, int] = defaultdict(int)
-            for series, step, olds, news in zip(batch["series_id"], batch["file_no"], batch["olds"], batch["news"]):
-                keys = [_file_key(series, step - 1), _file_key(series, step), *(_name_key(series, step - 1, False, n) for n in olds), *(_name_key(series, step, True, n) for n in news)]
-                for key in keys:
-                    for at in NameFilter.places(key, mask):
-                        words[at >> 6] |= 1 << (at & 63)
-            yield pd.DataFrame({"word": np.array(list(words), dtype=np.int64), "bits": np.array(list(words.values()), dtype=np.uint64).view(np.int64)})
-
-    named = wanted.select("series_id", "file_no", F.expr("array_distinct(transform(proposals, p -> p.old)) AS olds"), F.expr("array_distinct(transform(proposals, p -> p.new)) AS news"))
-    set_words = named.mapInPandas(read, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()
-    words = np.zeros((1 << bits) // 64, dtype=np.uint64)
-    for word, held in set_words:
-        words[word] = held & 0xFFFFFFFFFFFFFFFF
-    return NameFilter(words)
+def _name_filter(steps: DataFrame) -> HashFilter:
+    """The filter of the names (and their files) whose values the steps' proposals need."""
+    before, after = F.concat_ws("/", F.col("series_id"), F.col("file_no") - 1), F.concat_ws("/", F.col("series_id"), F.col("file_no"))
+    named = F.concat(F.transform("proposals", lambda p: F.concat(before, F.lit("/0/"), p["old"])), F.transform("proposals", lambda p: F.concat(after, F.lit("/1/"), p["new"])))
+    keys = steps.where("size(proposals) > 0").select(F.explode(F.array_distinct(F.concat(F.array(before, after), named))).alias("key"))
+    return hash_filter(keys.select(F.xxhash64("key").alias("hash")), "hash", FILTER_BITS)
 
 
 def _values(lines: DataFrame, steps: DataFrame) -> DataFrame:
@@ -367,19 +331,19 @@ def _values(lines: DataFrame, steps: DataFrame) -> DataFrame:
             for series, number, line, record in zip(batch["series_id"], batch["file_no"], batch["line_no"], batch["record"]):
                 file = (series, number)
                 if file not in files:
-                    files[file] = {} if _file_key(series, number) in wanted else None
+                    files[file] = {} if text_hash(_file_key(series, number)) in wanted else None
                 names = files[file]
                 if names is None or (fields := fields_of(record)) is None or (paper := spelling_free(fields.get("paper_id"))) is None:
                     continue
-                paper = _hash(paper)
+                paper = text_hash(paper)
                 for name, value in fields.items():
                     if name not in names:
-                        as_old, as_new = (_name_key(series, number, is_new, name) in wanted for is_new in (False, True))
-                        names[name] = (_hash(name), as_old, as_new) if as_old or as_new else None
+                        as_old, as_new = (text_hash(_name_key(series, number, is_new, name)) in wanted for is_new in (False, True))
+                        names[name] = (text_hash(name), as_old, as_new) if as_old or as_new else None
                     roles = names[name]
                     if roles is None or (spelled := spelling_free(value)) is None:
                         continue
-                    found = (line, _hash(spelled))
+                    found = (line, text_hash(spelled))
                     for is_new, step in ((False, number + 1), (True, number)):
                         if roles[1 + is_new]:
                             key = (series, step, paper, is_new, roles[0])

@@ -4,6 +4,7 @@ import json
 import random
 from fractions import Fraction
 
+import numpy as np
 import pytest
 
 from sheaf.operators import drift, nested, units
@@ -117,9 +118,15 @@ def test_only_what_flooding_proposes_is_renamed(spark, folder, monkeypatch):
 def test_the_name_filter_holds_nothing_back(spark):
     steps = spark.createDataFrame([(s, f, [(f"o{s}", f"n{f}")]) for s in range(200) for f in (2, 3)], "series_id bigint, file_no int, proposals array<struct<old:string,new:string>>")
     held = drift._name_filter(steps)
-    assert all(drift._name_key(s, f - 1, False, f"o{s}") in held and drift._name_key(s, f, True, f"n{f}") in held and drift._file_key(s, f) in held for s in range(200) for f in (2, 3))
-    assert sum(drift._name_key(s, 9, True, "other") in held for s in range(2000)) < 100
-    assert "x" not in drift._name_filter(steps.limit(0))
+    h = drift.text_hash
+    assert all(h(drift._name_key(s, f - 1, False, f"o{s}")) in held and h(drift._name_key(s, f, True, f"n{f}")) in held and h(drift._file_key(s, f)) in held for s in range(200) for f in (2, 3))
+    assert sum(h(drift._name_key(s, 9, True, "other")) in held for s in range(2000)) < 100
+    assert h("x") not in drift._name_filter(steps.limit(0))
+    # Spark and Python hash alike, and many hashes are looked up as one is.
+    texts = ["", "a", "ä/1", "x" * 1000, "\U0001f600"]
+    assert [r[0] & (2**64 - 1) for r in spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("xxhash64(t)").collect()] == list(map(h, texts))
+    hashes = [h(str(i)) for i in range(5000)] + [h(drift._file_key(3, 2))]
+    assert held.holds(np.array(hashes, dtype=np.uint64)).tolist() == [x in held for x in hashes]
 
 
 def test_wide_and_clashing_fields(spark, monkeypatch):
