@@ -14,6 +14,7 @@ from __future__ import annotations
 import array
 import base64
 import functools
+import hashlib
 import re
 import struct
 from collections.abc import Callable, Iterator
@@ -156,7 +157,8 @@ def decode(ids: list[int], ranks: dict[bytes, int]) -> str:
     return b"".join(tokens[i] for i in ids).decode("utf-8", "replace")
 
 
-_encoders: dict[int, Encoder] = {}
+#: By the model's digest.
+_encoders: dict[str, Encoder] = {}
 
 
 def encode_texts(texts: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
@@ -166,10 +168,11 @@ def encode_texts(texts: DataFrame, key: str = "doc_id", text: str = "text", path
     1.5 MB, whatever the texts.
     """
     model = sentencepiece_model(read_ranks(path or vocabulary_path()))
-    shared = texts.sparkSession.sparkContext.broadcast(model)
+    shared = texts.sparkSession.sparkContext.broadcast((hashlib.sha256(model).hexdigest(), model))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.get(len(shared.value)) or _encoders.setdefault(len(shared.value), Encoder(shared.value))
+        key, content = shared.value
+        encoder = _encoders.get(key) or _encoders.setdefault(key, Encoder(content))
         for batch in batches:
             flat, offsets = array.array("i"), array.array("i", [0])
             for value in batch.column(1).to_pylist():

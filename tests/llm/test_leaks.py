@@ -43,8 +43,8 @@ def test_leaks_by_hand(spark, case):
     want = by_hand(documents, items)
     assert len(want) > 50 and (902, 93) in want
     assert sorted(map(tuple, leaks.leaks(d, i).collect())) == sorted(want)
-    # Beyond the bound the windows are joined, with the same result.
-    assert sorted(map(tuple, leaks.leaks(d, i, most=3).collect())) == sorted(want)
+    # However full the filter is, the join gives the same result.
+    assert sorted(map(tuple, leaks.leaks(d, i, most_bits=6).collect())) == sorted(want)
 
 
 def test_leaks_on_the_tables(spark, folder):
@@ -58,8 +58,26 @@ def test_clean_texts_leak_nothing(spark, case):
     d, i = spark.createDataFrame([(*x, 1) for x in documents], DOCS), spark.createDataFrame([(*x, "s") for x in items if x[0] < 40 and len(leaks.words(x[1])) >= 10], ITEMS)
     clean = leaks.without_passages(d, i)
     assert leaks.leaks(clean, i).count() == 0 and clean.count() == len(documents)
-    with pytest.raises(ValueError):
-        leaks.without_passages(d, i, most=1)
+    key = lambda df: sorted((r["doc_id"], r["text"] or "", r["removed"]) for r in df.collect())
+    assert key(leaks.without_passages(d, i, most_bits=6)) == key(clean)
+    assert sum(r["removed"] for r in clean.collect()) == sum(len(t or "") for _, t in documents) - sum(len(r["text"] or "") for r in clean.collect()) > 0
+
+
+def test_many_items(spark, case):
+    """More items than any worker is given: the same rows as by hand."""
+    documents, items = case
+    rng = random.Random(4)
+    many = items + [(1000 + k, " ".join(f"z{rng.randint(0, 5000)}" for _ in range(12))) for k in range(25_000)]
+    d, i = spark.createDataFrame([(*x, 1) for x in documents], DOCS), spark.createDataFrame([(*x, "s") for x in many], ITEMS)
+    assert sorted(map(tuple, leaks.leaks(d, i).collect())) == sorted(by_hand(documents, items))
+    assert leaks.without_passages(d, i).count() == len(documents)
+
+
+def test_texts_of_one_id_are_told_apart(spark):
+    passage = " ".join(f"p{k}" for k in range(12))
+    d = spark.createDataFrame([(1, f"before {passage} after", 0), (1, f"{passage}, then more", 0), (1, f"before {passage} after", 0), (None, f"x {passage}", 0), (2, None, 0)], DOCS)
+    i = spark.createDataFrame([(5, passage, "s")], ITEMS)
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in leaks.without_passages(d, i).collect()) == [(0, "x "), (1, " then more"), (1, "before  after"), (1, "before  after"), (2, "")]
 
 
 def test_empty_tables(spark):
