@@ -6,6 +6,10 @@ a node lies within another exactly if its interval [pre, post] does. Nodes of a
 children are linked to the node of the parent kind whose interval holds theirs (``within``), summaries
 outside of chapters to the first chapter of their number.
 
+Nodes are the record (item_no 0), chapters, summaries, syntheses, terms and themes, and beside these every
+object and array element under any other field, with the field's name as their kind: fields that nobody
+foresaw become tables of their own. Values of other fields are attributes, containers among them as JSON too.
+
 The walk reads the same part in all its shapes: a list, an object keyed by number (in the order of the
 numbers), an object with the list under ``items``, JSON inside a string, a single object. A null,
 unreadable or non-object record has no nodes; neither have null and blank terms or themes. A term given
@@ -90,6 +94,13 @@ def _plain(fields: dict, skip: tuple[str, ...]) -> dict[str, str]:
     return {k: v if isinstance(v, str) else json.dumps(v, ensure_ascii=False) for k, v in fields.items() if v is not None and k not in skip}
 
 
+def _parts(value: object) -> list[tuple[int, object]]:
+    """(position, part) of what makes nodes of a field, last first: an object, or the elements of an array; values make none."""
+    if isinstance(value, dict):
+        return [(1, value)]
+    return [(n, x) for n, x in reversed(list(enumerate(value, 1))) if x is not None] if isinstance(value, list) else []
+
+
 def walk(record: str | None) -> list[tuple]:
     """Nodes of a record: (kind, pre, post, depth, item_no, number, attributes)."""
     try:
@@ -100,7 +111,7 @@ def walk(record: str | None) -> list[tuple]:
         return []
     nodes: list[list] = []
     clock = {"pre": 0}
-    counts = {"chapter": 0, "summary": 0, "key_theme": 0}
+    counts = {"chapter": 0, "summary": 0, "synthesis": 0, "key_theme": 0}
 
     def enter(kind: str, depth: int, item_no: int, number: int | None, attributes: dict[str, str]) -> list:
         clock["pre"] += 1
@@ -120,9 +131,26 @@ def walk(record: str | None) -> list[tuple]:
         node = enter("summary", depth, counts["summary"], number, _plain(part, ("key_terms",)))
         for n, term in enumerate(texts(part.get("key_terms")), 1):
             leave(enter("key_term", depth + 1, n, None, {"text": term}))
+        others(part, ("key_terms",), depth + 1)
         leave(node)
 
-    root = enter("record", 0, 1, None, _plain(top, ("chapters", "summaries", "synthesis")))
+    def others(fields: dict, known: tuple[str, ...], depth: int) -> None:
+        """The nodes under the fields of an object that no kind above reads, depth first without recursion."""
+        todo: list = [(name, part, depth, n) for name, value in reversed(fields.items()) if name not in known for n, part in _parts(value)]
+        while todo:
+            item = todo.pop()
+            if len(item) == 1:
+                leave(item[0])
+                continue
+            name, part, at, n = item
+            inner = part if isinstance(part, dict) else {}
+            node = enter(name, at, n, None, _plain(inner, ()) if isinstance(part, dict) else {"text": part if isinstance(part, str) else json.dumps(part, ensure_ascii=False)})
+            todo.append((node,))
+            if isinstance(part, list):
+                todo += [(name, x, at + 1, k) for k, x in _parts(part)]
+            todo += [(field, x, at + 1, k) for field, value in reversed(inner.items()) for k, x in _parts(value)]
+
+    root = enter("record", 0, 0, None, _plain(top, ("chapters", "summaries", "synthesis")))
     for name, part in top.items():
         if name == "chapters":
             for key, item in _items(part):
@@ -136,6 +164,7 @@ def walk(record: str | None) -> list[tuple]:
                     inside = _opened(item.get(inner))
                     for k, s in [(None, inside)] if isinstance(inside, dict) and "main_thesis" in inside else _items(inside):
                         summary(s, k, 2)
+                others(item, ("summary", "summaries"), 2)
                 leave(node)
         elif name == "summaries":
             for key, item in _items(part):
@@ -145,35 +174,45 @@ def walk(record: str | None) -> list[tuple]:
                 item = _opened(item)
                 if not isinstance(item, dict):
                     continue
-                node = enter("synthesis", 1, 1, None, _plain(item, ("key_themes",)))
+                counts["synthesis"] += 1
+                node = enter("synthesis", 1, counts["synthesis"], None, _plain(item, ("key_themes",)))
                 for theme in texts(item.get("key_themes")):
                     counts["key_theme"] += 1
                     leave(enter("key_theme", 2, counts["key_theme"], None, {"text": theme}))
+                others(item, ("key_themes",), 2)
                 leave(node)
+        else:
+            others({name: part}, (), 1)
     leave(root)
     return [tuple(n) for n in nodes]
 
 
-def label_nodes(records: DataFrame) -> DataFrame:
-    """A row per node of every record (record_id, record), with interval labels; see NODES."""
+def label_nodes(records: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """A row per node of every record (record_id, record), with interval labels; see NODES. kinds: only these leave Python,
+    without their attributes."""
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in NODES.split(", ")]
         for batch in batches:
-            yield pd.DataFrame([(i, *node) for i, r in zip(batch["record_id"], batch["record"]) for node in walk(r)], columns=names)
+            nodes = ((i, *node) for i, r in zip(batch["record_id"], batch["record"]) for node in walk(r))
+            kept = list(nodes) if kinds is None else [(*n[:7], None) for n in nodes if n[1] in kinds]
+            yield pd.DataFrame(kept, columns=names).astype({"number": "Int32"})
 
     return records.where("record is not null").select("record_id", "record").mapInPandas(label, NODES)
 
 
-def within(nodes: DataFrame, child: str, parent: str) -> DataFrame:
-    """The nodes of kind child with parent_no, the item_no of the parent-kind node whose interval holds
-    theirs (0 if none). Nodes of the parent kind don't nest, so the holder can only be the last one
-    that began before the child: one window by pre-order number instead of a join on ranges."""
+def within(nodes: DataFrame, **parents: str) -> DataFrame:
+    """nodes with a column for each parent kind given (column=kind): the item_no of the node of that kind whose interval
+    holds theirs, null if none does.
+
+    Nodes of a parent kind don't nest, so the holder can only be the last one that began before: one window by
+    pre-order number serves all kinds, instead of joins on ranges.
+    """
     order = Window.partitionBy("record_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    holder = F.last(F.when(F.col("kind") == parent, F.struct("pre", "post", "item_no")), ignorenulls=True).over(order)
-    both = nodes.where(F.col("kind").isin(child, parent)).withColumn("_holder", holder).where(F.col("kind") == child)
-    inside = (F.col("_holder.pre") < F.col("pre")) & (F.col("post") <= F.col("_holder.post"))
-    return both.withColumn("parent_no", F.when(inside, F.col("_holder.item_no")).otherwise(F.lit(0))).drop("_holder")
+    holder = lambda kind: F.last(F.when(F.col("kind") == kind, F.struct("pre", "post", "item_no")), ignorenulls=True).over(order)
+    both = nodes.withColumns({f"_{column}": holder(kind) for column, kind in parents.items()})
+    inside = lambda column: (F.col(f"_{column}.pre") < F.col("pre")) & (F.col("post") <= F.col(f"_{column}.post"))
+    return both.withColumns({c: F.when(inside(c), F.col(f"_{c}.item_no")) for c in parents}).drop(*(f"_{c}" for c in parents))
 
 
 def chapters(nodes: DataFrame) -> DataFrame:
@@ -185,23 +224,23 @@ def chapters(nodes: DataFrame) -> DataFrame:
     )
 
 
-def _placed_summaries(nodes: DataFrame) -> DataFrame:
-    """The summaries with chapter_no: the chapter that holds them, else the first of their number, else 0."""
-    held = within(nodes, "summary", "chapter")
-    first = nodes.where("kind = 'chapter' and number is not null").groupBy("record_id", "number").agg(F.min("item_no").alias("_first"))
-    chapter = F.when(F.col("parent_no") > 0, F.col("parent_no")).otherwise(F.coalesce("_first", F.lit(0)))
-    return held.join(first, ["record_id", "number"], "left").withColumn("chapter_no", chapter.cast("int")).drop("_first")
+def _placed(held: DataFrame) -> DataFrame:
+    """The summaries among nodes (with in_chapter) with chapter_no: the chapter that holds them, else the first of their number, else 0."""
+    first = held.where("kind = 'chapter' and number is not null").groupBy("record_id", "number").agg(F.min("item_no").alias("_first"))
+    joined = held.where("kind = 'summary'").join(first, ["record_id", "number"], "left")
+    return joined.withColumn("chapter_no", F.coalesce("in_chapter", "_first", F.lit(0)).cast("int")).drop("_first")
 
 
 def summaries(nodes: DataFrame) -> DataFrame:
     """record_id, summary_no, chapter_no (0 if none) and the text fields."""
     text = [F.col("attributes")[c].alias(c) for c in ("main_thesis", "unique_insight", "key_evidence", "counterexample", "how_to", "practical_implications", "builds_on", "golden_quote")]
-    return _placed_summaries(nodes).select("record_id", F.col("item_no").alias("summary_no"), "chapter_no", *text)
+    return _placed(within(nodes, in_chapter="chapter")).select("record_id", F.col("item_no").alias("summary_no"), "chapter_no", *text)
 
 
 def key_terms(nodes: DataFrame) -> DataFrame:
     """record_id, summary_no, term_no, term."""
-    return within(nodes, "key_term", "summary").select("record_id", F.col("parent_no").alias("summary_no"), F.col("item_no").alias("term_no"), F.col("attributes")["text"].alias("term"))
+    held = within(nodes, in_summary="summary").where("kind = 'key_term'")
+    return held.select("record_id", F.col("in_summary").alias("summary_no"), F.col("item_no").alias("term_no"), F.col("attributes")["text"].alias("term"))
 
 
 def key_themes(nodes: DataFrame) -> DataFrame:
@@ -209,10 +248,16 @@ def key_themes(nodes: DataFrame) -> DataFrame:
     return nodes.where("kind = 'key_theme'").select("record_id", F.col("item_no").alias("theme_no"), F.col("attributes")["text"].alias("theme"))
 
 
+#: Parent kind of each relation; a record is parent number 0.
+PARENTS = {"chapter": "record", "summary": "chapter", "key_term": "summary", "key_theme": "record"}
+
+
 def links(records: DataFrame) -> DataFrame:
-    """One row per child: record_id, relation, parent_no, item_no. The records are walked once."""
-    nodes = settle(label_nodes(records).drop("attributes"))
-    flat = nodes.where("kind in ('chapter', 'key_theme')").select("record_id", F.col("kind").alias("relation"), F.lit(0).alias("parent_no"), "item_no")
-    placed = _placed_summaries(nodes).select("record_id", F.lit("summary").alias("relation"), F.col("chapter_no").alias("parent_no"), "item_no")
-    terms = within(nodes, "key_term", "summary").select("record_id", F.lit("key_term").alias("relation"), "parent_no", "item_no")
-    return flat.unionByName(placed).unionByName(terms)
+    """One row per child: record_id, relation, parent_no, item_no. The records are walked once; each parent is the node
+    whose interval holds the child's, but for summaries outside of chapters."""
+    nodes = label_nodes(records, ("record", *PARENTS)).drop("attributes")
+    held = settle(within(nodes, in_record="record", in_chapter="chapter", in_summary="summary"))
+    parent = F.when(F.col("kind") == "key_term", F.col("in_summary")).otherwise(F.col("in_record"))
+    flat = held.where("kind in ('chapter', 'key_term', 'key_theme')").select("record_id", F.col("kind").alias("relation"), parent.alias("parent_no"), "item_no")
+    placed = _placed(held).select("record_id", F.lit("summary").alias("relation"), F.col("chapter_no").alias("parent_no"), "item_no")
+    return flat.unionByName(placed)

@@ -43,6 +43,10 @@ def p2_key_themes(spark: SparkSession, folder: str) -> DataFrame:
     return nested.key_themes(nested.label_nodes(table(spark, folder, "book_inventory")))
 
 
+def p2_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    return nested.label_nodes(table(spark, folder, "book_inventory"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return units.restated(table(spark, folder, "matrix"), table(spark, folder, "schema_spec"))
 
@@ -51,5 +55,5 @@ def p3_amounts(spark: SparkSession, folder: str) -> DataFrame:
     return units.amounts(table(spark, folder, "matrix"), table(spark, folder, "schema_spec"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_table, p2_found, p2_chapters, p2_summaries, p2_key_terms, p2_key_themes, p3_found, p3_amounts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_table, p2_found, p2_chapters, p2_summaries, p2_key_terms, p2_key_themes, p2_nodes, p3_found, p3_amounts)}
 SQL: dict[str, str] = {}

@@ -221,6 +221,24 @@ def test_awkward_records(spark):
     assert nested.links(df.limit(0)).count() == 0
 
 
+def test_every_node_is_labelled(spark):
+    """Objects and elements under fields that no kind reads are nodes too, within the node that holds them."""
+    record = {"title": "t", "chapters": [{"title": "a", "evidence": [{"kind": "survey", "rows": [1, [2, None, 3]]}, "text"], "summary": {"main_thesis": "m", "sources": {"a": {"b": 1}}}}], "extra": {"deep": {"er": []}}, "synthesis": {"notes": ["n"]}}
+    df = spark.createDataFrame([(1, json.dumps(record)), (2, "[" * 50_000)], "record_id bigint, record string")
+    nodes = sorted(nested.label_nodes(df).collect(), key=lambda n: n["pre"])
+    assert [(n["kind"], n["depth"], n["item_no"]) for n in nodes] == [
+        ("record", 0, 0), ("chapter", 1, 1), ("summary", 2, 1), ("sources", 3, 1), ("a", 4, 1), ("evidence", 2, 1), ("rows", 3, 1), ("rows", 3, 2), ("rows", 4, 1), ("rows", 4, 3), ("evidence", 2, 2), ("extra", 1, 1), ("deep", 2, 1),
+        ("synthesis", 1, 1), ("notes", 2, 1),
+    ]
+    assert [n["pre"] for n in nodes] == list(range(1, len(nodes) + 1))
+    holder = {n["pre"]: max((m["pre"] for m in nodes if m["pre"] < n["pre"] and n["post"] <= m["post"]), default=0) for n in nodes}
+    depth = {0: -1} | {n["pre"]: n["depth"] for n in nodes}
+    assert all(depth[holder[n["pre"]]] == n["depth"] - 1 for n in nodes)
+    assert nodes[5]["attributes"] == {"kind": "survey", "rows": "[1, [2, null, 3]]"} and nodes[10]["attributes"] == {"text": "text"}
+    held = nested.within(nested.label_nodes(df), in_chapter="chapter", in_summary="summary").where("kind = 'sources'").first()
+    assert (held["in_chapter"], held["in_summary"]) == (1, 1)
+
+
 def test_conversions_compose_and_agree():
     composed = units.conversions()
     assert composed["week", "minute"] == (Fraction(7 * 24 * 60), 0) and composed["fraction", "hundredth"] == (10000, 0)
