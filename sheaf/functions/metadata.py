@@ -23,7 +23,9 @@ _STATE = "struct<done:boolean,title:string,authors:string,year:string>"
 
 
 def _first_lines(content: Column, n: int) -> Column:
-    return F.transform(F.slice(F.split(strip(content), "\n"), 1, n), lambda x: strip(x))
+    # Only the beginning is cut out and split, however long the text is.
+    begin = F.substring_index(F.regexp_replace(content, r"(?U)\A\s+", ""), "\n", n)
+    return F.transform(F.split(begin, "\n"), lambda x: strip(x))
 
 
 def _with(value: Column, use) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,14 +20,22 @@ def exact_copies(documents: DataFrame, key: str = "doc_id", text: str = "text")
 
 
 def sections(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, section_no, level, title, body): a text's parts under Markdown headings; 0 is what stands before the first."""
-    lines = documents.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")).alias("at", "line"))
-    mark = F.length(F.regexp_extract("line", r"^(#{1,6})[ \t]+\S", 1))
-    over = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = lines.withColumn("level", mark).withColumn("section_no", F.sum(F.when(F.col("level") > 0, 1).otherwise(0)).over(over).cast("int"))
-    heading = F.max(F.when(F.col("level") > 0, F.struct(F.col("level"), F.trim(F.regexp_replace("line", r"^#{1,6}[ \t]+", "")).alias("title"))))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("level") == 0, F.struct("at", "line")))), lambda x: x["line"]), "\n")
-    return numbered.groupBy(key, "section_no").agg(heading.alias("_h"), body.alias("body")).select(key, "section_no", F.coalesce("_h.level", F.lit(0)).alias("level"), F.col("_h.title").alias("title"), "body")
+    """(key, section_no, level, title, body): a text's parts under Markdown headings; 0 is what stands before the first.
+
+    All within the row: nothing is shuffled, and rows that repeat give their sections again.
+    """
+    lines = documents.where(F.col(text).isNotNull()).select(key, F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n").alias("_lines"))
+    level = lambda line: F.length(F.regexp_extract(line, r"^(#{1,6})[ \t]+\S", 1))
+    heads = F.filter(F.transform("_lines", lambda line, i: F.struct(i.alias("at"), level(line).alias("level"))), lambda h: h["level"] > 0)
+    # What stands before the first heading is a section if there is a line.
+    front = F.filter(F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("level"))), lambda _: ~F.coalesce(F.get("_heads", F.lit(0))["at"] == 0, F.lit(False)))
+    starts = lines.withColumn("_heads", heads).select(key, "_lines", (F.size("_heads") > 0).alias("_headed"), F.concat(front, "_heads").alias("_starts"))
+    each = starts.select(key, "_lines", "_starts", F.posexplode("_starts").alias("_n", "_s"))
+    end = F.coalesce(F.get("_starts", F.col("_n") + 1)["at"], F.size("_lines"))
+    number = F.col("_n") + F.when(F.get("_starts", F.lit(0))["at"] < 0, 0).otherwise(1)
+    title = F.when(F.col("_s.level") > 0, F.trim(F.regexp_replace(F.get("_lines", F.col("_s.at")), r"^#{1,6}[ \t]+", "")))
+    body = F.array_join(F.slice("_lines", F.col("_s.at") + 2, end - F.col("_s.at") - 1), "\n")
+    return each.select(key, number.cast("int").alias("section_no"), F.col("_s.level").alias("level"), title.alias("title"), body.alias("body"))
 
 
 def joined_texts(documents: DataFrame, group: str, order: str, text: str, between: str = "\n\n---\n\n", prefix: int | None = None) -> DataFrame:

@@ -45,12 +45,14 @@ def field_lines(specs: DataFrame, group: str = "review") -> DataFrame:
     return specs.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("key").alias("k"), line.alias("l")))), lambda x: x["l"]), "\n").alias("fields"))
 
 
+PLAN_LEAD = (
+    "Read this paper and plan its extraction. Answer with one JSON object: title, authors, year, paper_type (THEORY, EMPIRICAL, SURVEY or ML), "
+    "has_core_model, model_type, has_key_figure, key_figure_type, key_figure_ref, key_figure_description, sections_to_extract (a list).\n\nTEXT:\n"
+)
+
+
 def plan_prompt(content: Column | str) -> Column:
-    ask = (
-        "Read this paper and plan its extraction. Answer with one JSON object: title, authors, year, paper_type (THEORY, EMPIRICAL, SURVEY or ML), "
-        "has_core_model, model_type, has_key_figure, key_figure_type, key_figure_ref, key_figure_description, sections_to_extract (a list).\n\nTEXT:\n"
-    )
-    return F.concat(F.lit(ask), left(content, PLAN_PREFIX))
+    return F.concat(F.lit(PLAN_LEAD), left(content, PLAN_PREFIX))
 
 
 def sections_prompt(content: Column | str, sections: Column | str, fields: Column | str, tables: Column | str) -> Column:

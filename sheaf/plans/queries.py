@@ -13,6 +13,7 @@ from sheaf.functions.metadata import leading_metadata, leading_title, title_with
 from sheaf.operators import categories, chapters, corpus, inventory, matrix, models, prompts, reports, sections, spans
 from sheaf.plans import views
 from sheaf.session import table
+from sheaf.sources import documents
 from sheaf.streaming.ingest import counts_by_window
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,12 +185,12 @@ def token_estimate(spark, folder):
 
 
 @query("WITH " + views.PAPERS_SQL + f"""
-    SELECT paper_id, NULL AS error, left(content, 40) AS title FROM papers WHERE NOT ({_unreadable_sql('content')})
+    SELECT paper_id, NULL AS error, content AS title FROM papers WHERE NOT ({_unreadable_sql('content')})
     UNION ALL SELECT paper_id, 'unreadable content', '[Unreadable PDF]' FROM papers WHERE {_unreadable_sql('content')}""")
 def error_union(spark, folder):
     rows = views.papers(spark, folder)
     bad = text.is_unreadable("content")
-    good = rows.where(~bad).select("paper_id", F.left("content", F.lit(40)).alias("title"))
+    good = rows.where(~bad).select("paper_id", F.col("content").alias("title"))
     return inventory.with_errors(good, sections.unreadable(rows.where(bad)).select("paper_id", "title", "error")).select("paper_id", "error", "title")
 
 
@@ -379,17 +380,38 @@ REFERENCE_FIELDS_SQL = r"""
     TRY_CAST(nullif(regexp_extract(reference, '\(((?:19|20)\d\d)[a-z]?\)', 1), '') AS INTEGER) AS year,
     nullif(trim(regexp_extract(reference, '\((?:19|20)\d\d[a-z]?\)\.?\s*([^.?!]+[?!]?)', 1)), '') AS title,
     nullif(trim(regexp_extract(reference, '\((?:19|20)\d\d[a-z]?\)\.?\s*[^.?!]+[.?!]+\s*([^.,\d]+?),\s*\d', 1)), '') AS journal,
-    list_extract(regexp_extract_all(reference, '(?:^|[^\d.])(\d+[-–]\d+)(?:\D|$)', 1), -1) AS pages
+    list_extract(regexp_extract_all(regexp_replace(reference, '(?i)doi.*$', ''), '(?:^|[^\d.])(\d+[-–]\d+)(?:\D|$)', 1), -1) AS pages,
+    nullif(regexp_replace(regexp_extract(reference, '(?i)(?:doi:\s*|doi\.org/)(10\.\d{4,9}/[^\s,;]+)', 1), '[.)]+$', ''), '') AS doi,
+    list_filter(list_transform(regexp_extract_all(regexp_replace(regexp_extract(reference, '^(.*?)\((?:19|20)\d\d', 1), '(?:\band\b|&)', ',', 'g'), '(\p{L}[\p{L}'' -]*,\s*(?:\p{Lu}\.\s?-?)+)', 1), lambda n: trim(n)), lambda n: n <> '' AND lower(n) <> 'and') AS named
+"""
+REFERENCES_READ_SQL = views.REFERENCES_SQL + f"""
+    , reads AS (
+        SELECT *, array_to_string(list_filter(named, lambda n, i: list_position(list_transform(named, lambda x: lower(x)), lower(n)) = i), ' and ') AS authors, named[1] AS first_author
+        FROM (SELECT result_id, position, {REFERENCE_FIELDS_SQL} FROM reference_lines)
+    )
 """
 
 
-@query("WITH " + views.REFERENCES_SQL + f"SELECT result_id, position, {REFERENCE_FIELDS_SQL} FROM reference_lines")
+@query("WITH " + REFERENCES_READ_SQL + "SELECT result_id, position, year, title, journal, pages, doi, authors FROM reads")
 def reference_fields(spark, folder):
     r = views.reference_lines(spark, folder).withColumn("p", references.parsed("reference"))
-    return r.select("result_id", "position", "p.year", "p.title", "p.journal", "p.pages")
+    return r.select("result_id", "position", "p.year", "p.title", "p.journal", "p.pages", "p.doi", F.array_join("p.authors", " and ").alias("authors"))
 
 
-@query()
+_SKIPPED_SQL = "[" + ", ".join(f"'{w}'" for w in references.SKIPPED_WORDS) + "]"
+_BIBTEX_VALUE_SQL = r"'{' || replace(replace(regexp_replace(trim({v}), '\s*[\r\n]+\s*', ' ', 'g'), '%', '\%'), '&', '\&') || '}'"
+
+
+def _bibtex_field_sql(name: str, value: str) -> str:
+    return f"CASE WHEN {value} IS NOT NULL THEN '  {name} = ' || " + _BIBTEX_VALUE_SQL.replace("{v}", value) + " END"
+
+
+@query("WITH " + REFERENCES_READ_SQL + rf"""
+    SELECT result_id, position, key, authors,
+           CASE WHEN journal IS NOT NULL THEN '@article{{' ELSE '@misc{{' END || key || ',' || chr(10) || concat_ws(',' || chr(10), {_bibtex_field_sql('author', "nullif(authors, '')")}, {_bibtex_field_sql('title', 'title')},
+               {_bibtex_field_sql('year', 'CAST(year AS VARCHAR)')}, {_bibtex_field_sql('journal', 'journal')}, {_bibtex_field_sql('pages', 'pages')}, {_bibtex_field_sql('doi', 'doi')}) || chr(10) || '}}' AS entry
+    FROM (SELECT *, coalesce(nullif(regexp_replace(lower(split_part(first_author, ',', 1)), '[^a-z]', '', 'g'), ''), 'unknown') || coalesce(CAST(year AS VARCHAR), '') ||
+                 coalesce(list_filter(list_transform(regexp_split_to_array(lower(title), '[^a-z0-9]+'), lambda w: regexp_replace(w, '[^a-z]', '', 'g')), lambda w: w <> '' AND NOT list_contains({_SKIPPED_SQL}, w))[1], '') AS key FROM reads)""")
 def bibtex_entries(spark, folder):
     r = views.reference_lines(spark, folder).withColumn("p", references.parsed("reference"))
     key = references.citation_key(F.col("p.authors"), F.col("p.year"), F.col("p.title"))
@@ -452,18 +474,25 @@ def exact_copies(spark, folder):
     return corpus.exact_copies(table(spark, folder, "documents"))
 
 
-@query("SELECT source, string_agg(left(coalesce(text, ''), 100), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id) AS joined FROM documents GROUP BY source")
+PAPER_GROUPS_SQL = """
+    SELECT coalesce(paper_id, 'doc ' || doc_id) AS paper, string_agg({text}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id, {text}) AS joined
+    FROM documents GROUP BY 1"""
+
+
+def _by_paper(spark, folder) -> DataFrame:
+    # Papers bound the groups; a document of no paper is a group of its own.
+    return table(spark, folder, "documents").withColumn("paper", F.coalesce("paper_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string"))))
+
+
+@query(PAPER_GROUPS_SQL.format(text=f"left(coalesce(text, ''), {prompts.SCHEMA_PREFIX})"))
 def abstract_concat(spark, folder):
-    return corpus.joined_texts(table(spark, folder, "documents"), "source", "doc_id", "text", prefix=100)
+    # The beginnings that the prompt for a schema takes of each text.
+    return corpus.joined_texts(_by_paper(spark, folder), "paper", "doc_id", "text", prefix=prompts.SCHEMA_PREFIX)
 
 
-@query("""
-    SELECT coalesce(paper_id, 'doc ' || doc_id) AS paper, string_agg(coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id, coalesce(text, '')) AS joined
-    FROM documents GROUP BY 1""")
+@query(PAPER_GROUPS_SQL.format(text="coalesce(text, '')"))
 def paper_concat(spark, folder):
-    # Whole texts. Papers bound the groups; a document of no paper is a group of its own.
-    paper = F.coalesce("paper_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string")))
-    return corpus.joined_texts(table(spark, folder, "documents").withColumn("paper", paper), "paper", "doc_id", "text")
+    return corpus.joined_texts(_by_paper(spark, folder), "paper", "doc_id", "text")
 
 
 @query(r"""
@@ -482,20 +511,51 @@ def event_windows(spark, folder):
     return counts_by_window(table(spark, folder, "events")).withColumn("total", F.round("total", 4))
 
 
-# Reports and model calls: rows only, checked in the tests.
+# Reports and model calls.
 
 
-@query()
+def _escaped_sql(column: str) -> str:
+    return _replaced_sql(f"coalesce({column}, '')", latex.ESCAPES)
+
+
+def _kept_math_sql(column: str) -> str:
+    return rf"""array_to_string(list_transform(regexp_extract_all(regexp_replace(coalesce({column}, ''), '\$(\d)', '\\$\1', 'g'), '(?s)(\$\$[^$]+\$\$|\$[^$]+\$|[^$]+|\$)'),
+        lambda p: CASE WHEN starts_with(p, '$') AND length(p) > 2 THEN p ELSE {_replaced_sql('p', latex.OUTSIDE_MATH)} END), '')"""
+
+
+def _cut_sql(column: str, n: int) -> str:
+    """truncate_words: cut at the last space of the second half."""
+    cut = f"left({column}, {n})"
+    space = f"CASE WHEN contains({cut}, ' ') THEN {n} - strpos(reverse({cut}), ' ') ELSE -1 END"
+    return rf"""CASE WHEN length({column}) <= {n} THEN {column} ELSE regexp_replace(CASE WHEN {space} > {n // 2} THEN left({cut}, {space}) ELSE {cut} END, '[\s\p{{Z}}]+$', '') || '...' END"""
+
+
+@query(rf"""
+    SELECT row_id, concat_ws(chr(10) || chr(10),
+        '\section{{' || {_cut_sql("escaped_title", 60)} || '}}' || chr(10) || '\textit{{' || {_escaped_sql("authors")} || '}} (' || {_escaped_sql("year")} || ') \hfill \textsc{{\small ' || {_escaped_sql("paper_type")} || '}}',
+        CASE WHEN golden_quote <> '' THEN '\begin{{quote}}\itshape ``' || {_escaped_sql("golden_quote")} || chr(39) || chr(39) || '\end{{quote}}' END,
+        '\textbf{{Context.}} ' || {_escaped_sql("context")}, CASE WHEN prior_work <> '' THEN '\textbf{{Prior Work.}} ' || {_escaped_sql("prior_work")} END, '\textbf{{Method.}} ' || {_kept_math_sql("method")},
+        CASE WHEN key_equations <> '' THEN '\textbf{{Key Equation.}} ' || key_equations || CASE WHEN notation <> '' THEN chr(10) || chr(10) || '\textit{{where ' || {_kept_math_sql("notation")} || '}}' ELSE '' END END,
+        '\textbf{{Results.}} ' || {_kept_math_sql("results")}, CASE WHEN limitations <> '' THEN '\textbf{{Limitations.}} ' || {_escaped_sql("limitations")} END, '\newpage') AS section
+    FROM (SELECT *, {_escaped_sql("title")} AS escaped_title
+          FROM (SELECT row_id, title, 'Author & Co ' || row_id AS authors, '1997' AS year, 'EMPIRICAL' AS paper_type, benchmark_task AS context, methodology AS method, effect_size AS results, notes AS golden_quote,
+                       model_variant AS prior_work, CASE WHEN row_id % 3 = 0 THEN 'y = $x_1$' END AS key_equations, CASE WHEN row_id % 2 = 0 THEN '$x_1$ & 5%' END AS notation, training_compute AS limitations FROM matrix))""")
 def report_sections(spark, folder):
-    m = F.col("m")
-    rows = views.papers(spark, folder).withColumn("m", leading_metadata("content")).select(
-        "paper_id", F.coalesce(m["title"], F.lit("Untitled Paper")).alias("title"), text.short_title(F.coalesce(m["title"], F.lit("Untitled Paper"))).alias("short_title"), F.coalesce(m["authors"], F.lit("Unknown")).alias("authors"),
-        F.coalesce(m["year"], F.lit("n.d.")).alias("year"), F.lit("EMPIRICAL").alias("paper_type"), F.col("text").alias("context"), F.col("flat").alias("method"), F.col("flat").alias("results"),
+    n = F.col("row_id")
+    rows = table(spark, folder, "matrix").select(
+        "row_id", "title", F.concat(F.lit("Author & Co "), n.cast("string")).alias("authors"), F.lit("1997").alias("year"), F.lit("EMPIRICAL").alias("paper_type"), F.col("benchmark_task").alias("context"),
+        F.col("methodology").alias("method"), F.col("effect_size").alias("results"), F.col("notes").alias("golden_quote"), F.col("model_variant").alias("prior_work"),
+        F.when(n % 3 == 0, F.lit("y = $x_1$")).alias("key_equations"), F.when(n % 2 == 0, F.lit("$x_1$ & 5%")).alias("notation"), F.col("training_compute").alias("limitations"),
     )
-    return rows.select("paper_id", reports.paper_section(rows.columns).alias("section"))
+    return rows.select("row_id", reports.paper_section(rows.columns).alias("section"))
 
 
-@query()
+@query("WITH " + views.ASSIGNMENTS_SQL + rf"""
+    SELECT paper_id, c_nationkey, ordinal,
+           CASE WHEN lag(category) OVER w IS DISTINCT FROM category THEN '\rowcolor{{categoryblue}}' || chr(10) || '\multicolumn{{4}}{{|l|}}{{\textbf{{\textcolor{{headerblue}}{{' || {_escaped_sql("category")} || '}}}}}} \\' || chr(10) || '\hline' || chr(10) ELSE '' END ||
+           CASE WHEN ordinal % 2 = 1 THEN '\rowcolor{{rowgray}}' || chr(10) ELSE '' END || '\textbf{{Author \& Co ' || paper_id || '}} (1997) says 50\% more &' || chr(10) || 'a\_b &' || chr(10) || '$x_1$ \& 5\% &' || chr(10) || '\$5 \& up \\' || chr(10) || '\hline' AS row
+    FROM (SELECT *, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY category_order, paper_order, paper_id) AS INTEGER) AS ordinal FROM assigned)
+    WINDOW w AS (PARTITION BY c_nationkey ORDER BY ordinal)""")
 def appendix_rows(spark, folder):
     headed = categories.headings(categories.assign(*views.assignments(spark, folder)), "paper_id", "c_nationkey")
     rows = headed.withColumns({"authors": F.concat(F.lit("Author & Co "), F.col("paper_id").cast("string")), "year": F.lit("1997"), "condensed_says": F.lit("50% more"), "condensed_theory_data": F.lit("a_b"), "condensed_estimation": F.lit("$x_1$ & 5%"), "condensed_result": F.lit("$5 & up")})
@@ -508,8 +568,66 @@ def chapter_fold(spark, folder):
     return models.fold(chapters.texts(pages, chapters.detect(pages)), models.EchoClient)
 
 
-@query()
+_PLAN_LEAD_SQL = prompts.PLAN_LEAD.replace("'", "''")
+
+
+@query("WITH " + views.PAPERS_SQL + rf"""
+    SELECT paper_id, CASE WHEN prompt IS NOT NULL THEN left(list_extract(string_split(regexp_replace(prompt, '[\s\x0b\x1c-\x1f\x85\p{{Z}}]+$', ''), chr(10)), -1), 60) END AS main_thesis, left(sha256(prompt), 12) AS prompt_hash, NULL AS error
+    FROM (SELECT paper_id, '{_PLAN_LEAD_SQL}' || left(content, {prompts.PLAN_PREFIX}) AS prompt FROM papers)""")
 def model_answers(spark, folder):
     rows = views.papers(spark, folder).select("paper_id", prompts.plan_prompt("content").alias("prompt"))
     answered = models.call(rows, "prompt", models.EchoClient)
     return models.parsed(answered, "answer", "main_thesis string, prompt_hash string, key_terms array<string>", "read").select("paper_id", "read.main_thesis", "read.prompt_hash", "error")
+
+
+# Smaller operators.
+
+
+@query("""
+    SELECT CAST(sum(CASE WHEN s IN ('ingested', 'extracted') THEN 1 ELSE 0 END) AS BIGINT) AS done, CAST(sum(CASE WHEN s IN ('failed', 'error') THEN 1 ELSE 0 END) AS BIGINT) AS failed
+    FROM (SELECT coalesce(nullif(lower(trim(status)), ''), 'pending') AS s FROM inventory)""")
+def inventory_tallies(spark, folder):
+    return inventory.tallies(table(spark, folder, "inventory").withColumn("status", inventory.clean_status("status")))
+
+
+@query("""
+    WITH chosen AS (SELECT id, max(review) AS review FROM inventory WHERE coalesce(nullif(lower(trim(status)), ''), 'pending') = 'extracted' AND id IS NOT NULL GROUP BY id),
+    texts AS (SELECT paper_id AS id, arg_max(markdown, result_id) AS markdown FROM ingest_results WHERE markdown IS NOT NULL AND paper_id IS NOT NULL GROUP BY 1),
+    parts AS (SELECT paper_id AS id, CAST(sum(len(tables)) AS BIGINT) AS n_tables FROM ingest_results WHERE len(tables) > 0 AND paper_id IS NOT NULL GROUP BY 1)
+    SELECT id, review, markdown, CAST(coalesce(n_tables, 0) AS BIGINT) AS n_tables, CAST(0 AS INTEGER) AS n_figures FROM chosen JOIN texts USING (id) LEFT JOIN parts USING (id)""")
+def papers_with_parts(spark, folder):
+    clean = table(spark, folder, "inventory").withColumn("status", inventory.clean_status("status")).where("id is not null")
+    chosen = inventory.with_status(clean, "extracted").groupBy("id").agg(F.max("review").alias("review"))
+    ingested = table(spark, folder, "ingest_results").where("paper_id is not null").withColumnRenamed("paper_id", "id")
+    texts = ingested.where("markdown is not null").groupBy("id").agg(F.max_by("markdown", "result_id").alias("markdown"))
+    parts = ingested.where("size(tables) > 0").groupBy("id").agg(F.array(F.sum(F.size("tables"))).alias("tables"))
+    none = parts.limit(0).withColumnRenamed("tables", "figures")
+    found = documents.with_parts(chosen, texts, parts, none)
+    return found.select("id", "review", "markdown", F.coalesce(F.get("tables", F.lit(0)), F.lit(0)).cast("bigint").alias("n_tables"), F.size("figures").alias("n_figures"))
+
+
+@query(r"""
+    SELECT result_id, coalesce(nullif(title, ''), CASE WHEN starts_with(line, '#') THEN regexp_replace(regexp_replace(regexp_replace(line, '^#+', ''), '^[\s\x0b\x1c-\x1f\x85\p{Z}]+', ''), '[\s\x0b\x1c-\x1f\x85\p{Z}]+$', '') END) AS document_title,
+           coalesce(nullif(regexp_replace(regexp_replace(left(line, 100), '^[\s\x0b\x1c-\x1f\x85\p{Z}]+', ''), '[\s\x0b\x1c-\x1f\x85\p{Z}]+$', ''), ''), 'text ' || result_id) AS book_title
+    FROM (SELECT *, split_part(markdown, chr(10), 1) AS line FROM ingest_results)""")
+def document_titles(spark, folder):
+    rows = table(spark, folder, "ingest_results")
+    return rows.select("result_id", text.document_title("title", "markdown").alias("document_title"), text.book_title("markdown", F.concat(F.lit("text "), F.col("result_id").cast("string"))).alias("book_title"))
+
+
+@query(r"""
+    SELECT row_id, lpad(CAST(row_id % 100 AS VARCHAR), 2, '0') || '_' || regexp_replace(left(replace(lower(title), ' ', '_'), 40), '[<>:"|?*/\\]', '_', 'g') || '.txt' AS filename FROM matrix""")
+def chapter_filenames(spark, folder):
+    return table(spark, folder, "matrix").select("row_id", identifiers.chapter_filename(F.col("row_id") % 100, "title").alias("filename"))
+
+
+_CUT_200_SQL = "CASE WHEN length(thesis) <= 205 THEN thesis ELSE CASE WHEN contains(left(thesis, 197), ' ') THEN left(thesis, 197 - strpos(reverse(left(thesis, 197)), ' ')) ELSE left(thesis, 197) END || '...' END"
+
+
+@query(rf"""
+    SELECT row_id, '\noindent\textbf{{' || number || '. ' || {_escaped_sql("title")} || '}} \hfill \textit{{p.\,' || (number + 2) || '}}\\' || chr(10) || '{{\small ' || {_CUT_200_SQL} || '}}' AS line, array_to_string([benchmark_task, methodology, model_variant], ', ') AS key_terms
+    FROM (SELECT *, row_id % 40 + 1 AS number, {_escaped_sql("notes || ' ' || title || ' ' || methodology || ' ' || title || ' ' || title")} AS thesis FROM matrix)""")
+def contents_lines(spark, folder):
+    rows = table(spark, folder, "matrix").withColumns({"number": F.col("row_id") % 40 + 1, "ordinal": F.col("row_id") % 40 + 1})
+    thesis = F.concat("notes", F.lit(" "), "title", F.lit(" "), "methodology", F.lit(" "), "title", F.lit(" "), "title")
+    return rows.withColumn("main_thesis", thesis).select("row_id", reports.contents_line().alias("line"), F.array_join(F.array("benchmark_task", "methodology", "model_variant"), ", ").alias("key_terms"))

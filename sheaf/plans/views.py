@@ -1,12 +1,12 @@
 """Views that give the tables the shapes the operators are for, in Spark and in SQL.
 
 Documents are spliced with front matter by doc_id, so that every layout that the metadata rules know
-occurs; documents of a source become the pages of a book, some with chapter headings.
+occurs; paragraphs of an ingested text become the pages of a book, some with chapter headings.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.session import table
@@ -19,10 +19,10 @@ PAPERS_SQL = """
                CASE doc_id % 6
                     WHEN 0 THEN text
                     WHEN 1 THEN '## ' || left(flat, 60) || chr(10) || name || chr(10) || 'Working Paper No. ' || doc_id || ', January ' || (1975 + doc_id % 60) || chr(10) || text
-                    WHEN 2 THEN left(flat, 50) || ' David Card and Alan Krueger NBER Working Paper No. 5888 January 1997'
+                    WHEN 2 THEN left(flat, 50) || ' David Card and Alan Krueger NBER Working Paper No. 5888 January 1997' || chr(10) || text
                     WHEN 3 THEN '## NBER WORKING PAPER SERIES' || chr(10) || '## ' || left(flat, 60) || chr(10) || chr(10) || name || chr(10) || 'January ' || (1975 + doc_id % 60) || chr(10) || text
                     WHEN 4 THEN repeat('/G31', 150) || text
-                    ELSE left(text, 60)
+                    ELSE '# ' || text
                END AS content
         FROM (SELECT doc_id, text, replace(replace(text, chr(13), ' '), chr(10), ' ') AS flat,
                      CASE doc_id % 4 WHEN 0 THEN 'Joshua Angrist and Victor Lavy' WHEN 1 THEN 'David Card, Alan Krueger' WHEN 2 THEN 'Amy Finkelstein' ELSE 'Janet Currie and Rebecca Dahl' END AS name
@@ -41,37 +41,39 @@ def papers(spark: SparkSession, folder: str) -> DataFrame:
     content = (
         F.when(F.col("doc_id") % 6 == 0, text)
         .when(F.col("doc_id") % 6 == 1, F.concat(F.lit("## "), F.left(flat, F.lit(60)), F.lit("\n"), name, F.lit("\nWorking Paper No. "), n, F.lit(", January "), year, F.lit("\n"), text))
-        .when(F.col("doc_id") % 6 == 2, F.concat(F.left(flat, F.lit(50)), F.lit(" David Card and Alan Krueger NBER Working Paper No. 5888 January 1997")))
+        .when(F.col("doc_id") % 6 == 2, F.concat(F.left(flat, F.lit(50)), F.lit(" David Card and Alan Krueger NBER Working Paper No. 5888 January 1997\n"), text))
         .when(F.col("doc_id") % 6 == 3, F.concat(F.lit("## NBER WORKING PAPER SERIES\n## "), F.left(flat, F.lit(60)), F.lit("\n\n"), name, F.lit("\nJanuary "), year, F.lit("\n"), text))
         .when(F.col("doc_id") % 6 == 4, F.concat(F.lit("/G31" * 150), text))
-        .otherwise(F.left(text, F.lit(60)))
+        .otherwise(F.concat(F.lit("# "), text))
     )
     return table(spark, folder, "documents").select(F.col("doc_id").alias("paper_id"), "text", flat.alias("flat"), content.alias("content"))
 
 
 PAGES_SQL = """
     pages AS (
-        SELECT source AS book_id, page_no,
+        SELECT book_id, page_no,
                CASE page_no % 9
-                    WHEN 2 THEN page_no || chr(10) || 'Methods, Data and Results' || chr(10) || coalesce(text, '')
-                    WHEN 5 THEN 'Chapter ' || page_no || ': The Long Run of ' || source || chr(10) || coalesce(text, '')
-                    WHEN 7 THEN page_no || chr(10) || 'Part Two' || chr(10) || coalesce(text, '')
+                    WHEN 2 THEN page_no || chr(10) || 'Methods, Data and Results' || chr(10) || text
+                    WHEN 5 THEN 'Chapter ' || page_no || ': The Long Run of ' || book_id || chr(10) || text
+                    WHEN 7 THEN page_no || chr(10) || 'Part Two' || chr(10) || text
                     ELSE text
                END AS text
-        FROM (SELECT source, text, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS page_no FROM documents WHERE source IS NOT NULL)
+        FROM (SELECT result_id AS book_id, unnest(parts) AS text, CAST(unnest(range(1, len(parts) + 1)) AS INTEGER) AS page_no
+              FROM (SELECT result_id, string_split(markdown, chr(10) || chr(10)) AS parts FROM ingest_results WHERE markdown IS NOT NULL))
     )
 """
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    """book_id, page_no, text."""
-    numbered = table(spark, folder, "documents").where("source is not null").select(F.col("source").alias("book_id"), "text", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("page_no"))
-    n, body = F.col("page_no").cast("string"), F.coalesce("text", F.lit(""))
+    """book_id, page_no, text: the paragraphs of an ingested text as the pages of a book. Their numbers come from the
+    text, so books are no larger than texts and no window numbers them."""
+    numbered = table(spark, folder, "ingest_results").where("markdown is not null").select(F.col("result_id").alias("book_id"), F.posexplode(F.split("markdown", "\n\n")).alias("at", "body")).withColumn("page_no", F.col("at") + 1)
+    n, body = F.col("page_no").cast("string"), F.col("body")
     text = (
         F.when(F.col("page_no") % 9 == 2, F.concat(n, F.lit("\nMethods, Data and Results\n"), body))
-        .when(F.col("page_no") % 9 == 5, F.concat(F.lit("Chapter "), n, F.lit(": The Long Run of "), F.col("book_id"), F.lit("\n"), body))
+        .when(F.col("page_no") % 9 == 5, F.concat(F.lit("Chapter "), n, F.lit(": The Long Run of "), F.col("book_id").cast("string"), F.lit("\n"), body))
         .when(F.col("page_no") % 9 == 7, F.concat(n, F.lit("\nPart Two\n"), body))
-        .otherwise(F.col("text"))
+        .otherwise(body)
     )
     return numbered.select("book_id", "page_no", text.alias("text"))
 
@@ -148,15 +150,29 @@ def identifiers(spark: SparkSession, folder: str) -> DataFrame:
 
 REFERENCES_SQL = r"""
     reference_lines AS (
-        SELECT result_id, position, trim(line) AS reference
-        FROM (SELECT result_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS position
-              FROM (SELECT result_id, string_split(markdown, chr(10)) AS lines FROM ingest_results WHERE markdown IS NOT NULL))
-        WHERE regexp_matches(trim(line), '\((19|20)\d\d\)\. .*, \d+-\d+\.\z')
+        SELECT result_id, position,
+               CASE (result_id + position) % 4
+                    WHEN 0 THEN line || ' doi:10.1257/aer.' || result_id || '.' || position || '.'
+                    WHEN 1 THEN regexp_replace(line, '^(.*\((?:19|20)\d\d[a-z]?\)\. [^.?!]+[.?!]).*$', '\1')
+                    ELSE line
+               END AS reference
+        FROM (SELECT result_id, position, trim(line) AS line
+              FROM (SELECT result_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS position
+                    FROM (SELECT result_id, string_split(markdown, chr(10)) AS lines FROM ingest_results WHERE markdown IS NOT NULL)))
+        WHERE regexp_matches(line, '\((19|20)\d\d[a-z]?\)\. ')
     )
 """
 
 
 def reference_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """result_id, position, reference: the lines of ingested texts that are entries of a list of references."""
+    """result_id, position, reference: the lines of ingested texts with a year as in a list of references; a quarter of
+    them with a DOI, a quarter without journal and pages, so that all kinds of entries occur."""
     lines = table(spark, folder, "ingest_results").where("markdown is not null").select("result_id", F.posexplode(F.split("markdown", "\n")).alias("at", "line"))
-    return lines.select("result_id", (F.col("at") + 1).alias("position"), F.trim("line").alias("reference")).where(F.col("reference").rlike(r"\((19|20)\d\d\)\. .*, \d+-\d+\.\z"))
+    cited = lines.select("result_id", (F.col("at") + 1).alias("position"), F.trim("line").alias("line")).where(F.col("line").rlike(r"\((19|20)\d\d[a-z]?\)\. "))
+    turn = (F.col("result_id") + F.col("position")) % 4
+    reference = (
+        F.when(turn == 0, F.concat("line", F.lit(" doi:10.1257/aer."), F.col("result_id").cast("string"), F.lit("."), F.col("position").cast("string"), F.lit(".")))
+        .when(turn == 1, F.regexp_replace("line", r"^(.*\((?:19|20)\d\d[a-z]?\)\. [^.?!]+[.?!]).*$", "$1"))
+        .otherwise(F.col("line"))
+    )
+    return cited.select("result_id", "position", reference.alias("reference"))
