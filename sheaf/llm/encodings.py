@@ -3,10 +3,10 @@
 A latent chain of wrong decodings lies behind each line: none, or one or more steps, each of them "bytes of
 A read as B". Every chain that can be undone on a line is a candidate; its weight is how much more
 probable the undone text is than the text as it stands, by the pairs of neighbouring characters in the
-corpus, times how often the chain occurs in the line's source. Expectation-maximization estimates these
-shares: lines are weighed by the present shares, the shares are summed from the weights, and again. So
-what is certain on many lines of a source decides its doubtful ones. Each line then takes its most
-probable chain.
+corpus, times how often the chain occurs in the line's pool, its source and field. Expectation-maximization
+estimates these shares: lines are weighed by the present shares, the shares are summed from the weights,
+and again. So what is certain on many lines of a pool decides its doubtful ones. Each line then takes its
+most probable chain.
 
 A line with a replacement character, or with one left after undoing, is lost. Null and empty texts have
 no cases; lines are read whole; a result_id given twice gives its rows twice. Codes of unreadable fonts
@@ -31,14 +31,17 @@ from sheaf.session import batched, settle
 UTF8_READ_AS = ("cp1252", "cp1250", "cp1251", "mac_roman", "cp437", "cp850")
 #: Steps that read the bytes of one single-byte encoding as another: (written as, read as).
 SINGLE_BYTE = (("cp1251", "cp1252"), ("koi8_r", "cp1251"), ("cp1251", "koi8_r"), ("koi8_r", "cp1252"), ("cp866", "cp1251"))
-MOST_STEPS = 4
+MOST_STEPS = 8
 #: Character pairs rarer than this share of all pairs count as unseen; at most 1 / RAREST pairs remain.
 RAREST = 1e-6
 ROUNDS = 6
 #: Log weight that a character costs in each of its pairs if no line that the pairs are counted on has it.
 STRANGE = 10.0
-#: Sources with a share of their own; more of them share by hash.
-SOURCES = 64
+#: Pools (a source and field) with shares of their own, those with most suspect lines; the lines of all others are one pool.
+#: What comes to the driver is as large as pools times chains.
+POOLS = 1_000
+#: Half a line for every chain keeps those possible that a pool hasn't shown.
+UNSHOWN = 0.5
 #: Weight of a character that a whole-line chain would have changed but left.
 LEFT_OUT = {"cp1252": 0.5, "cp1250": 0.5, "cp1251": 8.0}
 
@@ -229,7 +232,8 @@ def _steps(text: str, model: Pairs) -> Iterator[tuple[str, str, float]]:
 def candidates(line: str, model: Pairs) -> list[tuple[str, float, str]]:
     """(chain, log weight against the line as it stands, undone text) of the chains that can be undone.
 
-    Behind the first step a further one is followed only from where the last left the text more probable.
+    Behind the first step a further one is followed only from where the last left the text more probable, and of a
+    round's texts only from the two best; MOST_STEPS bounds the rounds.
     """
     if line.isascii():
         return []
@@ -280,8 +284,9 @@ def _sifted(texts: DataFrame, key: str, text: str, source: str) -> DataFrame:
             frame = pd.DataFrame(rows, columns=[key, "line_no", "source", "content", "n"])
             yield frame.astype({key: "Int64", "line_no": "Int32", "n": "int64"})
 
-    named = texts.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(key, text, F.pmod(F.xxhash64(F.col(source).cast("string")), F.lit(SOURCES)).cast("int").alias("_source"))
-    return named.mapInPandas(sift, f"{key} bigint, line_no int, source int, content string, n bigint")
+    pool = F.concat_ws("/", F.lit(text), F.coalesce(F.col(source).cast("string"), F.lit("")))
+    named = texts.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(key, text, pool.alias("_source"))
+    return named.mapInPandas(sift, f"{key} bigint, line_no int, source string, content string, n bigint")
 
 
 @batched("map<string,bigint>")
@@ -307,7 +312,7 @@ def _weighed(suspect: DataFrame, known: dict[str, int], key: str) -> DataFrame:
 
     # Suspect lines are few but unevenly spread.
     spread = suspect.repartition(key, "line_no")
-    return spread.mapInPandas(weigh, f"{key} bigint, line_no int, source int, content string, candidates array<struct<chain:string,weight:double,text:string>>")
+    return spread.mapInPandas(weigh, f"{key} bigint, line_no int, source string, content string, candidates array<struct<chain:string,weight:double,text:string>>")
 
 
 def repairs(texts: DataFrame, key: str = "result_id", text: str = "markdown", source: str = "engine") -> DataFrame:
@@ -320,50 +325,82 @@ def repairs(texts: DataFrame, key: str = "result_id", text: str = "markdown", so
     cleared = first.select(_pair_counts("content").alias("m")).select(F.explode("m").alias("content", "n")).groupBy("content").agg(F.sum("n").alias("n"))
     clean = counts.unionByName(cleared).groupBy("content").agg(F.sum("n").alias("n"))
     weighed = settle(_weighed(suspect.drop("n"), _known(clean), key))
-    shares = _shares(weighed)
-    prior = _prior(shares)
-    scored = F.transform("candidates", lambda c: F.struct((c["weight"] + prior(c["chain"])).alias("score"), c["text"].alias("text")))
-    best = weighed.withColumn("best", F.try_element_at(F.sort_array(scored, asc=False), F.lit(1)))
-    undone = F.when(F.col("best.score") > prior(F.lit("")), F.col("best.text"))
-    found = best.withColumn("repaired", undone).where(F.col("repaired").isNotNull() | F.col("content").contains("�"))
-    after = F.coalesce("repaired", "content")
-    outcome = F.when(after.rlike(_LOST.pattern), "lost").otherwise("restored")
-    return found.select(key, "line_no", outcome.alias("outcome"), after.alias("repaired"))
+    shared = texts.sparkSession.sparkContext.broadcast(estimated(weighed))
 
-
-def _shares(weighed: DataFrame) -> dict[tuple[int, str], float]:
-    """Expectation-maximization of the share of each chain ('' for none) in each source.
-
-    The weights of a round are summed in the cluster; only the shares, sources times chains, come back.
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for i, number, pool, line, found in zip(batch[key], batch["line_no"], batch["source"], batch["content"], batch["candidates"]):
+                # Among equal scores the last text in code-point order stays.
+                best, undone = max(((c["weight"] + shared.value.log(pool, c["chain"]), c["text"]) for c in found), default=(-math.inf, None))
+                if best <= shared.value.log(pool, ""):
+                    undone = None
+                if undone is not None or "\ufffd" in line:
+                    after = line if undone is None else undone
+                    rows.append((i, number, "lost" if _LOST.search(after) else "restored", after))
+            yield pd.DataFrame(rows, columns=[key, "line_no", "outcome", "repaired"]).astype({key: "int64", "line_no": "int32"})
+
+    return weighed.mapInPandas(decide, f"{key} bigint, line_no int, outcome string, repaired string")
+
+
+class Shares:
+    """The share of each chain ('' for none) among a pool's suspect lines."""
+
+    def __init__(self, chains: list[str], pools: list[str], sums: dict[tuple[str | None, str], float] | None = None):
+        """sums: (pool, chain) -> lines; None before the first round, when no chain is half as likely as all others."""
+        self.chains, self.pools = chains, frozenset(pools)
+        self.logs: dict[tuple[str | None, str], float] = {}
+        # A pool is None if it has no shares of its own.
+        for pool in (*pools, None):
+            if sums is None:
+                lines = {"": 0.5} | dict.fromkeys(chains, 0.5 / max(1, len(chains)))
+                total = 1.0
+            else:
+                lines = {c: sums.get((pool, c), 0.0) + UNSHOWN for c in ("", *chains)}
+                total = sum(lines.values())
+            self.logs.update({(pool, c): math.log(n / total) for c, n in lines.items()})
+
+    def pool(self, name: str) -> str | None:
+        return name if name in self.pools else None
+
+    def log(self, name: str, chain: str) -> float:
+        return self.logs[self.pool(name), chain]
+
+    def posterior(self, name: str, candidates: list[tuple[str, float]]) -> list[tuple[str, float]]:
+        """(chain, probability) of no chain and of each candidate (chain, weight)."""
+        logs = [("", self.log(name, "")), *((c, w + self.log(name, c)) for c, w in candidates)]
+        top = max(x for _, x in logs)
+        each = [(c, math.exp(x - top)) for c, x in logs]
+        total = sum(x for _, x in each)
+        return [(c, x / total) for c, x in each]
+
+
+def estimated(weighed: DataFrame, rounds: int = ROUNDS) -> Shares:
+    """Expectation-maximization of the shares of the chains in each pool.
+
+    A round weighs every line by the present shares and sums the weights in the cluster, first within a
+    batch; only the sums, pools times chains, come back.
     """
-    chains = [r[0] for r in weighed.select(F.explode("candidates.chain").alias("c")).groupBy("c").count().orderBy(F.desc("count"), "c").select("c").collect()]
-    sources = [r[0] for r in weighed.select("source").distinct().collect()]
-    shares = {(s, c): (0.5 if c == "" else 0.5 / max(1, len(chains))) for s in sources for c in ["", *chains]}
-    for _ in range(ROUNDS):
-        prior = _prior(shares)
-        whole = F.concat(F.array(F.struct(F.lit("").alias("chain"), F.lit(0.0).alias("weight"))), F.transform("candidates", lambda c: F.struct(c["chain"].alias("chain"), c["weight"].alias("weight"))))
-        logs = weighed.select("source", F.transform(whole, lambda c: F.struct(c["chain"].alias("chain"), (c["weight"] + prior(c["chain"])).alias("log"))).alias("logs"))
-        top = logs.withColumn("top", F.array_max(F.transform("logs", lambda c: c["log"])))
-        each = top.select("source", F.explode("logs").alias("c"), "top", F.aggregate("logs", F.lit(0.0), lambda a, c: a + F.exp(c["log"] - F.col("top"))).alias("sum"))
-        summed = each.groupBy("source", F.col("c.chain").alias("chain")).agg(F.sum(F.exp(F.col("c.log") - F.col("top")) / F.col("sum")).alias("w")).collect()
-        totals: Counter = Counter()
-        for r in summed:
-            totals[r["source"]] += r["w"]
-        # Half a line for every chain keeps rare ones possible.
-        shares = {k: 0.5 / (totals[k[0]] + 0.5 * (len(chains) + 1)) for k in shares}
-        for r in summed:
-            shares[r["source"], r["chain"]] += r["w"] / (totals[r["source"]] + 0.5 * (len(chains) + 1))
+    chains = sorted(r[0] for r in weighed.select(F.explode("candidates.chain").alias("c")).distinct().collect())
+    pools = [r[0] for r in weighed.groupBy("source").count().orderBy(F.desc("count"), "source").limit(POOLS).collect()]
+    shares = Shares(chains, pools)
+    lines = weighed.select("source", F.col("candidates.chain").alias("chains"), F.col("candidates.weight").alias("weights"))
+    for _ in range(rounds):
+        shared = weighed.sparkSession.sparkContext.broadcast(shares)
+
+        def weigh(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                sums: Counter = Counter()
+                for name, of, weights in zip(batch["source"], batch["chains"], batch["weights"]):
+                    for chain, p in shared.value.posterior(name, list(zip(of, weights))):
+                        sums[shared.value.pool(name), chain] += p
+                yield pd.DataFrame([(*k, n) for k, n in sums.items()], columns=["source", "chain", "n"])
+
+        summed = lines.mapInPandas(weigh, "source string, chain string, n double").groupBy("source", "chain").agg(F.sum("n").alias("n"))
+        shares = Shares(chains, pools, {(r["source"], r["chain"]): r["n"] for r in summed.collect()})
     return shares
 
 
-def _prior(shares: dict[tuple[int, str], float]):
-    """Column of the log share of a chain in a row's source."""
-    if not shares:
-        return lambda chain: F.lit(0.0)
-    table = F.create_map(*(F.lit(x) for (s, c), p in sorted(shares.items()) for x in (f"{s}|{c}", math.log(p))))
-    return lambda chain: F.coalesce(F.try_element_at(table, F.concat(F.col("source").cast("string"), F.lit("|"), chain)), F.lit(-20.0))
-
-
 @batched("string")
 def _mended(texts: pd.Series, lines: pd.Series) -> pd.Series:
     def one(value: str, found) -> str:

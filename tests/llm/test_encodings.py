@@ -99,3 +99,31 @@ def test_every_chain_from_garbling_to_outcome(spark):
     df = spark.createDataFrame([(1, "\n".join([*clean, *(bad for _, _, bad in cases)]), "a")], "result_id bigint, markdown string, engine string")
     got = {r["line_no"]: (r["outcome"], r["repaired"]) for r in encodings.repairs(df).collect()}
     assert got == {n: ("restored", line) for n, (_, line, _) in enumerate(cases, len(clean) + 1)}
+
+
+def test_a_doubtful_line_is_decided_by_its_pool(spark, monkeypatch):
+    """A line that several chains undo equally well: the one that the sure lines of its source show wins, none without EM."""
+    rng = random.Random(9)
+    clean = [" ".join(rng.sample([*SENTENCES, *RUSSIAN], 2)) for _ in range(200)]
+    sure = [misread(rng.choice(SENTENCES[:4]), "cp1252") for _ in range(40)]
+    doubtful = misread("a ê b", "cp1252")
+    df = spark.createDataFrame([(1, "\n".join([*clean, *sure, doubtful]), "a"), (2, "\n".join([*clean, "x"]), "b")], "result_id bigint, markdown string, engine string")
+    at = len(clean) + len(sure) + 1
+    of = lambda: {(r["result_id"], r["line_no"]): r["repaired"] for r in encodings.repairs(df).collect()}
+    found = of()
+    assert found[1, at] == "a ê b" and len(found) == len(sure) + 1
+    estimated = encodings.estimated
+    monkeypatch.setattr(encodings, "estimated", lambda weighed: estimated(weighed, rounds=0))
+    assert of()[1, at] != "a ê b"
+
+
+def test_many_pools(spark, monkeypatch):
+    """Pools beyond the bound share their lines' weights; nothing is left out."""
+    monkeypatch.setattr(encodings, "POOLS", 3)
+    rows = [(i, "\n".join([*SENTENCES, misread(SENTENCES[i % 4], "cp1252")]), f"engine {i}") for i in range(12)]
+    df = spark.createDataFrame(rows, "result_id bigint, markdown string, engine string")
+    got = {r["result_id"]: r["repaired"] for r in encodings.repairs(df).collect()}
+    assert got == {i: SENTENCES[i % 4] for i in range(12)}
+    shares = encodings.Shares(["x", "y"], ["p"], {("p", "x"): 30.0, ("p", ""): 10.0, (None, "y"): 5.0})
+    assert shares.log("p", "x") > shares.log("p", "") > shares.log("p", "y") and shares.log("other", "y") > shares.log("other", "x")
+    assert abs(sum(p for _, p in shares.posterior("p", [("x", 1.0), ("y", -1.0)])) - 1) < 1e-9
