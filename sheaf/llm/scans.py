@@ -2,8 +2,8 @@
 
 Lines of a text set in short lines are labelled by a hidden Markov model over layout features: running
 text, standalone (titles, headings, chapter numbers), running header or footer, page number. Its tables
-start from the beliefs below and are re-estimated once from the labels of all scanned texts. On what is
-labelled running text, words broken across lines and misread words are found with a lexicon of the
+start from the beliefs below and are re-estimated by a round of Baum-Welch: how probable each state is for each
+line of all scanned texts, given its features and neighbours, is summed over the corpus. On what is labelled running text, words broken across lines and misread words are found with a lexicon of the
 words of all texts that aren't set in short lines; the text is then put together without the noise.
 
 Null, empty and blank texts, and texts not set in short lines, have no noise. Lines end at line feeds and
@@ -27,7 +27,7 @@ STATES = ("text", "standalone", "header", "page_number")
 #: A word is known if this share of the texts not set in short lines holds it, and LEAST_TEXTS at least.
 #: As a text holds a few hundred distinct words, the lexicon stays within a few hundred / SHARE entries.
 SHARE, LEAST_TEXTS = 2e-4, 3
-#: How many lines the beliefs weigh against the labels of the first pass.
+#: How many lines the beliefs weigh against those of the corpus.
 BELIEF = 5_000
 
 # Beliefs: how probable each value of a feature is for a line of each state (text, standalone, header, page number).
@@ -212,7 +212,7 @@ class Model:
     """Log probabilities of the hidden Markov model."""
 
     def __init__(self, counted: dict[tuple[str, str, int], float] | None = None):
-        """counted: (feature or 'next', value or state, state) -> lines of the first pass; None for the beliefs alone."""
+        """counted: (feature or 'next', value or state, state) -> expected lines; None for the beliefs alone."""
         counted = counted or {}
         self.emit: list[dict[str, tuple[float, ...]]] = []
         per_state = [sum(counted.get(("shape", v, s), 0.0) for v in EMISSIONS["shape"]) for s in range(len(STATES))]
@@ -225,17 +225,59 @@ class Model:
             n = [counted.get(("next", str(s), t), 0.0) for t in range(len(STATES))]
             self.follow.append(tuple(math.log((BELIEF * p + c) / (BELIEF + sum(n))) for p, c in zip(row, n)))
 
+        self.known: dict[tuple[str, ...], list[float]] = {}
+
+    def emission(self, line: tuple[str, ...]) -> list[float]:
+        """The log probability of a line's features in each state; kept, as there are a few thousand combinations."""
+        here = self.known.get(line)
+        if here is None:
+            here = self.known[line] = [sum(self.emit[f][v][s] for f, v in enumerate(line)) for s in range(len(STATES))]
+        return here
+
+    def expected(self, lines: list[tuple[str, ...]]) -> tuple[list[list[float]], list[list[float]]]:
+        """(probability of each state for each line, expected number of each transition) by the forward-backward algorithm."""
+        states = range(len(STATES))
+        if not hasattr(self, "chance"):
+            self.chance = [[math.exp(x) for x in row] for row in self.follow]
+        chance = self.chance
+        emitted = []
+        for line in lines:
+            here = self.emission(line)
+            top = max(here)
+            emitted.append([math.exp(x - top) for x in here])
+        forward: list[list[float]] = []
+        for e in emitted:
+            before = forward[-1] if forward else None
+            now = [e[s] * (sum(before[r] * chance[r][s] for r in states) if before else 0.25) for s in states]
+            total = sum(now)
+            forward.append([x / total for x in now])
+        after = [1.0] * len(STATES)
+        posteriors: list[list[float]] = [[]] * len(lines)
+        moves = [[0.0] * len(STATES) for _ in states]
+        for i in range(len(lines) - 1, -1, -1):
+            both = [forward[i][s] * after[s] for s in states]
+            total = sum(both)
+            posteriors[i] = [x / total for x in both]
+            if i:
+                coming = [emitted[i][s] * after[s] for s in states]
+                pairs = [[forward[i - 1][r] * chance[r][s] * coming[s] for s in states] for r in states]
+                total = sum(map(sum, pairs))
+                for r in states:
+                    for s in states:
+                        moves[r][s] += pairs[r][s] / total
+                after = [sum(chance[r][s] * coming[s] for s in states) for r in states]
+                top = max(after)
+                after = [x / top for x in after]
+        return posteriors, moves
+
     def label(self, lines: list[tuple[str, ...]]) -> list[int]:
         """The most probable states of the lines."""
         if not lines:
             return []
-        emit, follow, states = self.emit, self.follow, range(len(STATES))
-        known: dict[tuple[str, ...], list[float]] = {}
+        follow, states = self.follow, range(len(STATES))
         score, back = None, []
         for line in lines:
-            here = known.get(line)
-            if here is None:
-                here = known[line] = [sum(emit[f][v][s] for f, v in enumerate(line)) for s in states]
+            here = self.emission(line)
             if score is None:
                 score = [h + math.log(0.25) for h in here]
                 continue
@@ -476,12 +518,16 @@ def repaired(texts: DataFrame, key: str = "result_id", text: str = "markdown", j
             counts: Counter = Counter()
             for value in batch["content"]:
                 _, seen = features([s.rstrip("\r") for s in value.split("\n")])
-                states = model.label(seen)
-                for line, s in zip(seen, states):
-                    for name, v in zip(FEATURES, line):
-                        counts[name, v, s] += 1
-                for s, t in zip(states, states[1:]):
-                    counts["next", str(s), t] += 1
+                each, moves = model.expected(seen)
+                for line, chances in zip(seen, each):
+                    for s, chance in enumerate(chances):
+                        # What is all but impossible adds nothing but time.
+                        if chance > 1e-4:
+                            for name, v in zip(FEATURES, line):
+                                counts[name, v, s] += chance
+                for s, row in enumerate(moves):
+                    for t, many in enumerate(row):
+                        counts["next", str(s), t] += many
             yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["feature", "value", "state", "n"])
 
     counted = pages.select("content").mapInPandas(count, "feature string, value string, state int, n double").groupBy("feature", "value", "state").agg(F.sum("n").alias("n"))

@@ -73,3 +73,53 @@ def test_misread_words():
 
 def test_page_values():
     assert [scans._value(t) for t in ("12", "xiv", "1O3", "lii", "abc")] == [12, 14, 103, 52, None]
+
+
+RUNNING = ("full", "once", "none", "none", "far", "other", "middle")
+NUMBER = ("bare", "often", "on", "cut", "near", "other", "middle")
+CAPITALS = ("capitals", "once", "none", "whole", "far", "other", "middle")
+
+
+def test_neighbours_decide(monkeypatch):
+    """A line in capitals is a heading among text and a running header beside a page number; without transitions it's one thing."""
+    labels = lambda model: [scans.STATES[model.label(x)[2]] for x in ([RUNNING, RUNNING, CAPITALS, RUNNING], [RUNNING, NUMBER, CAPITALS, RUNNING])]
+    assert labels(scans.Model()) == ["standalone", "header"]
+    monkeypatch.setattr(scans, "TRANSITIONS", ((0.25,) * 4,) * 4)
+    assert len(set(labels(scans.Model()))) == 1
+
+
+def test_the_corpus_shifts_the_tables():
+    """Expected counts of many lines outweigh the beliefs: what is a header throughout the corpus is likelier one elsewhere."""
+    page = [RUNNING, RUNNING, NUMBER, CAPITALS, RUNNING]
+    each, moves = scans.Model().expected(page)
+    assert all(abs(sum(p) - 1) < 1e-9 for p in each) and abs(sum(map(sum, moves)) - (len(page) - 1)) < 1e-9
+    assert [p.index(max(p)) for p in each] == scans.Model().label(page)
+    counted = {}
+    for line, chances in zip(page, each):
+        for s, chance in enumerate(chances):
+            for name, v in zip(scans.FEATURES, line):
+                counted[name, v, s] = counted.get((name, v, s), 0.0) + 100_000 * chance
+    alone = [RUNNING, RUNNING, CAPITALS, RUNNING]
+    believed, shifted = (m.expected(alone)[0][2][scans.STATES.index("header")] for m in (scans.Model(), scans.Model(counted)))
+    assert shifted > 2 * believed > 0
+    assert scans.Model().expected([]) == ([], [[0.0] * 4] * 4)
+
+
+def test_expectations_by_brute_force():
+    import itertools
+    import math
+
+    model = scans.Model()
+    lines = [RUNNING, NUMBER, CAPITALS, RUNNING]
+    paths = {}
+    for path in itertools.product(range(4), repeat=4):
+        log = math.log(0.25) + sum(model.emission(x)[s] for x, s in zip(lines, path)) + sum(model.follow[a][b] for a, b in zip(path, path[1:]))
+        paths[path] = math.exp(log)
+    total = sum(paths.values())
+    each, moves = model.expected(lines)
+    for i in range(4):
+        for s in range(4):
+            assert abs(each[i][s] - sum(p for path, p in paths.items() if path[i] == s) / total) < 1e-9
+    for a in range(4):
+        for b in range(4):
+            assert abs(moves[a][b] - sum(p * sum((x, y) == (a, b) for x, y in zip(path, path[1:])) for path, p in paths.items()) / total) < 1e-9
