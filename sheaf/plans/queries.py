@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sheaf.functions import chunks as c
 from sheaf.functions import geometry, grids, identifiers, latex, references, text
 from sheaf.functions.metadata import leading_metadata, leading_title, title_with_fallbacks
-from sheaf.operators import categories, chapters, corpus, inventory, matrix, models, prompts, reports, sections, spans
+from sheaf.operators import categories, chapters, corpus, inventory, library, matrix, models, prompts, reports, sections, spans
 from sheaf.plans import views
 from sheaf.session import table
 from sheaf.sources import documents
@@ -631,3 +631,104 @@ def contents_lines(spark, folder):
     rows = table(spark, folder, "matrix").withColumns({"number": F.col("row_id") % 40 + 1, "ordinal": F.col("row_id") % 40 + 1})
     thesis = F.concat("notes", F.lit(" "), "title", F.lit(" "), "methodology", F.lit(" "), "title", F.lit(" "), "title")
     return rows.withColumn("main_thesis", thesis).select("row_id", reports.contents_line().alias("line"), F.array_join(F.array("benchmark_task", "methodology", "model_variant"), ", ").alias("key_terms"))
+
+
+# The library.
+
+
+def _format_sql(path: str) -> str:
+    return "CASE " + " ".join(f"WHEN ends_with(lower({path}), '{suffix}') THEN '{name}'" for suffix, name in library.FORMATS.items()) + " ELSE 'text' END"
+
+
+@query(f"SELECT DISTINCT markdown_path, tables_path, {_format_sql('markdown_path')} AS markdown_format, CASE WHEN review = 'csv' THEN 'csv' ELSE {_format_sql('tables_path')} END AS tables_format FROM inventory")
+def output_formats(spark, folder):
+    paths = table(spark, folder, "inventory").select("markdown_path", "tables_path", library.output_format("markdown_path").alias("markdown_format"), library.output_format("tables_path", F.when(F.col("review") == "csv", F.lit("csv"))).alias("tables_format"))
+    return paths.distinct()
+
+
+@query("WITH " + views.IDENTIFIERS_SQL + r"""
+    SELECT id, CASE WHEN regexp_matches(line, '^[A-Za-z]+:.+$') THEN lower(regexp_extract(line, '^([A-Za-z]+):(.+)$', 1)) END AS source,
+           CASE WHEN regexp_matches(line, '^[A-Za-z]+:.+$') THEN trim(regexp_extract(line, '^([A-Za-z]+):(.+)$', 2)) ELSE line END AS identifier
+    FROM (SELECT id, trim(CASE id % 5 WHEN 0 THEN '# ' || identifier WHEN 1 THEN '  ' WHEN 2 THEN ' ' || identifier || ' ' ELSE identifier END) AS line FROM identifiers)
+    WHERE line <> '' AND NOT starts_with(line, '#')""")
+def batch_manifest(spark, folder):
+    turn = F.col("id") % 5
+    line = F.when(turn == 0, F.concat(F.lit("# "), "identifier")).when(turn == 1, F.lit("  ")).when(turn == 2, F.concat(F.lit(" "), "identifier", F.lit(" "))).otherwise(F.col("identifier"))
+    return library.manifest(views.identifiers(spark, folder).select("id", line.alias("line"))).select("id", "source", "identifier")
+
+
+_ABSTRACT_SQL = r"""nullif(regexp_replace(regexp_extract(text, '(?is)(?:^|\n)[ \t#*]*abstract[ \t*:.]*\n(.*?)(?:\n[ \t]*(?:#{1,6}[ \t]|(?:\d+\.?[ \t]+)?introduction[ \t]*\n)|\z)', 1), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g'), '')"""
+
+
+@query(rf"""
+    SELECT doc_id, abstract, CAST(len(list_filter(regexp_split_to_array(abstract, '[ \t\n\r\f\x0b]+'), lambda w: w <> '')) AS INTEGER) AS words
+    FROM (SELECT doc_id, {_ABSTRACT_SQL} AS abstract FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Title' || chr(10) || '## Abstract' || chr(10) || text WHEN 1 THEN 'ABSTRACT:' || chr(10) || text || chr(10) || '1. Introduction' || chr(10) || 'more' ELSE text END AS text FROM documents))""")
+def abstracts(spark, folder):
+    turn, body = F.col("doc_id") % 3, F.col("text")
+    spliced = F.when(turn == 0, F.concat(F.lit("Title\n## Abstract\n"), body)).when(turn == 1, F.concat(F.lit("ABSTRACT:\n"), body, F.lit("\n1. Introduction\nmore"))).otherwise(body)
+    found = table(spark, folder, "documents").select("doc_id", library.abstract(spliced).alias("abstract"))
+    return found.select("doc_id", "abstract", F.when(F.col("abstract").isNotNull(), text.word_count("abstract")).alias("words"))
+
+
+@query(r"""
+    WITH lines AS (SELECT result_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM (SELECT result_id, string_split(markdown, chr(10)) AS parts FROM ingest_results WHERE length(markdown) > 0)),
+    placed AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY result_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM lines),
+    heads AS (SELECT result_id, begins, trim(regexp_replace(line, '^#{1,6}[ \t]+', '')) AS title FROM placed WHERE regexp_matches(line, '^#{1,6}[ \t]+\S')),
+    parts AS (SELECT result_id, start, substr(markdown, start + 1, 2000) AS chunk FROM (SELECT result_id, markdown, CAST(unnest(CASE WHEN length(markdown) <= 2000 THEN [0] ELSE range(0, length(markdown) - 200, 1800) END) AS INTEGER) AS start FROM ingest_results WHERE length(markdown) > 0)),
+    held AS (SELECT p.result_id, p.start, arg_max(h.title, h.begins) AS section FROM parts p JOIN heads h ON h.result_id = p.result_id AND h.begins <= p.start GROUP BY 1, 2)
+    SELECT p.result_id, p.start, CAST(p.start + length(chunk) AS INTEGER) AS "end", section, chunk,
+           array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(chunk, '(?i)(?:^|[^A-Za-z0-9_])((?:figure|table)[ \t]\d{1,3})(?:[^0-9]|$)', 1), lambda m: lower(replace(m, chr(9), ' '))))), ',') AS mentions
+    FROM parts p LEFT JOIN held h ON h.result_id = p.result_id AND h.start = p.start""")
+def annotated_chunks(spark, folder):
+    found = library.annotated_chunks(table(spark, folder, "ingest_results"), "result_id", "markdown", 2000, 200)
+    return found.select("result_id", "start", "end", "section", "chunk", F.array_join("mentions", ",").alias("mentions"))
+
+
+@query(r"""
+    SELECT result_id, CAST(len(string_split(text, chr(12))) AS INTEGER) AS pages, CAST(words AS INTEGER) AS words, CAST(ceil(words / 250.0) AS INTEGER) AS minutes, CAST(len(list_filter(lines, lambda x: regexp_matches(x, '^#{1,6}[ \t]+\S'))) AS INTEGER) AS headings,
+           CAST(coalesce(len(tables), 0) AS INTEGER) AS tables, CAST(coalesce(len(figures), 0) AS INTEGER) AS figures, CAST(len(list_filter(lines, lambda x: regexp_matches(x, '\((19|20)\d\d[a-z]?\)\. '))) AS INTEGER) AS "references"
+    FROM (SELECT *, string_split(text, chr(10)) AS lines, len(list_filter(regexp_split_to_array(text, '[ \t\n\r\f\x0b]+'), lambda w: w <> '')) AS words FROM (SELECT result_id, tables, figures, coalesce(markdown, '') AS text FROM ingest_results))""")
+def document_facts(spark, folder):
+    return library.facts(table(spark, folder, "ingest_results"), "result_id", "markdown")
+
+
+@query("""
+    SELECT row_id, authors, title, year FROM (SELECT row_id, 'Author ' || model_variant AS authors, title, CAST(year(extracted_at) AS INTEGER) AS year FROM matrix)
+    WHERE contains(lower(authors), 'base') AND contains(lower(title), 'yield') AND year BETWEEN 2000 AND 2100 ORDER BY year DESC NULLS LAST, row_id LIMIT 50""")
+def paper_search(spark, folder):
+    papers = table(spark, folder, "matrix").select("row_id", F.concat(F.lit("Author "), "model_variant").alias("authors"), "title", F.year("extracted_at").alias("year"))
+    return library.search(papers, "Base", "YIELD", (2000, 2100), 50, "row_id")
+
+
+WORKS_SQL = REFERENCES_READ_SQL + """
+    , works AS (SELECT *, coalesce('doi:' || lower(doi), trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) || '|' || coalesce(CAST(year AS VARCHAR), '')) AS work FROM reads)
+"""
+
+
+def _works(spark, folder) -> DataFrame:
+    read = views.reference_lines(spark, folder).withColumn("p", references.parsed("reference")).select("result_id", "position", "p.title", "p.year", "p.doi")
+    return read.withColumn("work", library.work_key("doi", "title", "year"))
+
+
+@query("WITH " + WORKS_SQL + """
+    SELECT work, result_id, position, doi, title, year, copies FROM (SELECT *, row_number() OVER (PARTITION BY work ORDER BY result_id, position) AS n, count(*) OVER (PARTITION BY work) AS copies FROM works WHERE work IS NOT NULL) WHERE n = 1""")
+def merged_bibliography(spark, folder):
+    return library.merged_bibliography(_works(spark, folder), ["result_id", "position"]).select("work", "result_id", "position", "doi", "title", "year", "copies")
+
+
+@query("WITH " + WORKS_SQL + """
+    , edges AS (SELECT result_id, work, count(*) AS times FROM works WHERE work IS NOT NULL GROUP BY 1, 2)
+    SELECT result_id, e.work, times, cited_by FROM edges e JOIN (SELECT work, count(*) AS cited_by FROM edges GROUP BY 1) n ON n.work = e.work""")
+def citation_graph(spark, folder):
+    edges, nodes = library.citations(_works(spark, folder), "result_id")
+    return edges.join(nodes, "work").select("result_id", "work", "times", "cited_by")
+
+
+@query("WITH " + REFERENCES_READ_SQL + r"""
+    SELECT result_id, position, concat_ws(chr(10), 'TY  - ' || CASE WHEN journal IS NOT NULL THEN 'JOUR' ELSE 'GEN' END, CASE WHEN authors <> '' THEN 'AU  - ' || replace(authors, ' and ', chr(10) || 'AU  - ') END, 'TI  - ' || title, 'PY  - ' || year, 'JO  - ' || journal,
+        'SP  - ' || regexp_extract(pages, '^(\d+)', 1), 'EP  - ' || regexp_extract(pages, '(\d+)$', 1), 'DO  - ' || doi, 'ER  - ') AS entry FROM reads""")
+def ris_entries(spark, folder):
+    r = views.reference_lines(spark, folder).withColumn("p", references.parsed("reference"))
+    kind = F.when(F.col("p.journal").isNotNull(), F.lit("JOUR")).otherwise(F.lit("GEN"))
+    entry = library.ris(kind, F.col("p.authors"), F.col("p.title"), F.col("p.year"), F.col("p.journal"), F.col("p.pages"), F.col("p.doi"))
+    return r.select("result_id", "position", entry.alias("entry"))

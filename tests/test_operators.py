@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from sheaf.operators import categories, chapters, corpus, inventory, matrix, models, prompts, reports, sections, spans
+from sheaf.operators import categories, chapters, corpus, inventory, library, matrix, models, prompts, reports, sections, spans
 
 
 def test_upsert(spark):
@@ -183,3 +183,24 @@ def test_reports(spark):
     body = chapter.select(reports.chapter_section(), reports.contents_line()).first()
     assert "\\textbf{b}" in body[0] and "a, b\\_c" in body[0] and "pp.\\,1--9" in body[0] and "p.\\,5" in body[1]
     assert reports.assembled(chapter.withColumn("s", reports.chapter_section()).withColumn("g", F.lit(1)), "g", "number", "s").count() == 1
+
+
+def test_library(spark):
+    paths = spark.createDataFrame([("a.JSON", None), ("b.unknown", "bibtex"), (None, ""), ("c.bib", None)], "path string, given string")
+    assert [r[0] for r in paths.select(library.output_format("path", "given")).collect()] == ["json", "bibtex", "text", "bibtex"]
+    lines = spark.createDataFrame([("arXiv: 2301.1 ",), ("# note",), ("  ",), ("10.1/x",), (None,), ("doi:10.2/y:z",)], "line string")
+    assert [(r["source"], r["identifier"]) for r in library.manifest(lines).collect()] == [("arxiv", "2301.1"), (None, "10.1/x"), ("doi", "10.2/y:z")]
+    texts = spark.createDataFrame([("# T\n## Abstract\n\nShort text.\n\n## Introduction\nx",), ("abstract\nto the end",), ("none",), (None,), ("",)], "t string")
+    assert [r[0] for r in texts.select(library.abstract("t")).collect()] == ["Short text.", "to the end", None, None, None]
+    documents = spark.createDataFrame([(1, "intro Figure 2\n# One\n" + "see table 1, Table 1. " * 3 + "\n## Two\n" + "end " * 30), (2, None), (3, "")], "k bigint, t string")
+    found = library.annotated_chunks(documents, "k", "t", 40, 10).orderBy("start").collect()
+    assert [r["section"] for r in found][:2] == [None, "One"] and found[-1]["section"] == "Two" and found[0]["mentions"] == ["figure 2", "table 1"] and found[1]["mentions"] == ["table 1"]
+    assert all(r["end"] - r["start"] == len(r["chunk"]) for r in found) and {r["k"] for r in found} == {1}
+    works = spark.createDataFrame([(1, "10.1/A", "T", 1990), (2, "10.1/a", "other", 1991), (3, None, "A title!", 1990), (4, None, "a  TITLE", 1990), (5, None, None, 1990)], "id int, doi string, title string, year int").withColumn("work", library.work_key("doi", "title", "year"))
+    assert sorted((r["id"], r["copies"]) for r in library.merged_bibliography(works, ["id"]).collect()) == [(1, 2), (3, 2)]
+    edges, nodes = library.citations(works.withColumn("source", F.lit(1)), "source")
+    assert sorted(r["times"] for r in edges.collect()) == [2, 2] and {r["cited_by"] for r in nodes.collect()} == {1}
+    papers = spark.createDataFrame([(1, "Ann Lee", "Wages", 2001), (2, "Bo Lee", "WAGE growth", 2005), (3, None, "wages", None), (4, "LEE", "Prices", 2003)], "paper_id int, authors string, title string, year int")
+    assert [r["paper_id"] for r in library.search(papers, "lee").collect()] == [2, 4, 1] and [r["paper_id"] for r in library.search(papers, title="wage", years=(2000, 2004)).collect()] == [1]
+    assert [r["paper_id"] for r in library.search(papers, limit=2).collect()] == [2, 4]
+    assert library.merged_bibliography(works.limit(0), ["id"]).count() == 0
