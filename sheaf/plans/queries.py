@@ -694,10 +694,10 @@ def document_facts(spark, folder):
 
 @query("""
     SELECT row_id, authors, title, year FROM (SELECT row_id, 'Author ' || model_variant AS authors, title, CAST(year(extracted_at) AS INTEGER) AS year FROM matrix)
-    WHERE contains(lower(authors), 'base') AND contains(lower(title), 'yield') AND year BETWEEN 2000 AND 2100 ORDER BY year DESC NULLS LAST, row_id LIMIT 50""")
+    WHERE contains(lower(authors), 'author') AND contains(lower(title), 'evidence') AND year BETWEEN 2000 AND 2100 ORDER BY year DESC NULLS LAST, row_id LIMIT 50""")
 def paper_search(spark, folder):
     papers = table(spark, folder, "matrix").select("row_id", F.concat(F.lit("Author "), "model_variant").alias("authors"), "title", F.year("extracted_at").alias("year"))
-    return library.search(papers, "Base", "YIELD", (2000, 2100), 50, "row_id")
+    return library.search(papers, "Author", "EVIDENCE", (2000, 2100), 50, "row_id")
 
 
 WORKS_SQL = REFERENCES_READ_SQL + """
